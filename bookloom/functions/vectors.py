@@ -27,11 +27,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 def hash_embedding(content: Column, dim: int = S.EMBED_DIM) -> Column:
     """Unit vector from the SHA-256 bytes of a text or a byte string, repeated up to ``dim``."""
-    raw = let(
+    digest_bytes = let(
         F.sha2(content.cast("binary"), 256),
         lambda digest: F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0,
+            F.sequence(F.lit(0), F.lit(31)),
+            lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255.0,
         ),
     )
+    raw = let(
+        digest_bytes, lambda b: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.get(b, i % 32))
+    )
     return let(raw, lambda v: let(_norm(v), lambda n: F.transform(v, lambda x: x / n)))

@@ -32,22 +32,15 @@ def terms(text: Column) -> Column:
 
 
 def term_rows(chunks: DataFrame) -> DataFrame:
-    """``(chunk_id, doc_id, dl, tfs map<term, count>)`` per chunk; counting stays inside the row."""
-    counted = F.map_from_entries(
-        F.transform(
-            F.array_distinct("ts"),
-            lambda t: F.struct(t.alias("key"), F.size(F.filter("ts", lambda x: x == t)).alias("value")),
-        )
-    )
-    return (
-        chunks.select("chunk_id", "doc_id", terms(F.col("text")).alias("ts"))
-        .select("chunk_id", "doc_id", F.size("ts").alias("dl"), counted.alias("tfs"))
+    """``(chunk_id, doc_id, dl, ts array<term>)`` per chunk, terms in text order with repeats."""
+    return chunks.select("chunk_id", "doc_id", terms(F.col("text")).alias("ts")).select(
+        "chunk_id", "doc_id", F.size("ts").alias("dl"), "ts"
     )
 
 
 def postings(rows: DataFrame) -> DataFrame:
     """The inverted index ``(term, chunk_id)``; store it bucketed or sorted by term."""
-    return rows.select(F.explode(F.map_keys("tfs")).alias("term"), "chunk_id")
+    return rows.select(F.explode(F.array_distinct("ts")).alias("term"), "chunk_id")
 
 
 def document_frequency(posting_rows: DataFrame) -> DataFrame:
@@ -85,19 +78,19 @@ def keyword_search(
     candidates = per_question.join(posting_rows, "term").select("qid", "wanted", "chunk_id")
     filters = queries.select("qid", "corpus", "tags", "date_from", "date_to", "author").alias("q")
     held = candidates.join(rows, "chunk_id").filter(
-        F.forall("wanted", lambda w: F.map_contains_key("tfs", w["term"]))
+        F.forall("wanted", lambda w: F.array_contains("ts", w["term"]))
     )
     scoped = (
         held.alias("h")
         .join(documents.select("doc_id", "corpus", "tags", "doc_date", "author").alias("d"), F.col("h.doc_id") == F.col("d.doc_id"))
         .join(filters, F.col("h.qid") == F.col("q.qid"))
         .filter(in_scope("q", "d"))
-        .select("h.qid", "h.chunk_id", "h.dl", "h.tfs", "h.wanted")
+        .select("h.qid", "h.chunk_id", "h.dl", "h.ts", "h.wanted")
     )
 
     def weight(w: Column) -> Column:
         idf = F.log1p((F.lit(n_chunks) - w["df"] + 0.5) / (w["df"] + 0.5))
-        tf = F.element_at("tfs", w["term"]).cast("double")
+        tf = F.size(F.filter("ts", lambda t: t == w["term"])).cast("double")
         norm = S.BM25_K1 * (1 - S.BM25_B + S.BM25_B * F.col("dl") / F.lit(avg_dl))
         return idf * tf * (S.BM25_K1 + 1) / (tf + norm)
 

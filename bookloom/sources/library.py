@@ -29,8 +29,10 @@ class Library:
 
     @property
     def documents(self) -> DataFrame:
-        """First copies with status and text."""
-        return self._store.get("documents", lambda: docs.with_status(docs.first_copies(self.uploaded)))
+        """First copies with status and text, spread evenly by id (the join that finds them does so anyway)."""
+        return self._store.get(
+            "documents", lambda: docs.with_status(docs.first_copies(self.uploaded)).repartition("doc_id")
+        )
 
     @property
     def document_meta(self) -> DataFrame:
