@@ -42,9 +42,9 @@ def _group_filters(queries: pd.DataFrame) -> Iterator[tuple[dict, np.ndarray]]:
         return
 
     def value(v):
-        if v is None or (np.isscalar(v) and pd.isna(v)):
-            return None
-        return tuple(v) if isinstance(v, (list, tuple, np.ndarray)) else v
+        if isinstance(v, (list, tuple, np.ndarray)):
+            return tuple(v)
+        return None if pd.isna(v) else v
 
     groups: dict[tuple, list[int]] = {}
     for i, row in enumerate(zip(*(queries[c] for c in present))):
@@ -106,11 +106,13 @@ def _columns(queries: DataFrame, items: DataFrame, scope: str | None) -> tuple[D
     meta = [c for c in META if c in queries.columns]
     needs = {"corpus": "corpus", "tags": "tags", "date_from": "doc_date", "date_to": "doc_date", "author": "author"}
     item_meta = sorted({needs[c] for c in meta})
-    key = [F.col(scope).alias("scope")] if scope else [F.lit("").alias("scope")]
-    return (
-        queries.select("qid", "vector", *meta, *key).filter("vector is not null and size(vector) > 0"),
-        items.select("item_id", "vector", *item_meta, *key).filter("vector is not null and size(vector) > 0"),
-    )
+    key = F.col(scope).alias("scope") if scope else F.lit("").alias("scope")
+
+    def fresh(df: DataFrame, names: list[str]) -> DataFrame:
+        # new attributes, because questions and items may come from one table
+        return df.select(*[F.col(n).alias(n) for n in names], key).filter("vector is not null and size(vector) > 0")
+
+    return fresh(queries, ["qid", "vector", *meta]), fresh(items, ["item_id", "vector", *item_meta])
 
 
 def _result_schema(queries: DataFrame, items: DataFrame) -> T.StructType:

@@ -154,9 +154,9 @@ def display(x: str) -> str:
 
 ENTITIES = PASSAGES + f""",
 ph_l AS (SELECT doc_id, seq, pp, {phrase_list('ptext')} AS l FROM par),
-ph AS (SELECT doc_id, seq, pp, unnest(l) AS name, generate_subscripts(l, 1) AS at FROM ph_l),
-ph_n AS (SELECT doc_id, seq, pp, name, count(*) AS n, min(at) AS at FROM ph GROUP BY ALL),
-ext AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pp ORDER BY n DESC, at) AS pos FROM ph_n
+ph AS (SELECT doc_id, seq, pp, unnest(l) AS name, generate_subscripts(l, 1) AS p_at FROM ph_l),
+ph_n AS (SELECT doc_id, seq, pp, name, count(*) AS n, min(p_at) AS p_at FROM ph GROUP BY ALL),
+ext AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pp ORDER BY n DESC, p_at) AS pos FROM ph_n
   QUALIFY pos <= {S.PHRASES_PER_PARENT}),
 de_n AS (SELECT doc_id, seq, {canonical('name')} AS canonical, count(*) AS n, min(pp * 1000 + pos) AS first_at,
   arg_min(name, pp * 1000 + pos) AS name FROM ext GROUP BY ALL),
@@ -193,7 +193,7 @@ questions AS MATERIALIZED (SELECT printf('%s-%03d', CAST(item_id AS VARCHAR), i
 
 MESSAGES = """
 messages AS (SELECT printf('%s-%06d', CAST(conv_id AS VARCHAR), turn) AS message_id, CAST(conv_id AS VARCHAR) AS conversation_id,
-  role, text AS content, 1704067200 + conv_id * 3600 + (turn // 2) * 60 AS at, conv_id, turn FROM conversations)"""
+  role, text AS content, 1704067200 + conv_id * 3600 + (turn // 2) * 60 AS ts, conv_id, turn FROM conversations)"""
 
 
 def term_list(x: str) -> str:
@@ -207,7 +207,7 @@ c_vec AS MATERIALIZED (SELECT chunk_id, doc_id, corpus, CAST({embedding('text')}
 q_vec AS MATERIALIZED (SELECT *, CAST({embedding('question')} AS DOUBLE[]) AS v FROM {questions}),
 {name} AS MATERIALIZED (SELECT q.qid, c.chunk_id, round(list_cosine_similarity(q.v, c.v), 9) AS sim,
   row_number() OVER (PARTITION BY q.qid ORDER BY round(list_cosine_similarity(q.v, c.v), 9) DESC, c.chunk_id) AS rnk
-  FROM q_vec q JOIN c_vec c ON ({where}) JOIN docs d ON d.doc_id = c.doc_id QUALIFY rnk <= {k})"""
+  FROM q_vec q JOIN (c_vec c JOIN docs d ON d.doc_id = c.doc_id) ON ({where}) QUALIFY rnk <= {k})"""
 
 
 def keyword_arm(k: int, questions: str = "questions", where: str = "q.corpus IS NULL OR c.corpus = q.corpus", name: str = "kwd") -> str:
@@ -237,8 +237,8 @@ def fused(top: int = S.CANDIDATES, name: str = "fused") -> str:
 
 NEIGHBORS = f"""
 s_l AS (SELECT qid, {phrase_list('question')} AS l FROM questions),
-s_n AS (SELECT qid, name, count(*) AS n, min(at) AS at FROM (SELECT qid, unnest(l) AS name, generate_subscripts(l, 1) AS at FROM s_l) GROUP BY ALL),
-starts AS MATERIALIZED (SELECT DISTINCT qid, {canonical('name')} AS s FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, at) AS r
+s_n AS (SELECT qid, name, count(*) AS n, min(p_at) AS p_at FROM (SELECT qid, unnest(l) AS name, generate_subscripts(l, 1) AS p_at FROM s_l) GROUP BY ALL),
+starts AS MATERIALIZED (SELECT DISTINCT qid, {canonical('name')} AS s FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, p_at) AS r
   FROM s_n QUALIFY r <= {S.GRAPH_NAMES})),
 rel_id AS MATERIALIZED (SELECT row_number() OVER (ORDER BY src, dst, type) AS id, src, dst FROM relations WHERE src <> dst),
 arcs AS MATERIALIZED (SELECT id, src AS u, dst AS v FROM rel_id UNION ALL SELECT id, dst, src FROM rel_id),
@@ -253,8 +253,8 @@ neighbors AS MATERIALIZED (SELECT qid, chunk_id FROM (SELECT *, row_number() OVE
 
 def merged(top: int = S.CANDIDATES) -> str:
     return f"""
-merged AS MATERIALIZED (SELECT qid, chunk_id, max(score) AS score, row_number() OVER (PARTITION BY qid ORDER BY max(score) DESC, min(at)) AS rnk
-  FROM (SELECT qid, chunk_id, score, rnk AS at FROM fused UNION ALL
+merged AS MATERIALIZED (SELECT qid, chunk_id, max(score) AS score, row_number() OVER (PARTITION BY qid ORDER BY max(score) DESC, min(p_at)) AS rnk
+  FROM (SELECT qid, chunk_id, score, rnk AS p_at FROM fused UNION ALL
     SELECT qid, chunk_id, {S.GRAPH_SCORE}, 1000 + row_number() OVER (PARTITION BY qid ORDER BY chunk_id) FROM neighbors)
   GROUP BY qid, chunk_id QUALIFY rnk <= {top})"""
 
@@ -263,8 +263,8 @@ def reranked(source: str, top: int = S.RERANK_TOP) -> str:
     bag = lambda x: f"list_distinct({word_list(f'lower({x})')})"
     return f"""
 q_bag AS MATERIALIZED (SELECT qid, {bag('question')} AS b FROM questions),
-reranked AS MATERIALIZED (SELECT f.qid, f.chunk_id, f.score, f.rnk AS fused_rnk, s, row_number() OVER (PARTITION BY f.qid ORDER BY s DESC, f.rnk) AS rnk
-  FROM (SELECT h.*, CAST(len(list_intersect(b.b, {bag('c.text')})) AS DOUBLE) / greatest(1, len(b.b)) AS s
+reranked AS MATERIALIZED (SELECT f.qid, f.chunk_id, f.score, f.fused_rnk, s, row_number() OVER (PARTITION BY f.qid ORDER BY s DESC, f.fused_rnk) AS rnk
+  FROM (SELECT h.qid, h.chunk_id, h.score, h.rnk AS fused_rnk, CAST(len(list_intersect(b.b, {bag('c.text')})) AS DOUBLE) / greatest(1, len(b.b)) AS s
     FROM {source} h JOIN chunks c ON c.chunk_id = h.chunk_id JOIN q_bag b ON b.qid = h.qid) f QUALIFY rnk <= {top})"""
 
 
