@@ -1 +1,260 @@
-"""x"""
+"""Catalog queries: counts, status, versions, deletes, feedback, history, cost, latency."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from bookloom.operators import catalog as ct
+from bookloom.operators import conversations as cv
+from bookloom.operators import graph_query as gq
+from bookloom.sources import sample
+from bookloom.sources.library import open_sample
+from bookloom.workload import query
+from bookloom.workload import sql as s
+
+
+def _long(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+_IMAGES = """
+images AS (SELECT printf('img%06d', e.vec_id) AS image_id, CAST(d.doc_id AS VARCHAR) AS doc_id, d.source AS corpus FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id)"""
+
+
+@query(s.with_(s.GRAPH, _IMAGES) + """
+SELECT d.corpus, count(*) AS doc_count, (SELECT count(*) FROM chunks c WHERE c.corpus = d.corpus) AS chunk_count,
+  (SELECT count(*) FROM images i WHERE i.corpus = d.corpus) AS image_count, (SELECT count(*) FROM ent_corpora e WHERE e.corpus = d.corpus) AS entity_count
+FROM docs d GROUP BY d.corpus""")
+def corpus_summary(spark, folder):
+    lib = open_sample(spark, folder)
+    return ct.corpus_summary(lib.document_meta, lib.chunks, lib.images, gq.entity_counts(lib.graph))
+
+
+@query(s.with_(s.PASSAGES, _IMAGES) + """
+SELECT u.doc_id, CASE WHEN u.seq % 11 = 0 THEN 'error' WHEN (SELECT count(*) FROM chunks c WHERE c.doc_id = u.doc_id) > 0 THEN 'indexed' ELSE 'pending' END AS status,
+  (SELECT count(*) FROM chunks c WHERE c.doc_id = u.doc_id) AS chunk_count, (SELECT count(*) FROM images i WHERE i.doc_id = u.doc_id) AS image_count FROM uploaded u""")
+def document_status(spark, folder):
+    """Copies never got chunks, so they stay pending; every eleventh document counts as failed."""
+    lib = open_sample(spark, folder)
+    up = sample.documents(spark, folder)
+    errors = up.filter(F.col("seq") % 11 == 0).select("doc_id")
+    return ct.document_report(up, lib.chunks, lib.images, errors).select("doc_id", "status", "chunk_count", "image_count")
+
+
+@query(s.with_(s.PASSAGES, _IMAGES) + """
+SELECT d.doc_id, d.title, d.corpus, (SELECT count(*) FROM chunks c WHERE c.doc_id = d.doc_id) AS chunk_count,
+  (SELECT count(*) FROM images i WHERE i.doc_id = d.doc_id) AS image_count FROM docs d ORDER BY ingested_at DESC, seq DESC LIMIT 12""")
+def recent_documents(spark, folder):
+    lib = open_sample(spark, folder)
+    return ct.recent_documents(lib.document_meta, lib.chunks, lib.images).select("doc_id", "title", "corpus", "chunk_count", "image_count")
+
+
+@query(s.with_(s.PASSAGES) + f"""
+SELECT doc_id, chunk_index, CAST(len({s.word_list('text')}) AS BIGINT) AS tokens, md5(text) AS text_md5 FROM chunks WHERE corpus = 'src3'""")
+def document_chunks(spark, folder):
+    lib = open_sample(spark, folder)
+    rows = ct.document_chunks(lib.chunks, lib.document_meta.filter("corpus = 'src3'").select("doc_id"))
+    return _long(rows, "chunk_index", "tokens").select("doc_id", "chunk_index", "tokens", F.md5("text").alias("text_md5"))
+
+
+@query(s.with_(s.DOCS) + """
+SELECT DISTINCT corpus AS name, corpus NOT IN (SELECT source FROM documents WHERE doc_id % 2 = 0) AS added FROM docs""")
+def vault_selfheal(spark, folder):
+    """Vault rows exist for the sources of even documents; the others are added."""
+    up = sample.documents(spark, folder)
+    vaults = up.filter(F.col("seq") % 2 == 0).select(F.col("corpus").alias("name")).distinct()
+    lib = open_sample(spark, folder)
+    missing = ct.missing_vaults(lib.document_meta, vaults).withColumn("added", F.lit(True))
+    healed = ct.self_heal(vaults, lib.document_meta)
+    return healed.join(missing, "name", "left").select("name", F.coalesce("added", F.lit(False)).alias("added"))
+
+
+@query("""
+WITH log AS (SELECT source AS corpus, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS version FROM documents WHERE lang = 'en'),
+cur AS (SELECT corpus, max(version) AS v FROM log GROUP BY corpus)
+SELECT c.corpus, coalesce(v, 0) AS version, coalesce(v, 0) + CASE WHEN c.fr THEN 1 ELSE 0 END AS bumped
+FROM (SELECT source AS corpus, bool_or(lang = 'fr') AS fr FROM documents GROUP BY source) c LEFT JOIN cur ON cur.corpus = c.corpus""")
+def corpus_versions(spark, folder):
+    """Each English upload bumped its corpus once; then a batch touching French documents bumps again."""
+    up = sample.documents(spark, folder)
+    versions = up.filter(F.array_contains("tags", "en")).groupBy("corpus").agg(F.count(F.lit(1)).cast("int").alias("version"))
+    changed = up.filter(F.array_contains("tags", "fr")).select("corpus")
+    after = ct.current_versions(ct.bump(versions, changed), up).withColumnRenamed("version", "bumped")
+    return _long(ct.current_versions(versions, up).join(after, "corpus"), "version", "bumped")
+
+
+@query(s.with_(s.PASSAGES, _IMAGES) + """
+SELECT 'documents' AS part, corpus, count(*) AS n FROM docs WHERE corpus NOT IN ('src2', 'src5') GROUP BY corpus
+UNION ALL SELECT 'chunks', corpus, count(*) FROM chunks WHERE corpus NOT IN ('src2', 'src5') GROUP BY corpus
+UNION ALL SELECT 'parents', corpus, count(*) FROM par WHERE corpus NOT IN ('src2', 'src5') GROUP BY corpus""")
+def cascade_delete(spark, folder):
+    lib = open_sample(spark, folder)
+    gone = spark.createDataFrame([("src2",), ("src5",)], "name string")
+    left = ct.without_vaults(lib.document_meta, {"chunks": lib.chunks, "parents": lib.parents}, gone)
+    out = None
+    for part, df in left.items():
+        one = df.groupBy("corpus").agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "corpus", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(s.with_(s.UPLOADED) + """
+SELECT u.doc_id, CASE WHEN l.toxic = 1 THEN 'flagged' ELSE array_to_string(u.tags, ',') END AS tags, CASE WHEN l.quality = 1 THEN 'Reviewer' ELSE u.author END AS author,
+  strftime(u.doc_date, '%Y-%m-%d') AS doc_date FROM uploaded u LEFT JOIN labels l ON l.doc_id = u.seq""")
+def metadata_patch(spark, folder):
+    patch = sample.table(spark, folder, "labels").select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("toxic") == 1, F.array(F.lit("flagged"))).alias("tags"),
+        F.lit(None).cast("timestamp").alias("doc_date"), F.when(F.col("quality") == 1, "Reviewer").alias("author"))
+    d = ct.patch_metadata(sample.documents(spark, folder), patch)
+    return d.select("doc_id", F.array_join("tags", ",").alias("tags"), "author", F.date_format("doc_date", "yyyy-MM-dd").alias("doc_date"))
+
+
+_FEEDBACK = """
+fb AS (SELECT message_id, conversation_id, content, role, CASE WHEN (conv_id + turn + again) % 3 = 0 THEN -1 ELSE 1 END AS rating, 'note ' || again AS note,
+  ts + (5 + again) * 60 AS fts, again, conv_id FROM messages, (VALUES (0), (1)) t(again) WHERE role = 'assistant'),
+latest AS (SELECT * FROM fb QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY fts DESC) = 1)"""
+
+
+@query(s.with_(s.MESSAGES, _FEEDBACK) + "SELECT message_id, rating, note FROM latest")
+def feedback_latest(spark, folder):
+    return _long(cv.latest_feedback(sample.feedback(spark, folder)), "rating").select("message_id", "rating", "note")
+
+
+@query(s.with_(s.MESSAGES, _FEEDBACK) + "SELECT count(*) AS total, count(*) FILTER (rating = 1) AS up, count(*) FILTER (rating = -1) AS down FROM latest")
+def feedback_totals(spark, folder):
+    return cv.feedback_totals(cv.latest_feedback(sample.feedback(spark, folder)))
+
+
+@query(s.with_(s.MESSAGES, _FEEDBACK) + """
+SELECT message_id, rating, 'src' || (conv_id % 20) AS corpus, md5(content) AS answer_md5 FROM latest ORDER BY fts DESC, message_id LIMIT 50""")
+def feedback_log(spark, folder):
+    log = cv.feedback_log(cv.latest_feedback(sample.feedback(spark, folder)), sample.messages(spark, folder), sample.conversations(spark, folder))
+    return _long(log, "rating").select("message_id", "rating", "corpus", F.md5("answer").alias("answer_md5"))
+
+
+@query(s.with_(s.MESSAGES) + """
+SELECT conversation_id, 'src' || (any_value(conv_id) % 20) AS vault_name, substr(arg_min(content, turn) FILTER (role = 'user'), 1, 80) AS title, count(*) AS message_count
+FROM messages GROUP BY conversation_id""")
+def message_counts(spark, folder):
+    from bookloom.functions.text import title_default
+
+    c = cv.message_counts(sample.conversations(spark, folder), sample.messages(spark, folder))
+    return c.select("conversation_id", "vault_name", title_default(F.col("first_question")).alias("title"), "message_count")
+
+
+@query(s.with_(s.MESSAGES) + """
+SELECT conversation_id, string_agg(role || ':' || md5(substr(content, 1, 4000)), ',' ORDER BY ts, message_id) AS turns FROM (
+  SELECT * FROM messages QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY ts DESC, message_id DESC) <= 8)
+WHERE role IN ('user', 'assistant') AND trim(content) <> '' GROUP BY conversation_id""")
+def history_window(spark, folder):
+    h = cv.history(sample.messages(spark, folder))
+    return h.select("conversation_id", F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), F.md5(t["content"]))), ",").alias("turns"))
+
+
+@query(s.with_(s.MESSAGES) + """
+SELECT m.message_id, CASE WHEN m.role = 'user' THEN m.message_id ELSE
+  (SELECT u.message_id FROM messages u WHERE u.conversation_id = m.conversation_id AND u.role = 'user' AND u.ts <= m.ts ORDER BY u.ts DESC, u.message_id DESC LIMIT 1) END AS question_id
+FROM messages m""")
+def prior_question_asof(spark, folder):
+    return cv.prior_questions(sample.messages(spark, folder), slice_seconds=120).select("message_id", "question_id")
+
+
+@query(s.with_(s.MESSAGES) + "SELECT conversation_id, message_id, role, md5(content) AS content_md5 FROM messages")
+def transcripts(spark, folder):
+    return cv.transcripts(sample.messages(spark, folder)).select("conversation_id", "message_id", "role", F.md5("content").alias("content_md5"))
+
+
+@query(s.with_(s.GRAPH) + """
+, held AS (SELECT c.corpus, e.name, row_number() OVER (PARTITION BY c.corpus ORDER BY e.degree DESC, e.canonical) AS rnk FROM ent_corpora c JOIN ent e ON e.canonical = c.canonical QUALIFY rnk <= 6),
+al AS (SELECT corpus, 0 AS tier, rnk, 'What is ' || name || '?' AS question FROM held UNION ALL
+  SELECT corpus, 1, rnk, 'How does ' || name || ' relate to the rest of this vault?' FROM held UNION ALL
+  SELECT DISTINCT corpus, 2, 0, 'Summarize the key ideas in this vault.' FROM held UNION ALL
+  SELECT DISTINCT corpus, 2, 1, 'What are the main relationships between concepts here?' FROM held)
+SELECT corpus, row_number() OVER (PARTITION BY corpus ORDER BY tier, rnk) AS n, question FROM al QUALIFY n <= 8""")
+def suggestions(spark, folder):
+    top = gq.vault_entities(open_sample(spark, folder).graph, 6)
+    return _long(ct.suggested_questions(top, 8), "n")
+
+
+@query("""
+WITH u AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'llama-3.3-70b-versatile' WHEN 'view' THEN 'llama-3.1-8b-instant' WHEN 'purchase' THEN 'gemini-2.5-flash' ELSE event_type END AS model,
+  CAST(floor(value * 10) AS BIGINT) AS i, CAST(floor(value) AS BIGINT) AS o FROM events),
+p(model, pi, po) AS (VALUES ('llama-3.3-70b-versatile', 0.59, 0.79), ('llama-3.1-8b-instant', 0.05, 0.08), ('gemini-2.5-flash', 0.30, 2.50))
+SELECT u.model, count(*) AS n, CAST(sum(i) AS BIGINT) AS tokens_in, CAST(sum(o) AS BIGINT) AS tokens_out,
+  round(CAST(sum(i) AS DOUBLE) / 1e6 * coalesce(any_value(pi), 0)::DOUBLE + CAST(sum(o) AS DOUBLE) / 1e6 * coalesce(any_value(po), 0)::DOUBLE, 6) AS cost_usd
+FROM u LEFT JOIN p ON p.model = u.model GROUP BY u.model""")
+def cost_report(spark, folder):
+    e = sample.table(spark, folder, "events")
+    model = F.create_map(F.lit("click"), F.lit("llama-3.3-70b-versatile"), F.lit("view"), F.lit("llama-3.1-8b-instant"), F.lit("purchase"), F.lit("gemini-2.5-flash"))
+    usage = e.select(F.coalesce(F.try_element_at(model, F.col("event_type")), "event_type").alias("model"),
+                     F.floor(F.col("value") * 10).alias("tokens_in"), F.floor("value").alias("tokens_out"))
+    out = ct.with_cost(usage, ct.price_table(spark)).groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+    return out
+
+
+@query("""
+SELECT event_type, count(*) AS n, list_sort(list(value))[count(*) // 2 + 1] AS p50, list_sort(list(value))[least(count(*) - 1, CAST(floor(count(*) * 0.95) AS BIGINT)) + 1] AS p95
+FROM events GROUP BY event_type""")
+def latency_percentiles(spark, folder):
+    e = sample.table(spark, folder, "events").select("event_type", "value")
+    return ct.order_statistics(e, "event_type", "value", {"p50": None, "p95": 0.95})
+
+
+@query("""
+WITH f AS (SELECT 'job-' || source AS job_id, doc_id, doc_id % 13 <> 0 AND n_chars > 0 AND NOT (source = 'src4' AND doc_id % 2 = 0) AS done, CASE WHEN doc_id % 13 = 0 THEN 'ValueError: bad file' END AS error FROM documents)
+SELECT job_id, count(*) AS files, count(error) AS errors, round(count(*) FILTER (done) / count(*) * 100, 1) AS progress,
+  CASE WHEN count(*) FILTER (done) + count(error) < count(*) THEN 'running' WHEN count(error) = 0 THEN 'done' ELSE 'failed' END AS status FROM f GROUP BY job_id""")
+def job_report(spark, folder):
+    d = sample.table(spark, folder, "documents")
+    n = F.col("doc_id")
+    files = d.select(F.concat(F.lit("job-"), "source").alias("job_id"), n.alias("doc_id"),
+                     ((n % 13 != 0) & (F.col("n_chars") > 0) & ~((F.col("source") == "src4") & (n % 2 == 0))).alias("done"),
+                     F.when(n % 13 == 0, "ValueError: bad file").alias("error"))
+    return ct.job_report(files)
+
+
+_JOBS = """
+jobs AS (SELECT DISTINCT 'job-' || source AS job_id, source <> 'src9' AS done, 1704067200 + CAST(substr(source, 4) AS BIGINT) * 3600 AS ts FROM documents),
+runs AS (SELECT max(1704067200 + item_id * 600) AS last_run FROM benchmark)"""
+
+
+def _jobs_and_runs(spark, folder):
+    d = sample.table(spark, folder, "documents").select("source").distinct()
+    jobs = d.select(F.concat(F.lit("job-"), "source").alias("job_id"), F.when(F.col("source") == "src9", "failed").otherwise("done").alias("status"),
+                    F.timestamp_seconds(F.lit(1704067200) + F.expr("cast(substring(source, 4) as bigint)") * 3600).alias("created_at"))
+    runs = sample.table(spark, folder, "benchmark").select(F.timestamp_seconds(F.lit(1704067200) + F.col("item_id") * 600).alias("run_at"))
+    return jobs, runs
+
+
+@query(s.with_(_JOBS) + """
+SELECT count(*) AS docs_since, any_value(last_run) AS last_run FROM documents d JOIN jobs j ON j.job_id = 'job-' || d.source AND j.done JOIN runs r ON j.ts > r.last_run""")
+def reorg_state(spark, folder):
+    jobs, runs = _jobs_and_runs(spark, folder)
+    out = ct.documents_since(sample.documents(spark, folder), jobs, runs)
+    return out.select("docs_since", F.unix_timestamp("last_run").alias("last_run"))
+
+
+@query("""
+WITH g AS (SELECT event_id, ['batch', 'debounced', 'nightly'][event_id % 3 + 1] AS policy, CAST(floor(value) AS BIGINT) % 6 AS docs_since,
+  CASE WHEN event_id % 7 <> 0 THEN epoch(ts) END AS last_run FROM events)
+SELECT policy, docs_since, count(*) AS n, count(*) FILTER (CASE WHEN policy = 'batch' THEN true WHEN last_run IS NULL THEN true
+  WHEN policy = 'nightly' THEN 1706572800 - last_run >= 86400 ELSE docs_since >= 3 OR 1706572800 - last_run >= 86400 END) AS n_run FROM g GROUP BY ALL""")
+def reorg_policy(spark, folder):
+    e = sample.table(spark, folder, "events")
+    policy = F.get(F.array(F.lit("batch"), F.lit("debounced"), F.lit("nightly")), (F.col("event_id") % 3).cast("int"))
+    rows = e.select(policy.alias("policy"), (F.floor("value") % 6).alias("docs_since"), F.when(F.col("event_id") % 7 != 0, F.col("ts").cast("timestamp")).alias("last_run"))
+    run = ct.should_run(F.col("policy"), F.col("docs_since"), F.col("last_run"), F.timestamp_seconds(F.lit(1706572800)))
+    return rows.withColumn("run", run).groupBy("policy", "docs_since").agg(F.count(F.lit(1)).alias("n"), F.count_if("run").alias("n_run"))
+
+
+@query(s.with_(s.QUESTIONS) + """
+SELECT corpus, qid, 'stored' AS origin FROM questions WHERE corpus IS NOT NULL UNION ALL
+SELECT source, CAST(min(doc_id) AS VARCHAR), 'default' FROM documents WHERE source NOT IN (SELECT corpus FROM questions WHERE corpus IS NOT NULL) GROUP BY source""")
+def golden_seed(spark, folder):
+    """Corpora without golden questions get a default one."""
+    stored = sample.questions(spark, folder).filter("corpus is not null").select("corpus", "qid", F.lit("stored").alias("origin"))
+    defaults = sample.table(spark, folder, "documents").groupBy(F.col("source").alias("corpus")).agg(F.min("doc_id").cast("string").alias("qid")).withColumn("origin", F.lit("default"))
+    from bookloom.operators.catalog import seed_questions
+
+    return seed_questions(stored, defaults)
