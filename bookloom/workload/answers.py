@@ -13,6 +13,7 @@ from bookloom.operators.models import contains_claim
 from bookloom.plans import evaluate, overview, reorganize
 from bookloom.plans import retrieve as plan
 from bookloom.operators.scope import normalised
+from bookloom.session import cut
 from bookloom.sources import sample
 from bookloom.sources.library import open_sample
 from bookloom.workload import query
@@ -43,7 +44,6 @@ def _cache_tables(spark, folder) -> tuple[DataFrame, DataFrame]:
     return asked, entries
 
 
-_GUARD_TOK = "list_distinct(regexp_extract_all(lower({x}), '[a-z0-9'']+'))"
 _NEAREST = """
 near AS MATERIALIZED (SELECT q.message_id AS qid, e.entry_id, e.content AS stored, q.content AS asked, round(list_cosine_similarity(q.v, e.v), 9) AS sim
   FROM um q JOIN entries e ON e.corpus = q.corpus AND e.version = 0 AND e.live
@@ -133,7 +133,7 @@ def _answered(spark, folder) -> tuple[DataFrame, DataFrame]:
     near, words = plan.two_arms(lib, plan.with_vectors(normalised(q)), 20)
     from bookloom.operators import ranking
 
-    hits = ranking.rerank(plan.hit_details(lib, ranking.fuse(near, words), q))
+    hits = cut(ranking.rerank(plan.hit_details(lib, ranking.fuse(near, words), q)))
     first = hits.filter("rnk = 1").select("qid", F.col("text").alias("answer"))
     truth = q.select("qid", "item_id").join(sample.table(spark, folder, "benchmark").select("item_id", F.col("text").alias("ground_truth")), "item_id")
     answers = q.select("qid", "question").join(first, "qid", "left").join(truth.select("qid", "ground_truth"), "qid")
@@ -218,3 +218,38 @@ def global_answers(spark, folder):
     lib = open_sample(spark, folder)
     communities = reorganize.refresh(lib.graph).filter("summary is not null")
     return overview.global_answers(sample.questions(spark, folder).select("qid", "question"), communities)
+
+
+@query(s.with_(s.ENTITIES) + """
+SELECT 'documents' AS part, count(*) AS n, count(DISTINCT content_hash) AS n_distinct FROM docs
+UNION ALL SELECT 'passages', count(*), count(DISTINCT text) FROM chunks UNION ALL SELECT 'mentions', count(*), count(DISTINCT canonical) FROM mentions""")
+def stream_ingest_counts(spark, folder):
+    """The uploads arrive as a stream of files; the stored tables equal those of one batch."""
+    from bookloom.session import scratch_path
+    from bookloom.streaming import ingest as si
+
+    root = scratch_path(spark, "stream")
+    sample.documents(spark, folder).repartitionByRange(4, "seq").sortWithinPartitions("seq").write.parquet(f"{root}/inbox")
+    schema = spark.read.parquet(f"{root}/inbox").schema
+    inbox = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/inbox")
+    si.ingest_stream(inbox, f"{root}/lib").awaitTermination()
+    out = None
+    for part, key in (("documents", "content_hash"), ("passages", "text"), ("mentions", "canonical")):
+        per_key = spark.read.parquet(f"{root}/lib/{part}").groupBy(key).agg(F.count(F.lit(1)).alias("c"))
+        one = per_key.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_distinct")).select(F.lit(part).alias("part"), "n", "n_distinct")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def answered_batch(spark, folder):
+    """Questions end to end, the user messages of the log serving as cache."""
+    from bookloom.plans import ask
+
+    lib = open_sample(spark, folder)
+    _, entries = _cache_tables(spark, folder)
+    entries = entries.withColumn("answer", F.lit("cached")).withColumn("sources", F.lit("[]")).withColumn("citations", F.lit("[]"))
+    q = sample.questions(spark, folder).select("qid", "question", "corpus", F.lit(None).cast("string").alias("conversation_id"))
+    none = spark.createDataFrame([], "corpus string, version int")
+    out = ask.answer(lib, q, none, entries, F.timestamp_seconds(F.lit(NOW)))
+    return out.answers.select("qid", "lane", "cached", "grounded", "tokens_in", "tokens_out", F.round("cost_usd", 8).alias("cost_usd"), F.md5("answer").alias("answer_md5"))
