@@ -76,7 +76,7 @@ def document_rows(files: DataFrame, corpus: str, job_id: str, pdf_text=None) ->
     Text files decode as UTF-8 with replacement. ``pdf_text`` (bytes column to text column) plugs in
     a PDF reader; without one a PDF has no text and is recorded as empty.
     """
-    text = F.when(F.col("format").isin("md", "txt"), F.decode(F.col("content"), "UTF-8"))
+    text = F.when(F.col("format").isin("md", "txt"), F.make_valid_utf8(F.col("content").cast("string")))
     if pdf_text is not None:
         text = text.when(F.col("format") == "pdf", pdf_text(F.col("content")))
     digest = F.sha2("content", 256)
