@@ -155,13 +155,13 @@ def neighbor_chunks(
     """
     named = starts.select("qid", canonical(F.col("name")).alias("s")).filter("s <> ''").distinct()
     keys = named.select("s").distinct()
-    own = _first(g.mentions.select("canonical", "chunk_id").distinct(), ["canonical"], [F.asc("chunk_id")], limit).drop("rnk")
+    own = cut(_first(g.mentions.select("canonical", "chunk_id").distinct(), ["canonical"], [F.asc("chunk_id")], limit).drop("rnk"))
 
     direct = keys.join(own, keys.s == own.canonical).select("s", "chunk_id")
     if hops < 2:
         reached = direct
     else:
-        pairs = _pairs(g)
+        pairs = cut(_pairs(g))
         first_hop = pairs.join(keys, pairs.u == keys.s, "left_semi").select(F.col("u").alias("s"), F.col("v").alias("m"), "parallel")
         middles = first_hop.select("m").distinct()
         near = first_hop.join(own, first_hop.m == own.canonical).select("s", "chunk_id")
@@ -169,9 +169,10 @@ def neighbor_chunks(
         second = pairs.join(middles, pairs.u == middles.m, "left_semi").select(F.col("u").alias("m"), F.col("v").alias("w"))
         via = (
             second.join(own, second.w == own.canonical)
+            .select("m", "chunk_id", F.xxhash64("w").alias("w"))
             .groupBy("m", "chunk_id")
             .agg(F.min("w").alias("lo"), F.max("w").alias("hi"))
-            .withColumn("origin", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit("")))
+            .select("m", "chunk_id", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit(0)).alias("origin"))
         )
         per_origin = _first(via, ["m", "origin"], [F.asc("chunk_id")], limit).drop("rnk")
         heads = _first(
@@ -181,7 +182,7 @@ def neighbor_chunks(
         kept = per_origin.join(heads, ["m", "origin"], "left_semi")
         far = (
             first_hop.join(kept, "m")
-            .filter((F.col("origin") != F.col("s")) | F.col("parallel"))
+            .filter((F.col("origin") != F.xxhash64("s")) | F.col("parallel"))
             .select("s", "chunk_id")
         )
         reached = near.unionByName(far)

@@ -58,17 +58,19 @@ def keyword_search(
     documents: DataFrame,
     rows: DataFrame,
     posting_rows: DataFrame,
+    frequencies: DataFrame,
     stats: tuple[int, float],
     k: int = 10,
 ) -> DataFrame:
     """Top ``k`` chunks per question holding all its terms: ``(qid, chunk_id, score, rnk)``.
 
-    ``queries`` carries normalised filters and ``question``; ``stats`` is (chunks, mean length).
+    ``queries`` carries normalised filters and ``question``; ``frequencies(term, df)`` comes from
+    :func:`document_frequency`; ``stats`` is (chunks, mean length).
     A question without terms finds nothing.
     """
     n_chunks, avg_dl = stats
     asked = queries.select("qid", F.explode(F.array_distinct(terms(F.col("question")))).alias("term"))
-    weighed = asked.join(document_frequency(posting_rows), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    weighed = asked.join(frequencies, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     per_question = (
         weighed.groupBy("qid")
         .agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("wanted"))

@@ -75,13 +75,13 @@ def _best(queries: pd.DataFrame, items: pd.DataFrame, k: int, least: float | Non
     """The ``k`` best items of each question in one block, ties by item id."""
     qids, ids, sims = [], [], []
     if len(queries) and len(items):
+        items = items.iloc[np.argsort(items["item_id"].to_numpy(), kind="stable")].reset_index(drop=True)
         qv, iv = _unit(queries["vector"]), _unit(items["vector"])
         names = items["item_id"].to_numpy()
         for rule, who in _group_filters(queries):
-            rows = np.flatnonzero(_allowed(items, rule))
-            if not len(rows):
+            order = np.flatnonzero(_allowed(items, rule))
+            if not len(order):
                 continue
-            order = rows[np.argsort(names[rows], kind="stable")]
             for at in range(0, len(who), 256):
                 part = who[at : at + 256]
                 score = np.round(qv[part] @ iv[order].T, SIM_DIGITS)

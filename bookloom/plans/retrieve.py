@@ -60,9 +60,9 @@ def hit_details(lib: Library, hits: DataFrame, queries: DataFrame) -> DataFrame:
 
 def two_arms(lib: Library, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Vector hits and keyword hits of normalised questions with vectors, ``k`` each."""
-    near = knn.nearest(queries, lib.items(), k).select("qid", F.col("item_id").alias("chunk_id"), "sim", "rnk")
+    near = knn.nearest(queries, lib.items, k).select("qid", F.col("item_id").alias("chunk_id"), "sim", "rnk")
     asked = queries.filter(strip(F.col("question")) != "")
-    words = kw.keyword_search(asked, lib.document_meta, lib.term_rows, lib.postings, lib.term_stats, k)
+    words = kw.keyword_search(asked, lib.document_meta, lib.term_rows, lib.postings, lib.term_frequencies, lib.term_stats, k)
     return near, words
 
 

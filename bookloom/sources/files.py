@@ -71,7 +71,7 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = S.MAX_FILE_BYTES
 
 
 def document_rows(files: DataFrame, corpus: str, job_id: str, pdf_text=None) -> DataFrame:
-    """Document rows of accepted files: title = file stem, id and hash from the bytes.
+    """Document rows of accepted files: title = file stem, hash from the bytes, id from bytes and path.
 
     Text files decode as UTF-8 with replacement. ``pdf_text`` (bytes column to text column) plugs in
     a PDF reader; without one a PDF has no text and is recorded as empty.
@@ -81,7 +81,7 @@ def document_rows(files: DataFrame, corpus: str, job_id: str, pdf_text=None) ->
         text = text.when(F.col("format") == "pdf", pdf_text(F.col("content")))
     digest = F.sha2("content", 256)
     rows = files.select(
-        F.substring(digest, 1, 32).alias("doc_id"),
+        F.substring(F.sha2(F.concat_ws("|", digest, "path"), 256), 1, 32).alias("doc_id"),
         F.xxhash64("path").alias("seq"),
         file_stem(F.col("path")).alias("title"),
         F.lit(corpus).alias("corpus"),

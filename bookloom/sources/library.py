@@ -103,17 +103,23 @@ class Library:
         """The inverted index, sorted by term so a term lookup reads few row groups."""
         return self._store.get("postings", lambda: kw.postings(self.term_rows).repartitionByRange("term").sortWithinPartitions("term"))
 
+    @property
+    def term_frequencies(self) -> DataFrame:
+        return self._store.get("term_frequencies", lambda: kw.document_frequency(self.postings))
+
     @cached_property
     def term_stats(self) -> tuple[int, float]:
         return kw.collection_stats(self.term_rows)
 
-    def items(self, chunks: DataFrame | None = None) -> DataFrame:
-        """Chunks as search items: id, vector and the filter columns of their document."""
+    @property
+    def items(self) -> DataFrame:
+        """Chunks as search items: id, vector and the filter columns of their document.
+
+        The filter columns are stored next to the vectors, so a search scans one table and joins none.
+        """
         meta = self.document_meta.select("doc_id", "tags", "doc_date", "author")
-        rows = (chunks if chunks is not None else self.chunks).select(
-            F.col("chunk_id").alias("item_id"), "doc_id", "corpus", F.col("embedding").alias("vector")
-        )
-        return rows.join(meta, "doc_id")
+        rows = self.chunks.select(F.col("chunk_id").alias("item_id"), "doc_id", "corpus", F.col("embedding").alias("vector"))
+        return self._store.get("items", lambda: rows.join(meta, "doc_id"))
 
 
 _OPEN: dict[tuple[str, str], Library] = {}

@@ -27,7 +27,7 @@ def _long(df: DataFrame, *names: str) -> DataFrame:
 @query(s.with_(s.PASSAGES, s.QUESTIONS, s.vector_arm(10)) + "SELECT qid, rnk, chunk_id, round(sim, 6) AS sim FROM vec")
 def vector_topk(spark, folder):
     lib = open_sample(spark, folder)
-    hits = knn.nearest(_asked(spark, folder), lib.items(), 10)
+    hits = knn.nearest(_asked(spark, folder), lib.items, 10)
     return _long(hits, "rnk").select("qid", "rnk", F.col("item_id").alias("chunk_id"), F.round("sim", 6).alias("sim"))
 
 
@@ -59,7 +59,7 @@ def meta_filter_search(spark, folder):
 def keyword_topk(spark, folder):
     lib = open_sample(spark, folder)
     q = normalised(sample.questions(spark, folder))
-    hits = kw.keyword_search(q, lib.document_meta, lib.term_rows, lib.postings, lib.term_stats, 10)
+    hits = kw.keyword_search(q, lib.document_meta, lib.term_rows, lib.postings, lib.term_frequencies, lib.term_stats, 10)
     return _long(hits, "rnk").select("qid", "rnk", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -226,6 +226,6 @@ def vector_topk_scoped(spark, folder):
 def ann_topk(spark, folder):
     """Approximate neighbours: 16 cells, 4 probed."""
     lib = open_sample(spark, folder)
-    celled, centers = knn.build_cells(lib.items().select("item_id", "vector", "corpus"), 16)
+    celled, centers = knn.build_cells(lib.items.select("item_id", "vector", "corpus"), 16)
     hits = knn.nearest_in_cells(_asked(spark, folder).select("qid", "vector", "corpus"), celled, centers, 10, 4)
     return _long(hits, "rnk").select("qid", "rnk", F.col("item_id").alias("chunk_id"), F.round("sim", 6).alias("sim"))

@@ -68,7 +68,7 @@ def ask(spark, *rows):
 
 def test_keyword_search(spark, tiny):
     q = ask(spark, ("1", "tensors", None), ("2", "zebra", None), ("3", "tensors", "past"), ("4", "the and", None), ("5", "tensors zebra", None), ("6", "patel delhi", None))
-    hits = kw.keyword_search(q, tiny.document_meta, tiny.term_rows, tiny.postings, tiny.term_stats).collect()
+    hits = kw.keyword_search(q, tiny.document_meta, tiny.term_rows, tiny.postings, tiny.term_frequencies, tiny.term_stats).collect()
     assert {(r.qid, r.chunk_id) for r in hits} == {("1", "d1#000000"), ("6", "d2#000000"), ("6", "d3#000000")}
 
 
