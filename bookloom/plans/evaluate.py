@@ -65,12 +65,17 @@ def run(lib: Library, golden: DataFrame, config: RetrievalConfig, answer=None, j
 
 
 def matrix(lib: Library, golden: DataFrame, configs: dict[str, RetrievalConfig] = CONFIGS, **options) -> DataFrame:
-    """Mean score per configuration and metric: ``(config, metric, score)``."""
+    """Mean score per configuration and metric: ``(config, metric, score)``; equal configurations run once."""
+    done: dict[RetrievalConfig, DataFrame] = {}
     out = None
     for name, config in configs.items():
-        scores = run(lib, golden, config, **options).groupBy("metric").agg(
-            F.when(F.first("metric") == "cost_usd", F.round(F.sum("score"), 6)).otherwise(F.round(F.avg("score"), 4)).alias("score")
-        ).select(F.lit(name).alias("config"), "metric", "score")
+        if config not in done:
+            done[config] = cut(
+                run(lib, golden, config, **options).groupBy("metric").agg(
+                    F.when(F.first("metric") == "cost_usd", F.round(F.sum("score"), 6)).otherwise(F.round(F.avg("score"), 4)).alias("score")
+                )
+            )
+        scores = done[config].select(F.lit(name).alias("config"), "metric", "score")
         out = scores if out is None else out.unionByName(scores)
     return out
 

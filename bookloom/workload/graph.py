@@ -303,7 +303,7 @@ def lpa_communities(spark, folder):
 @query()
 def modularity_communities(spark, folder):
     g = _graph(spark, folder)
-    return cm.louvain(g.entities.select(F.col("canonical").alias("node")), cm.edge_weights(g.relations, "max"))
+    return cm.louvain(g.entities.select(F.col("canonical").alias("node")), cm.edge_weights(g.relations, "max"), levels=1)
 
 
 # Communities that SQL can state: an entity belongs to its first corpus.
