@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookloom.llm import secrets
+from bookloom.llm import pieces, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,3 +24,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(table(spark, folder, "documents"))
+
+
+@query
+def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, folder, "documents"), pieces.read_model(spark))
