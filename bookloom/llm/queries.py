@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookloom.llm import pieces, quality, secrets
+from bookloom.llm import language, pieces, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,3 +35,9 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 def op9_quality_pu(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
+@query
+def op5_language_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.predict(docs, language.fit(docs))
