@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookloom.llm import language, pieces, quality, secrets
+from bookloom.llm import language, pages, pieces, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,3 +41,8 @@ def op9_quality_pu(spark: SparkSession, folder: str) -> DataFrame:
 def op5_language_crf(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return language.predict(docs, language.fit(docs))
+
+
+@query
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(table(spark, folder, "pages"))
