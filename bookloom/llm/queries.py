@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookloom.llm import language, pages, pieces, quality, secrets
+from bookloom.llm import language, licenses, pages, pieces, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,3 +46,11 @@ def op5_language_crf(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract(table(spark, folder, "pages"))
+
+
+@query
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+SQL["op1_license_scan"] = licenses.oracle()
