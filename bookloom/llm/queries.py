@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookloom.llm import contamination, language, licenses, pages, pieces, quality, secrets
+from bookloom.llm import contamination, language, licenses, pages, pieces, quality, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,3 +59,8 @@ SQL["op1_license_scan"] = licenses.oracle()
 @query
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.dedup(table(spark, folder, "documents"))
