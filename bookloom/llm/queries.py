@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookloom.llm import contamination, language, licenses, pages, pieces, quality, secrets, substrings
+from bookloom.llm import contamination, language, licenses, minhash, pages, pieces, quality, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,3 +64,8 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.dedup(table(spark, folder, "documents"))
+
+
+@query
+def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), k=2)
