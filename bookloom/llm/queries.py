@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookloom.llm import contamination, language, licenses, minhash, pages, pieces, quality, secrets, substrings
+from bookloom.llm import contamination, language, licenses, minhash, pages, pieces, quality, secrets, substrings, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,3 +69,8 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), k=2)
+
+
+@query
+def op8_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
