@@ -28,6 +28,8 @@ from bookloom.llm.words import mixed, prefix_hash, range_hash, slices
 LENGTH = 13
 PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = LENGTH - PERIOD + 1
+KEY_BITS = 40
+BUCKETS_PER_PARTITION = 4
 def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number of words; texts of a window or more go on once per batch, with the smallest document."""
     for batch in batches:
@@ -43,7 +45,9 @@ def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("c1"), batch.column("c2"), pa.array(counts), text], names=["doc_id", "c1", "c2", "n_words", "text"])
 
 
-def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Anchors of whole texts, packed by bucket; those of several texts of this task are settled here."""
+
     def found() -> Iterator[Arrays]:
         for batch in batches:
             c1 = batch.column("c1").to_numpy(zero_copy_only=False)
@@ -51,29 +55,82 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 prefix, row = prefix_hash(s.hashes()), s.row_of_word
                 pos = np.arange(len(row)) - (np.cumsum(s.counts) - s.counts)[row]
                 at = np.flatnonzero(np.isin(pos % PERIOD, COVER) & (s.counts[row] - pos >= ANCHOR))
-                yield {"key": range_hash(prefix, at, at + ANCHOR).view(np.int64), "c1": c1[s.first + row[at]], "pos": pos[at].astype(np.int32)}
+                yield {"key": range_hash(prefix, at, at + ANCHOR), "c1": c1[s.first + row[at]], "pos": pos[at].astype(np.int32)}
 
     for rows in collected(found()):
-        order = np.lexsort((rows["c1"], rows["key"]))
+        order = np.lexsort((rows["pos"], rows["c1"], rows["key"]))
         key, c1, pos = rows["key"][order], rows["c1"][order], rows["pos"][order]
         start, group = groups(key)
         several = (c1[np.append(start[1:], len(key)) - 1] != c1[start])[group]
         head = np.zeros(len(key), bool)
         head[start] = True
         send = ~several | head
-        yield batch_of({"key": key[send], "known": np.zeros(send.sum(), np.int8), "c1": c1[send], "pos": pos[send]})
-        # settled here: on their way to their document, spread by it
-        yield batch_of({"key": mixed(c1[several].view(np.uint64)).view(np.int64), "known": np.ones(several.sum(), np.int8), "c1": c1[several], "pos": pos[several]})
+        yield from packed(key[send], c1[send], pos[send], buckets)
+        # settled here: on their way to their text, spread by it
+        yield from packed(None, c1[several], pos[several], buckets)
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (((key >> np.uint64(KEY_BITS)) * np.uint64(buckets)) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+
+
+PACKED = "bucket int, keys binary, low binary, high binary, texts binary, counts binary"
+
+
+def packed(key: np.ndarray | None, c1: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """One row per bucket. Upper key bits name the bucket; KEY_BITS more travel, which is enough for anchors: they only filter,
+    and a false meeting costs a comparison of windows. Positions and texts travel as numbers and runs."""
+    bucket = bucket_of(mixed(c1.view(np.uint64)) if key is None else key, buckets)
+    order = np.lexsort((pos, c1, bucket))
+    bucket, c1, pos = bucket[order], c1[order], pos[order].astype(np.uint32)
+    low = None if key is None else key[order]
+    start, _ = groups(bucket) if len(bucket) else (np.zeros(0, int), None)
+    rows = []
+    for a, b in zip(start, np.append(start[1:], len(bucket)), strict=True):
+        run, _ = groups(c1[a:b])
+        k = b"" if low is None else low[a:b].astype(np.uint32).tobytes() + (low[a:b] >> np.uint64(32)).astype(np.uint8).tobytes()
+        rows.append((int(bucket[a]), k, pos[a:b].astype(np.uint16).tobytes(), (pos[a:b] >> 16).astype(np.uint16).tobytes(), c1[a:b][run].tobytes(), np.diff(np.append(run, b - a)).astype(np.uint32).tobytes()))
+    if rows:
+        columns = list(zip(*rows, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "keys", "low", "high", "texts", "counts"])
+
+
+def unpacked(row: dict) -> Arrays:
+    counts = np.frombuffer(row["counts"], np.uint32)
+    n = int(counts.sum())
+    pos = np.frombuffer(row["low"], np.uint16).astype(np.int32) | (np.frombuffer(row["high"], np.uint16).astype(np.int32) << 16)
+    out = {"c1": np.repeat(np.frombuffer(row["texts"], np.int64), counts), "pos": pos}
+    if row["keys"]:
+        out["key"] = np.frombuffer(row["keys"][: 4 * n], np.uint32).astype(np.uint64) | (np.frombuffer(row["keys"][4 * n :], np.uint8).astype(np.uint64) << np.uint64(32))
+    return out
 
 
 def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of more than one text; rows come sorted by (known, key, c1)."""
-    for rows in carried(batches, ("known", "key")):
-        key, known, c1 = rows["key"], rows["known"], rows["c1"]
-        start, group = groups(known, key)
-        several = (c1[np.append(start[1:], len(key)) - 1] != c1[start])[group]
-        keep = several | (known == 1)
-        yield batch_of({"c1": c1[keep], "pos": rows["pos"][keep]})
+    """Anchors of more than one text; rows come sorted by bucket."""
+    held: list[Arrays] = []
+    at = None
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        if held:
+            rows = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+            order = np.lexsort((rows["c1"], rows["key"]))
+            key, c1 = rows["key"][order], rows["c1"][order]
+            start, group = groups(key)
+            several = (c1[np.append(start[1:], len(key)) - 1] != c1[start])[group]
+            yield batch_of({"c1": c1[several], "pos": rows["pos"][order][several]})
+            held.clear()
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != at:
+                yield from settle()
+                at = row["bucket"]
+            rows = unpacked(row)
+            if "key" in rows:
+                held.append(rows)
+            else:
+                yield batch_of({"c1": rows["c1"], "pos": rows["pos"]})
+    yield from settle()
 
 
 def runs(doc: np.ndarray, c1: np.ndarray, pos: np.ndarray) -> Arrays:
@@ -88,10 +145,15 @@ def runs(doc: np.ndarray, c1: np.ndarray, pos: np.ndarray) -> Arrays:
 
 
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows that hold a shared anchor. Those also found in a smaller document of this task are settled here."""
+    """Windows that hold a shared anchor, of the first document of each text. Those also found in a smaller document of this task
+    are settled here."""
 
     def found() -> Iterator[Arrays]:
         for batch in batches:
+            # a filter in the plan would move below the shuffle of the texts and keep it from being shared
+            compute = pa.compute
+            source = compute.and_(compute.equal(batch.column("doc_id"), batch.column("first_doc")), compute.and_(compute.is_valid(batch.column("text")), compute.greater_equal(batch.column("n_words"), LENGTH)))
+            batch = batch.filter(source)
             doc, c1 = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("doc_id", "c1"))
             lists = batch.column("places")
             for s in slices(batch.column("text")):
@@ -185,19 +247,16 @@ def dedup(docs: DataFrame) -> DataFrame:
     known = rows.filter(F.col("doc_id").isNotNull())
     outline = known.mapInArrow(thin, "doc_id long, c1 long, c2 long, n_words long, text string")
     first = known.groupBy(F.col("c1").alias("m1"), F.col("c2").alias("m2")).agg(F.min("doc_id").alias("first_doc"))
-    long_texts = outline.filter(F.col("text").isNotNull() & (F.col("n_words") >= LENGTH))
+    buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = (
-        long_texts.select("c1", "text").mapInArrow(anchors, "key long, known byte, c1 long, pos int")
-        .repartition("key").sortWithinPartitions("known", "key", "c1").mapInArrow(shared_anchors, "c1 long, pos int")
+        outline.filter(F.col("text").isNotNull() & (F.col("n_words") >= LENGTH)).select("c1", "text").mapInArrow(lambda b: anchors(b, buckets), PACKED)
+        .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared_anchors, "c1 long, pos int")
         .groupBy(F.col("c1").alias("p1")).agg(F.collect_list("pos").alias("places"))
     )
     by_text = outline.repartition("c1")
-    sources = (
-        by_text.join(places, F.col("c1") == F.col("p1")).join(first, (F.col("c1") == F.col("m1")) & same("c2", "m2"))
-        .filter((F.col("doc_id") == F.col("first_doc")) & F.col("text").isNotNull() & (F.col("n_words") >= LENGTH))
-    )
+    sources = by_text.join(places, F.col("c1") == F.col("p1")).join(first, (F.col("c1") == F.col("m1")) & same("c2", "m2"))
     covered = (
-        sources.select("doc_id", "c1", "text", "places").mapInArrow(windows, "key long, key2 long, doc long, c1 long, pos int, n int")
+        sources.select("doc_id", "c1", "n_words", "text", "places", "first_doc").mapInArrow(windows, "key long, key2 long, doc long, c1 long, pos int, n int")
         .repartition("key").sortWithinPartitions(F.col("n") > 0, "key", "key2", "doc").mapInArrow(repeated_windows, "doc long, c1 long, pos int, n int")
         .groupBy(F.col("c1").alias("r1"), F.col("doc").alias("r_doc")).agg(F.collect_list(F.struct("pos", "n")).alias("ranges"))
     )
