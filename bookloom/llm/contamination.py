@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from bookloom.llm.joins import without
 from bookloom.session import cut
 
 SHINGLE = 5
@@ -127,4 +128,4 @@ def matches(docs: DataFrame, benchmark: DataFrame, radius: int = 20, threshold:
 
 def clean(docs: DataFrame, benchmark: DataFrame, radius: int = 20, threshold: int = 80) -> DataFrame:
     """``docs`` without the documents that hold an item; rows without ``doc_id`` stay."""
-    return docs.join(matches(docs, benchmark, radius, threshold).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, cut(matches(docs, benchmark, radius, threshold).select("doc_id").distinct()))

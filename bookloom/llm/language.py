@@ -174,18 +174,16 @@ def fit(docs: DataFrame, sample_docs: int = 600, max_chars: int = 20_000) -> Lan
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_other long"
 
 
-def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """Per document: language, score (mean posterior of its words), number of words, and of words labelled otherwise."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), "text")
-    if model is None:
-        zero = F.lit(0).cast("long")
-        return ids.select("doc_id", "held_out", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), zero.alias("n_words"), zero.alias("n_other"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers, at most 256 languages
-    k = len(model.languages)
+class Predictor:
+    """Languages of Arrow batches by a broadcast model (BUCKETS x languages numbers, at most 256 languages)."""
 
-    def of_batch(texts: pa.Array):
-        m = sent.value
-        n = len(texts)
+    def __init__(self, spark, model: LanguageModel):
+        self.sent = spark.sparkContext.broadcast(model)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Language, mean posterior, number of words, and of words labelled otherwise."""
+        m = self.sent.value
+        n, k = len(texts), len(m.languages)
         mass, total, hard = np.zeros((n, k)), np.zeros(n, np.int64), np.zeros((n, k), np.int64)
         for s in slices(texts, LETTER):
             posterior, _, _ = forward_backward(words_of(s).emissions(m.weight), lines_of(s), m.begin, m.step)
@@ -195,21 +193,44 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             hard += np.bincount(row * k + posterior.argmax(1), minlength=n * k).reshape(n, k) if len(row) else 0
             total += np.bincount(row, minlength=n)
         best = mass.argmax(1)
-        score = np.where(total > 0, mass[np.arange(n), best] / np.maximum(total, 1), 0.0)
-        return best, np.clip(score, 0, 1), total, total - hard[np.arange(n), best]
+        score = np.clip(np.where(total > 0, mass[np.arange(n), best] / np.maximum(total, 1), 0.0), 0, 1)
+        other = total - hard[np.arange(n), best]
+        # bytes beyond ASCII count as letters above: look again at texts that have no ASCII letter
+        doubtful = pa.compute.invert(pa.compute.match_substring_regex(texts.fill_null(""), "[A-Za-z]")).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(doubtful):
+            if not any(c.isalpha() for c in texts[int(i)].as_py() or ""):
+                best[i], score[i], total[i], other[i] = k, 0.0, 0, 0
+        return np.array([*m.languages, UNDETERMINED], object)[best], score, total, other
+
+
+def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """Per document: language, score (mean posterior of its words), number of words, and of words labelled otherwise."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), "text")
+    if model is None:
+        zero = F.lit(0).cast("long")
+        return ids.select("doc_id", "held_out", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), zero.alias("n_words"), zero.alias("n_other"))
+    predictor = Predictor(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*sent.value.languages, UNDETERMINED], object)
         for batch in batches:
-            best, score, total, other = of_batch(batch.column("text"))
-            # bytes beyond ASCII count as letters above: look again at texts that have no ASCII letter
-            doubtful = pa.compute.invert(pa.compute.match_substring_regex(batch.column("text").fill_null(""), "[A-Za-z]")).to_numpy(zero_copy_only=False)
-            for i in np.flatnonzero(doubtful):
-                if not any(c.isalpha() for c in batch.column("text")[int(i)].as_py() or ""):
-                    best[i], score[i], total[i], other[i] = k, 0.0, 0, 0
+            lang, score, total, other = predictor(batch.column("text"))
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("held_out"), pa.array(names[best], pa.string()), pa.array(score),
+                batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score),
                 pa.array(total, pa.int64()), pa.array(other, pa.int64()),
             ], names=["doc_id", "held_out", "lang_pred", "score", "n_words", "n_other"])
 
     return ids.mapInArrow(run, RESULT)
+
+
+def identified(docs: DataFrame, model: LanguageModel | None, min_score: float = 0.35) -> DataFrame:
+    """The rows of ``docs`` whose language is determined with ``min_score`` or more; without a model no row is."""
+    if model is None:
+        return docs.limit(0)
+    predictor = Predictor(docs.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, score, _, _ = predictor(batch.column("text"))
+            yield batch.filter(pa.array((lang != UNDETERMINED) & (score >= min_score)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from bookloom.llm.arrays import batch_of, carried, groups
 from bookloom.llm.components import components
+from bookloom.llm.joins import sized, without
 from bookloom.llm.words import mixed, prefix_hash, range_hash, slices
 from bookloom.session import cut, scratch_path
 
@@ -38,7 +39,6 @@ SMALL = 32  # rows of a leaf that are compared with no further ado
 LEAF = 8  # rows of unrelated documents that a leaf should hold
 UNRELATED = 0.05  # similarity that unrelated documents are expected to stay below
 ALIKE = 36  # equal bytes of two sketches that make a candidate
-MAX_BROADCAST_IDS = 2_000_000
 _draw = mixed(np.arange(1, 2 * POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 SALTS, FACTORS = _draw[:POSITIONS], _draw[POSITIONS:] | np.uint64(1)
 
@@ -232,9 +232,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if ids.count() <= MAX_BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = sized(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     held = texts.mapInArrow(sets, "doc long, items binary").repartition("doc")
     left = pairs.join(held.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a")
@@ -266,5 +264,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group: the one of the smallest ``doc_id``; rows without ``doc_id`` stay."""
-    gone = near_duplicates(docs, k, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return without(docs, cut(near_duplicates(docs, k, percent).filter("not kept").select("doc_id").distinct()))

@@ -4,18 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookloom.llm import secrets
+from bookloom.llm import contamination, language, minhash, pieces, secrets
 from bookloom.session import scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is not determined go."""
+    return language.identified(docs.select(*COLUMNS), language.fit(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays (five-word shingles, similarity 0.8)."""
+    return minhash.one_of_each(docs.select(*COLUMNS))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return contamination.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets give way to a mask; every document stays."""
     return secrets.redact(docs.select(*COLUMNS), secrets.fit(secrets.samples_from(docs)))
 
 
-STAGES = [("secrets", secret_scan)]
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each kept text."""
+    return pieces.encode_documents(docs, pieces.read_model(spark))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("sentencepiece", encoding),
+]
 
 # Trained models and minwise tokens are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
