@@ -6,12 +6,13 @@ for a quarter of the nodes, and the document goes on to the child named by its t
 in a leaf with the survival probability of a branching process of mean 1.25 * s: at 0.8 and depth four about 0.58 per tree, so
 twelve trees miss such a pair once in 30,000 times, and closer pairs far more rarely.
 
-Small leaves are compared exhaustively. A large leaf is branched further where it is mixed; where most of it is alike it is
-compared with leading documents first. That happens in a first round over few trees; its links are confirmed and joined to
-components. The second round takes all trees, leaves out what a component already holds together, and compares every pair of
-documents of a leaf that lie in different components. So a family of any size costs a few links per document, and none of its
-links to other documents is given up. Comparisons use byte sketches of the signature with a margin (a pair at 0.8 fails it once
-in a million times) and the bound that set sizes put on similarity; every candidate is confirmed on the full sets.
+All pairs of a small leaf are compared; a large leaf is branched further until its parts are small or mostly alike. Comparisons
+use byte sketches of the signature with a margin (a pair at 0.8 fails it once in a million times) and the bound that set sizes
+put on similarity. A leaf passes on the pairs it finds while they are few. Where they are many, the leaf holds a family of alike
+documents, and passes on one tie per document. Every pair and tie is confirmed on the full sets. In a family, the links so far
+make components; all documents outside the family's largest component are then compared with the whole family, on full sets,
+block by block, and again only ties leave a block. So the rows between steps grow with the documents and not with the pairs of a
+family, and no link between documents that met in a leaf is given up.
 
 Defined results: without words or text the set is empty and linked with nothing; fewer words than a shingle are one shingle of
 all words; a null ``doc_id`` is linked with nothing and kept; rows that share a ``doc_id`` share a component; further columns do
@@ -34,10 +35,12 @@ from bookloom.llm.words import mixed, prefix_hash, range_hash, slices
 from bookloom.session import cut, scratch_path
 
 POSITIONS = 64
-TREES, FIRST_TREES = 12, 2
+TREES = 12
 SMALL = 32  # rows of a leaf that are compared with no further ado
 LEAF = 8  # rows of unrelated documents that a leaf should hold
 UNRELATED = 0.05  # similarity that unrelated documents are expected to stay below
+PAIRS_PER_ROW = 2  # more near pairs than this in a leaf make it a family
+BLOCK_ROWS, BLOCK_ITEMS = 1024, 2_000_000  # of one side of a comparison within a family
 ALIKE = 36  # equal bytes of two sketches that make a candidate
 _draw = mixed(np.arange(1, 2 * POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 SALTS, FACTORS = _draw[:POSITIONS], _draw[POSITIONS:] | np.uint64(1)
@@ -93,7 +96,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
 
 
 def leaves(heads: DataFrame, depth: int, trees: int) -> DataFrame:
-    """``key, doc, component, n, sketch``: every leaf each document reaches."""
+    """``key, doc, n, sketch``: every leaf each document reaches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = mixed(np.arange(1, trees + 1, dtype=np.uint64))
@@ -108,45 +111,66 @@ def leaves(heads: DataFrame, depth: int, trees: int) -> DataFrame:
                     second = mixed(key ^ SALTS[3]) % np.uint64(4) == 0
                     who, at, parent = np.concatenate([who, who[second]]), np.concatenate([one, two[second]]), np.concatenate([key, key[second]])
                     key = mixed(parent + mixed((tokens[who, at].astype(np.uint64) << np.uint64(8)) + at.astype(np.uint64)))
-                doc, component, n = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "n"))
+                doc, n = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n"))
                 rows = sketch[who]
                 flat = pa.Array.from_buffers(pa.binary(POSITIONS), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[who]), pa.array(component[who]), pa.array(n[who]), flat], names=["key", "doc", "component", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[who]), pa.array(n[who]), flat], names=["key", "doc", "n", "sketch"])
 
-    return heads.select("doc_id", "component", "n", "signature").mapInArrow(run, "key long, doc long, component long, n int, sketch binary")
+    return heads.select("doc_id", "n", "signature").mapInArrow(run, "key long, doc long, n int, sketch binary")
 
 
-class Leaf:
-    """Candidate pairs among the rows of leaves."""
+def tied(n: int, a: np.ndarray, b: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """For each of ``n`` rows the smallest name reachable over the links a-b."""
+    label = name.copy()
+    while len(a):
+        least = label.copy()
+        np.minimum.at(least, a, label[b])
+        np.minimum.at(least, b, label[a])
+        if (least == label).all():
+            break
+        label = least
+    return label
 
-    def __init__(self, rows: dict[str, np.ndarray], percent: int, exhaustive: bool):
-        self.doc, self.component, self.n = rows["doc"], rows["component"], rows["n"].astype(np.int64)
+
+class Leaves:
+    """Near pairs and families among rows sorted by leaf."""
+
+    def __init__(self, rows: dict[str, np.ndarray], percent: int):
+        self.doc, self.n, self.percent = rows["doc"], rows["n"].astype(np.int64), percent
         self.sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, POSITIONS)
-        self.percent, self.exhaustive = percent, exhaustive
-        self.out: list[np.ndarray] = []
+        self.out: list[np.ndarray] = []  # (family?, a, b)
 
     def near(self, i, j) -> np.ndarray:
         """Whether rows i and j can be similar: sizes first, then sketches."""
-        low, high = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
-        fits = (100 * low >= self.percent * high) & (self.component[i] != self.component[j])
         i, j = np.broadcast_arrays(i, j)
+        low, high = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        fits = (100 * low >= self.percent * high) & (self.doc[i] != self.doc[j])
         at = np.flatnonzero(fits)
         fits[at] = (self.sketch[i[at]] == self.sketch[j[at]]).sum(1) >= ALIKE
         return fits
 
-    def add(self, i, j) -> None:
-        a, b = self.doc[i], self.doc[j]
-        self.out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+    def add(self, family: bool, a: np.ndarray, b: np.ndarray) -> None:
+        self.out.append(np.stack([np.full(len(a), int(family)), np.minimum(a, b), np.maximum(a, b)], 1))
 
     def small(self, start: np.ndarray, size: np.ndarray) -> None:
         """All pairs of many small leaves at once, by distance within the leaf."""
-        end = np.repeat(start + size, size)
-        at = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        leaf = np.repeat(np.arange(len(start)), size)
+        end, at = (start + size)[leaf], np.arange(size.sum()) + (start - (np.cumsum(size) - size))[leaf]
+        left, right, of = [], [], []
         for step in range(1, int(size.max(initial=1))):
             inside = at + step < end
-            at, end = at[inside], end[inside]
+            at, end, leaf = at[inside], end[inside], leaf[inside]
             hit = self.near(at, at + step)
-            self.add(at[hit], at[hit] + step)
+            left.append(at[hit])
+            right.append(at[hit] + step)
+            of.append(leaf[hit])
+        if left:
+            left, right, of = map(np.concatenate, (left, right, of))
+            many = (np.bincount(of, minlength=len(start)) > PAIRS_PER_ROW * size)[of]
+            self.add(False, self.doc[left[~many]], self.doc[right[~many]])
+            label = tied(len(self.doc), left[many], right[many], self.doc)
+            rows = np.unique(np.concatenate([left[many], right[many]]))
+            self.add(True, self.doc[rows], label[rows])
 
     def large(self, rows: np.ndarray, seed: int) -> None:
         todo = [(rows, seed, 0)]
@@ -155,74 +179,78 @@ class Leaf:
             if len(rows) <= SMALL:
                 i, j = np.triu_indices(len(rows), 1)
                 hit = self.near(rows[i], rows[j])
-                self.add(rows[i[hit]], rows[j[hit]])
-                continue
-            if (self.component[rows] == self.component[rows[0]]).all():
+                i, j = i[hit], j[hit]
+                if len(i) <= PAIRS_PER_ROW * len(rows):
+                    self.add(False, self.doc[rows[i]], self.doc[rows[j]])
+                else:
+                    self.add(True, self.doc[rows], tied(len(rows), i, j, self.doc[rows]))
                 continue
             draw = int(mixed(np.array([seed + depth], np.uint64))[0])
-            lead = rows[draw % len(rows)]
-            like = (self.sketch[rows] == self.sketch[lead]).sum(1) >= ALIKE
+            like = (self.sketch[rows] == self.sketch[rows[draw % len(rows)]]).sum(1) >= ALIKE
             if 2 * like.sum() >= len(rows) or depth >= POSITIONS:
-                (self.across if self.exhaustive else self.led)(rows, draw)
+                self.family(rows)
                 continue
             for turn in range(2 if draw >> 8 & 3 == 0 else 1):
                 token = self.sketch[rows, (draw + turn * (1 + (draw >> 16) % (POSITIONS - 1))) % POSITIONS]
                 order = np.argsort(token, kind="stable")
                 for part in np.split(rows[order], np.flatnonzero(np.diff(token[order])) + 1):
                     if len(part) > 1:
-                        todo.append((part, draw % (1 << 60) + int(self.sketch[part[0], 0]) + turn, depth + 1))
-
-    def led(self, rows: np.ndarray, draw: int) -> None:
-        """Each row with the first row it resembles, in two orders."""
-        for turn in range(2):
-            rest = rows[np.argsort(mixed(self.doc[rows].astype(np.uint64) ^ np.uint64(draw + turn & (1 << 60) - 1)), kind="stable")]
-            while len(rest) > 1:
-                hit = self.near(rest[0], rest[1:])
-                self.add(rest[1:][hit], np.full(hit.sum(), rest[0]))
-                rest = rest[1:][~hit]
-
-    def across(self, rows: np.ndarray, draw: int) -> None:
-        """Every pair of different components: all rows outside the largest one against all rows."""
-        names, of, count = np.unique(self.component[rows], return_inverse=True, return_counts=True)
-        outside = of != count.argmax()
-        others = rows[outside]
-        inside = rows[~outside]
-        for k, i in enumerate(others):
-            for j in (others[k + 1 :], inside):
-                hit = self.near(i, j)
-                self.add(j[hit], np.full(hit.sum(), i))
-
-
-def candidates(found: DataFrame, percent: int, exhaustive: bool) -> DataFrame:
-    """``a, b`` (a < b) of leaves."""
+                        todo.append((part, (draw >> 4) + int(self.sketch[part[0], 0]) + turn, depth + 1))
+
+    def family(self, rows: np.ndarray) -> None:
+        """Ties of the near rows: from a row to all it resembles, then on from the latest of them, until no row is left."""
+        label, rest, wave = np.arange(len(rows)), np.ones(len(rows), bool), []
+        while rest.any():
+            i = wave.pop() if wave else int(np.flatnonzero(rest)[0])
+            rest[i] = False
+            at = np.flatnonzero(rest)
+            hit = at[self.near(rows[i], rows[at])]
+            label[hit] = label[i]
+            rest[hit] = False
+            wave.extend(hit.tolist())
+        first = np.full(len(rows), np.iinfo(np.int64).max)
+        np.minimum.at(first, label, self.doc[rows])
+        self.add(True, self.doc[rows], first[label])
+
+
+def candidates(found: DataFrame, percent: int) -> DataFrame:
+    """``family, a, b`` (a < b): near pairs of leaves, and ties between the members of a family."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in carried(batches, ("key",)):
             start, _ = groups(rows["key"])
             size = np.diff(np.append(start, len(rows["key"])))
-            leaf = Leaf(rows, percent, exhaustive)
+            leaves = Leaves(rows, percent)
             few = (size > 1) & (size <= SMALL)
-            leaf.small(start[few], size[few])
+            leaves.small(start[few], size[few])
             for a, m in zip(start[size > SMALL], size[size > SMALL], strict=True):
-                leaf.large(np.arange(a, a + m), int(np.uint64(rows["key"][a].view(np.uint64)) >> np.uint64(4)))
-            if leaf.out:
-                pairs = np.unique(np.concatenate(leaf.out), axis=0)
-                yield batch_of({"a": pairs[:, 0], "b": pairs[:, 1]})
+                leaves.large(np.arange(a, a + m), int(rows["key"][a].view(np.uint64)) >> 4)
+            if leaves.out:
+                pairs = np.unique(np.concatenate(leaves.out), axis=0)
+                pairs = pairs[pairs[:, 1] < pairs[:, 2]]
+                yield batch_of({"family": pairs[:, 0].astype(np.int32), "a": pairs[:, 1], "b": pairs[:, 2]})
 
-    sized = found.repartition("key").sortWithinPartitions("key")
-    return sized.mapInArrow(run, "a long, b long").distinct()
+    sized_leaves = found.repartition("key").sortWithinPartitions("key")
+    return sized_leaves.mapInArrow(run, "family int, a long, b long").distinct()
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar: ``100 * intersection >= percent * union``."""
+def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """``doc, items``: the whole set of each listed document, as sorted hashes."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, rows, row, h in shingle_sets(batch.column("text"), k):
                 bounds = np.searchsorted(row, np.arange(rows + 1))
                 raw = [h[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, rows), pa.array(raw, pa.binary())], names=["doc", "items"])
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized(ids), "doc_id", "left_semi")
+    return texts.mapInArrow(run, "doc long, items binary")
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar: ``100 * intersection >= percent * union``."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -232,13 +260,85 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = sized(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    held = texts.mapInArrow(sets, "doc long, items binary").repartition("doc")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    held = sets_of(docs, ids, k).repartition("doc")
     left = pairs.join(held.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a")
     return left.join(held.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
+def within_families(docs: DataFrame, ties: DataFrame, links: DataFrame, k: int, percent: int) -> DataFrame:
+    """``a, b``: ties that join the components of ``links`` wherever two documents of one family are similar.
+
+    Both sides are dealt into blocks of bounded rows and items; a group is a block of documents outside the family's largest
+    component against a block of the whole family.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ("family", "i", "j")
+        for rows in carried(batches, keys):
+            start, _ = groups(*[rows[c] for c in keys])
+            out = []
+            for s, e in zip(start, np.append(start[1:], len(rows["doc"])), strict=True):
+                outer = s + np.flatnonzero(rows["outer"][s:e] == 1)
+                inner = s + np.flatnonzero(rows["outer"][s:e] == 0)
+                if not len(outer) or not len(inner):
+                    continue
+                one, two = ([np.frombuffer(x, np.uint64) for x in rows["items"][side]] for side in (outer, inner))
+                n1, n2 = (np.array([len(x) for x in side]) for side in (one, two))
+                common = shared_items(one, two)
+                near = (100 * common >= percent * (n1[:, None] + n2[None, :] - common)) & (rows["component"][outer][:, None] != rows["component"][inner][None, :])
+                a, b = np.nonzero(near)
+                name = np.concatenate([rows["doc"][outer], rows["doc"][inner]])
+                label = tied(len(name), a, len(outer) + b, name)
+                out.append(np.stack([name, label], 1)[name != label])
+            if out:
+                pairs = np.unique(np.concatenate(out), axis=0)
+                yield batch_of({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    of = components(ties).select(F.col("id").alias("doc"), F.col("component").alias("family"))
+    parts = components(links).select(F.col("id").alias("doc"), "component")
+    rows = cut(of.join(parts, "doc", "left").withColumn("component", F.coalesce("component", "doc")))
+    sizes = rows.groupBy("family", "component").count()
+    main = sizes.groupBy("family").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
+    open_rows = rows.join(main, "family").select("doc", "family", "component", (F.col("component") != F.col("main")).alias("outside"))
+    sets = sets_of(docs, open_rows.select(F.col("doc").alias("doc_id")).distinct(), k)
+    full = open_rows.join(sets, "doc").withColumn("n", F.length("items") / 8)
+    path = scratch_path(docs.sparkSession, "families")
+    full.write.parquet(path)
+    full = docs.sparkSession.read.schema(full.schema).parquet(path)
+    blocks = lambda rows, n: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(n / BLOCK_ITEMS), F.lit(1)).cast("int")
+    outside = F.col("outside").cast("int")
+    dealt = full.groupBy("family").agg(
+        blocks(F.sum(outside), F.sum(outside * F.col("n"))).alias("ni"), blocks(F.count(F.lit(1)), F.sum("n")).alias("nj"),
+    )
+    placed = full.join(dealt, "family")
+    at = lambda count: F.pmod(F.xxhash64("doc"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    outer = placed.filter("outside").select("family", at("ni").alias("i"), every("nj").alias("j"), F.lit(1).alias("outer"), "doc", "component", "items")
+    inner = placed.select("family", every("ni").alias("i"), at("nj").alias("j"), F.lit(0).alias("outer"), "doc", "component", "items")
+    keys = ["family", "i", "j"]
+    return outer.unionByName(inner).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
+def shared_items(one: list[np.ndarray], two: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all intersections between the sets of two lists: products of membership matrices, some items at a time."""
+    flat1, flat2 = np.concatenate(one), np.concatenate(two)
+    row1, row2 = (np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (one, two))
+    known = np.intersect1d(flat1, flat2)
+    out = np.zeros((len(one), len(two)), np.float32)
+    at1, at2 = np.searchsorted(known, flat1), np.searchsorted(known, flat2)
+    in1, in2 = (known[np.minimum(at, len(known) - 1)] == flat if len(known) else np.zeros(len(flat), bool) for at, flat in ((at1, flat1), (at2, flat2)))
+    row1, at1, row2, at2 = row1[in1], at1[in1], row2[in2], at2[in2]
+    for low in range(0, len(known), width):
+        size = min(width, len(known) - low)
+        m1, m2 = np.zeros((len(one), size), np.float32), np.zeros((len(two), size), np.float32)
+        for m, row, at in ((m1, row1, at1), (m2, row2, at2)):
+            part = (at >= low) & (at < low + size)
+            m[row[part], at[part] - low] = 1
+        out += m1 @ m2.T
+    return out.astype(np.int64)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each document: set size, smallest document reachable by links of ``percent``
     or more, and whether that is the document itself."""
@@ -250,11 +350,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     heads = rows.filter("signature is not null").join(first, ["n", "c1", "c2"]).filter("doc_id = head").select("doc_id", "n", "signature")
     count = first.count()
     depth = max(2, math.ceil(math.log(max(count, 2) / LEAF) / -math.log(UNRELATED)))
-    alone = heads.withColumn("component", F.col("doc_id"))
-    once = cut(confirmed(docs, cut(candidates(leaves(alone, depth, min(FIRST_TREES, trees)), percent, False)), k, percent))
-    joined = heads.join(components(once).withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    again = cut(confirmed(docs, cut(candidates(leaves(joined, depth, trees), percent, True)), k, percent))
-    found = components(once.unionByName(again)).select(F.col("id").alias("head"), F.col("component").alias("component_id"))
+    met = cut(candidates(leaves(heads, depth, trees), percent))
+    links = cut(confirmed(docs, met.select("a", "b").distinct(), k, percent))
+    ties = met.filter("family = 1").select("a", "b")
+    if not ties.isEmpty():
+        links = links.unionByName(cut(within_families(docs, ties, links, k, percent)))
+    found = components(links).select(F.col("id").alias("head"), F.col("component").alias("component_id"))
     named = rows.select("doc_id", "n", "c1", "c2").join(first, ["n", "c1", "c2"]).join(found, "head", "left")
     reached = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "head"))
     out = named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), reached.alias("component_id"))
