@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-HELD_ROWS = 1_500_000  # rows a task holds before it settles them; memory, not a limit
+HELD_ROWS = 400_000  # rows a task holds before it settles them; memory, not a limit
 
 Arrays = dict[str, np.ndarray]
 

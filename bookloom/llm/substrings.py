@@ -50,11 +50,13 @@ def anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
 
     def found() -> Iterator[Arrays]:
         for batch in batches:
+            _, once = np.unique(batch.column("c1").to_numpy(zero_copy_only=False), return_index=True)
+            batch = batch.take(pa.array(np.sort(once)))
             c1 = batch.column("c1").to_numpy(zero_copy_only=False)
             for s in slices(batch.column("text")):
                 prefix, row = prefix_hash(s.hashes()), s.row_of_word
                 pos = np.arange(len(row)) - (np.cumsum(s.counts) - s.counts)[row]
-                at = np.flatnonzero(np.isin(pos % PERIOD, COVER) & (s.counts[row] - pos >= ANCHOR))
+                at = np.flatnonzero(np.isin(pos % PERIOD, COVER) & (s.counts[row] - pos >= ANCHOR) & (s.counts[row] >= LENGTH))
                 yield {"key": range_hash(prefix, at, at + ANCHOR), "c1": c1[s.first + row[at]], "pos": pos[at].astype(np.int32)}
 
     for rows in collected(found()):
@@ -249,7 +251,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     first = known.groupBy(F.col("c1").alias("m1"), F.col("c2").alias("m2")).agg(F.min("doc_id").alias("first_doc"))
     buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = (
-        outline.filter(F.col("text").isNotNull() & (F.col("n_words") >= LENGTH)).select("c1", "text").mapInArrow(lambda b: anchors(b, buckets), PACKED)
+        known.select("c1", "text").mapInArrow(lambda b: anchors(b, buckets), PACKED)
         .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared_anchors, "c1 long, pos int")
         .groupBy(F.col("c1").alias("p1")).agg(F.collect_list("pos").alias("places"))
     )
