@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from bookloom.llm.arrays import batch_of, carried, groups
 from bookloom.llm.components import components
+from bookloom.llm.joins import sized
 from bookloom.session import cut
 
 NEAREST = 6  # pivots that describe a vector
@@ -45,6 +46,23 @@ def classes_of(vectors: DataFrame) -> DataFrame:
     return usable(vectors).groupBy("label", "vector").agg(F.min("vec_id").alias("head"), F.count(F.lit(1)).alias("members"))
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled first, which keeps the squares of huge and tiny components finite."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _sent(x: np.ndarray) -> bytes:
+    """The components in four bytes each where that loses nothing, else in eight; the last byte says which."""
+    with np.errstate(over="ignore", under="ignore"):
+        short = x.astype(np.float32)
+    return short.tobytes() + b"f" if (short == x).all() else x.tobytes() + b"d"
+
+
+def _received(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw[:-1], np.float32 if raw[-1:] == b"f" else np.float64).astype(np.float64)
+
+
 def pivots_of(classes: DataFrame, limit: int = MAX_PIVOTS) -> np.ndarray:
     """At most ``limit`` vectors of the commonest dimension, drawn by hash; their number follows the root of the table's size.
 
@@ -59,8 +77,7 @@ def pivots_of(classes: DataFrame, limit: int = MAX_PIVOTS) -> np.ndarray:
     near = some.filter(F.pmod("o", F.lit(part)) == 0) if part > 1 else some
     rows = near.orderBy("o", "head").limit(4 * wanted).collect()
     found = np.array([r["vector"] for r in rows]).reshape(len(rows), shape["dim"])
-    found = found / np.abs(found).max(1, keepdims=True)
-    found = found / np.linalg.norm(found, axis=1, keepdims=True)
+    found = unit(found)
     picked: list[np.ndarray] = []
     for x in found:
         if len(picked) < wanted and (not picked or (np.stack(picked) @ x).max() < APART):
@@ -73,7 +90,7 @@ LISTED = "name long, pair int, head long, members long, near binary, vector bina
 
 def listed(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
     """One row per vector and list: ``name`` stands for the label, ``pair`` for two of the nearest pivots, ``near`` holds all of
-    them, sorted; ``vector`` has length one.
+    them, sorted.
 
     A vector of another dimension than the pivots is listed under that dimension (a negative pair).
     """
@@ -89,15 +106,14 @@ def listed(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
             flat, start = batch.column("vector").flatten().to_numpy(zero_copy_only=False), np.cumsum(size) - size
             for dim in np.unique(size):
                 at = np.flatnonzero(size == dim)
-                x = flat[start[at][:, None] + np.arange(dim)]
-                x = x / np.abs(x).max(1, keepdims=True)  # keeps squares of huge and tiny components finite
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                x = unit(flat[start[at][:, None] + np.arange(dim)])
                 if dim == points.shape[1] and k > 1:
                     near = np.sort(np.argsort(-(x @ points.T), axis=1, kind="stable")[:, :k], axis=1).astype(np.uint16)
                     pair = near[:, first].astype(np.int32) * 65536 + near[:, second]
                 else:
                     near, pair = np.zeros((len(at), k), np.uint16), np.full((len(at), 1), -int(dim), np.int32)
-                raw_near, raw = (pa.array([r.tobytes() for r in v], pa.binary()) for v in (near, x))
+                raw_near = pa.array([r.tobytes() for r in near], pa.binary())
+                raw = pa.array([_sent(r) for r in flat[start[at][:, None] + np.arange(dim)]], pa.binary())
                 for c in range(pair.shape[1]):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(fixed["name"][at]), pa.array(pair[:, c]), pa.array(fixed["head"][at]), pa.array(fixed["members"][at]), raw_near, raw],
@@ -111,7 +127,7 @@ def _group(rows: dict[str, np.ndarray], at: slice, limit: float) -> tuple[np.nda
     """Heads, counts of links that belong to this list, and smallest head tied by links of this group: among the rows of one
     block, or between the rows of two."""
     head, members, pair, across = rows["head"][at], rows["members"][at], rows["pair"][at][0], rows["across"][at][0]
-    x = np.stack([np.frombuffer(v, np.float64) for v in rows["vector"][at]])
+    x = unit(np.stack([_received(v) for v in rows["vector"][at]]))
     left = np.flatnonzero(rows["side"][at] == 0) if across else np.arange(len(head))
     right = np.flatnonzero(rows["side"][at] == 1) if across else left
     linked = x[left] @ x[right].T >= limit
@@ -166,7 +182,8 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.98, pivots: int =
     classes = cut(classes_of(vectors))
     rows = listed(classes, pivots_of(classes, pivots))
     blocks = rows.groupBy("name", "pair").count().select("name", "pair", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")).filter("blocks > 1")
-    placed = rows.join(blocks, ["name", "pair"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    # a list of blocks has BLOCK_ROWS rows at least, so these are few; counted before they are broadcast
+    placed = rows.join(sized(blocks), ["name", "pair"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("head"), F.col("blocks")).cast("int"))
     spread = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).select(
         "name", "pair", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") != F.col("with")).alias("across"),
