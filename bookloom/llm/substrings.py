@@ -82,19 +82,20 @@ PACKED = "bucket int, keys binary, low binary, high binary, texts binary, counts
 def packed(key: np.ndarray | None, c1: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """One row per bucket. Upper key bits name the bucket; KEY_BITS more travel, which is enough for anchors: they only filter,
     and a false meeting costs a comparison of windows. Positions and texts travel as numbers and runs."""
+    if not len(c1):
+        return
     bucket = bucket_of(mixed(c1.view(np.uint64)) if key is None else key, buckets)
     order = np.lexsort((pos, c1, bucket))
     bucket, c1, pos = bucket[order], c1[order], pos[order].astype(np.uint32)
     low = None if key is None else key[order]
-    start, _ = groups(bucket) if len(bucket) else (np.zeros(0, int), None)
+    start, _ = groups(bucket)
     rows = []
     for a, b in zip(start, np.append(start[1:], len(bucket)), strict=True):
         run, _ = groups(c1[a:b])
         k = b"" if low is None else low[a:b].astype(np.uint32).tobytes() + (low[a:b] >> np.uint64(32)).astype(np.uint8).tobytes()
         rows.append((int(bucket[a]), k, pos[a:b].astype(np.uint16).tobytes(), (pos[a:b] >> 16).astype(np.uint16).tobytes(), c1[a:b][run].tobytes(), np.diff(np.append(run, b - a)).astype(np.uint32).tobytes()))
-    if rows:
-        columns = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "keys", "low", "high", "texts", "counts"])
+    columns = list(zip(*rows, strict=True))
+    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "keys", "low", "high", "texts", "counts"])
 
 
 def unpacked(row: dict) -> Arrays:
