@@ -136,15 +136,15 @@ def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield from settle()
 
 
-def runs(doc: np.ndarray, c1: np.ndarray, pos: np.ndarray) -> Arrays:
-    """Adjacent positions of a document as (first, number)."""
-    order = np.lexsort((pos, c1, doc))
-    doc, c1, pos = doc[order], c1[order], pos[order]
+def runs(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> Arrays:
+    """Adjacent positions of a text as (first, number)."""
+    order = np.lexsort((pos, tag, doc))
+    doc, tag, pos = doc[order], tag[order], pos[order]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (c1[1:] != c1[:-1]) | (pos[1:] - pos[:-1] > 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] - pos[:-1] > 1)
     start = np.flatnonzero(new)
-    end = np.append(start[1:], len(doc)) - 1
-    return {"doc": doc[start], "c1": c1[start], "pos": pos[start].astype(np.int32), "n": (pos[end] - pos[start] + 1).astype(np.int32) if len(start) else np.zeros(0, np.int32)}
+    end = np.append(start[1:], len(doc))[: len(start)] - 1
+    return {"doc": doc[start], "tag": tag[start], "pos": pos[start].astype(np.int32), "n": (pos[end] - pos[start] + 1).astype(np.int32)}
 
 
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,17 +178,18 @@ def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 owner = s.row_of_word[at]
                 yield {
                     "key": range_hash(one, at, at + LENGTH).view(np.int64), "key2": range_hash(two, at, at + LENGTH).view(np.int64),
-                    "doc": doc[s.first + owner], "c1": c1[s.first + owner], "pos": (at - first[owner]).astype(np.int32),
+                    "doc": doc[s.first + owner], "tag": (c1[s.first + owner] & 0x7FFF).astype(np.int16), "pos": (at - first[owner]).astype(np.int32),
                 }
 
     for rows in collected(found()):
         order = np.lexsort((rows["doc"], rows["key2"], rows["key"]))
-        rows = {k: v[order] for k, v in rows.items()}
-        start, group = groups(rows["key"], rows["key2"])
-        later = rows["doc"] > rows["doc"][start][group]
+        start, group = groups(rows["key"][order], rows["key2"][order])
+        later = np.empty(len(order), bool)
+        later[order] = rows["doc"][order] > rows["doc"][order][start][group]
+        # rows leave in the order of the texts: neighbours share most bytes, which a shuffle compresses
         yield batch_of({**{k: v[~later] for k, v in rows.items()}, "n": np.zeros((~later).sum(), np.int32)})
-        settled = runs(rows["doc"][later], rows["c1"][later], rows["pos"][later])
-        spread = mixed(settled["c1"].view(np.uint64)).view(np.int64)
+        settled = runs(rows["doc"][later], rows["tag"][later], rows["pos"][later])
+        spread = mixed(settled["doc"].view(np.uint64)).view(np.int64)
         yield batch_of({"key": spread, "key2": np.zeros(len(spread), np.int64), **settled})
 
 
@@ -208,9 +209,8 @@ def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         smallest = ((rows["n"][end] > 0, rows["key"][end], rows["key2"][end]), least[-1])
         settled, later = rows["n"] > 0, rows["doc"] > least[group]
         fresh = later & ~settled
-        out = runs(rows["doc"][fresh], rows["c1"][fresh], rows["pos"][fresh])
-        yield batch_of(out)
-        yield batch_of({k: rows[k][settled] for k in ("doc", "c1", "pos", "n")})
+        yield batch_of(runs(rows["doc"][fresh], rows["tag"][fresh], rows["pos"][fresh]))
+        yield batch_of({k: rows[k][settled] for k in ("doc", "tag", "pos", "n")})
 
 
 def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,9 +259,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     by_text = outline.repartition("c1")
     sources = by_text.join(places, F.col("c1") == F.col("p1")).join(first, (F.col("c1") == F.col("m1")) & same("c2", "m2"))
     covered = (
-        sources.select("doc_id", "c1", "n_words", "text", "places", "first_doc").mapInArrow(windows, "key long, key2 long, doc long, c1 long, pos int, n int")
-        .repartition("key").sortWithinPartitions(F.col("n") > 0, "key", "key2", "doc").mapInArrow(repeated_windows, "doc long, c1 long, pos int, n int")
-        .groupBy(F.col("c1").alias("r1"), F.col("doc").alias("r_doc")).agg(F.collect_list(F.struct("pos", "n")).alias("ranges"))
+        sources.select("doc_id", "c1", "n_words", "text", "places", "first_doc").mapInArrow(windows, "key long, key2 long, doc long, tag short, pos int, n int")
+        .repartition("key").sortWithinPartitions(F.col("n") > 0, "key", "key2", "doc").mapInArrow(repeated_windows, "doc long, tag short, pos int, n int")
+        .groupBy(F.col("doc").alias("r_doc"), "tag").agg(F.collect_list(F.struct("pos", "n")).alias("ranges"))
+        .join(first.select(F.col("m1").alias("r1"), F.col("first_doc").alias("r_doc"), F.col("m1").bitwiseAND(F.lit(0x7FFF)).cast("short").alias("tag")), ["r_doc", "tag"])
     )
     joined = (
         by_text.join(first, (F.col("c1") == F.col("m1")) & same("c2", "m2"))
