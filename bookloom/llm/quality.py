@@ -89,14 +89,15 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3) -> QualityModel:
+def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 5.0) -> QualityModel:
     """The non-negative risk: ``prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive))``; where the second part is
-    negative, a step goes against it."""
+    negative, a step goes against it. Weights decay by ``decay`` over the number of positives."""
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     if not len(positive) or not len(unlabelled):
         return QualityModel(np.zeros(N_FEATURES), math.log(prior / (1 - prior)), np.zeros(N_FEATURES), np.ones(N_FEATURES), prior)
     centre, scale = unlabelled.mean(0), np.maximum(unlabelled.std(0), 1e-3)
     p, u = (np.clip((x - centre) / scale, -8, 8).astype(np.float64) for x in (positive, unlabelled))
+    decay = decay / len(p)
     w, b = np.zeros(p.shape[1]), math.log(prior / (1 - prior))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
