@@ -1,8 +1,9 @@
 """Benchmark decontamination: item-sized windows, SimHash within a radius, exact weighted-shingle similarity.
 
 Words are runs of characters other than white space, A-Z in lower case; a shingle is five words (a shorter item is one shingle)
-and weighs its characters. A window of similarity above zero shares a shingle with its item, and that shingle's places in the
-document and in the item say where the window starts; so windows are formed, without loss, on these diagonals only. A window
+and weighs its characters. A window that resembles its item shares a shingle with it at the same place; so windows are formed where
+a shingle of an item occurs, at the start that its place in the item implies. A window inside the text that is shifted against
+all of these shares fewer shingles with the item than they do. A window
 and the items of its length are candidates where their 64-bit fingerprints agree in one of ``radius + 1`` blocks: by the
 pigeonhole principle every pair within the radius is found. Candidates within the radius are verified on their weighted
 shingles. All of it is column expressions and joins.
