@@ -2,7 +2,7 @@
 
 Anchors are runs of ``LENGTH - PERIOD + 1`` words at positions whose remainder by PERIOD lies in a difference cover: for any two
 positions there is a shift below PERIOD that takes both into the cover, so two equal windows always share an anchor. Anchors
-found in more than one text are extended: only windows around them are compared, by 128-bit hashes.
+found in more than one text are extended: only windows around them are compared, by 96-bit hashes.
 
 Exact copies travel without their text: a task sends each text once, and a copy of a smaller document needs no windows. Keys
 that meet within a task are settled there, so a frequent passage sends one row per task and not one per document.
@@ -28,7 +28,7 @@ from bookloom.llm.words import mixed, prefix_hash, range_hash, slices
 LENGTH = 13
 PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = LENGTH - PERIOD + 1
-KEY_BITS = 40
+KEY_BITS = 32
 BUCKETS_PER_PARTITION = 4
 def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number of words; texts of a window or more go on once per batch, with the smallest document."""
@@ -92,7 +92,7 @@ def packed(key: np.ndarray | None, c1: np.ndarray, pos: np.ndarray, buckets: int
     rows = []
     for a, b in zip(start, np.append(start[1:], len(bucket)), strict=True):
         run, _ = groups(c1[a:b])
-        k = b"" if low is None else low[a:b].astype(np.uint32).tobytes() + (low[a:b] >> np.uint64(32)).astype(np.uint8).tobytes()
+        k = b"" if low is None else low[a:b].astype(np.uint32).tobytes()
         rows.append((int(bucket[a]), k, pos[a:b].astype(np.uint16).tobytes(), (pos[a:b] >> 16).astype(np.uint16).tobytes(), c1[a:b][run].tobytes(), np.diff(np.append(run, b - a)).astype(np.uint32).tobytes()))
     columns = list(zip(*rows, strict=True))
     yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "keys", "low", "high", "texts", "counts"])
@@ -100,11 +100,10 @@ def packed(key: np.ndarray | None, c1: np.ndarray, pos: np.ndarray, buckets: int
 
 def unpacked(row: dict) -> Arrays:
     counts = np.frombuffer(row["counts"], np.uint32)
-    n = int(counts.sum())
     pos = np.frombuffer(row["low"], np.uint16).astype(np.int32) | (np.frombuffer(row["high"], np.uint16).astype(np.int32) << 16)
     out = {"c1": np.repeat(np.frombuffer(row["texts"], np.int64), counts), "pos": pos}
     if row["keys"]:
-        out["key"] = np.frombuffer(row["keys"][: 4 * n], np.uint32).astype(np.uint64) | (np.frombuffer(row["keys"][4 * n :], np.uint8).astype(np.uint64) << np.uint64(32))
+        out["key"] = np.frombuffer(row["keys"], np.uint32)
     return out
 
 
@@ -177,7 +176,7 @@ def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.flatnonzero(np.cumsum(level[:-1]) > 0)
                 owner = s.row_of_word[at]
                 yield {
-                    "key": range_hash(one, at, at + LENGTH).view(np.int64), "key2": range_hash(two, at, at + LENGTH).view(np.int64),
+                    "key": range_hash(one, at, at + LENGTH).view(np.int64), "key2": range_hash(two, at, at + LENGTH).astype(np.uint32).view(np.int32),
                     "doc": doc[s.first + owner], "tag": (c1[s.first + owner] & 0x7FFF).astype(np.int16), "pos": (at - first[owner]).astype(np.int32),
                 }
 
@@ -190,7 +189,7 @@ def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of({**{k: v[~later] for k, v in rows.items()}, "n": np.zeros((~later).sum(), np.int32)})
         settled = runs(rows["doc"][later], rows["tag"][later], rows["pos"][later])
         spread = mixed(settled["doc"].view(np.uint64)).view(np.int64)
-        yield batch_of({"key": spread, "key2": np.zeros(len(spread), np.int64), **settled})
+        yield batch_of({"key": spread, "key2": np.zeros(len(spread), np.int32), **settled})
 
 
 def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +258,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     by_text = outline.repartition("c1")
     sources = by_text.join(places, F.col("c1") == F.col("p1")).join(first, (F.col("c1") == F.col("m1")) & same("c2", "m2"))
     covered = (
-        sources.select("doc_id", "c1", "n_words", "text", "places", "first_doc").mapInArrow(windows, "key long, key2 long, doc long, tag short, pos int, n int")
+        sources.select("doc_id", "c1", "n_words", "text", "places", "first_doc").mapInArrow(windows, "key long, key2 int, doc long, tag short, pos int, n int")
         .repartition("key").sortWithinPartitions(F.col("n") > 0, "key", "key2", "doc").mapInArrow(repeated_windows, "doc long, tag short, pos int, n int")
         .groupBy(F.col("doc").alias("r_doc"), "tag").agg(F.collect_list(F.struct("pos", "n")).alias("ranges"))
         .join(first.select(F.col("m1").alias("r1"), F.col("first_doc").alias("r_doc"), F.col("m1").bitwiseAND(F.lit(0x7FFF)).cast("short").alias("tag")), ["r_doc", "tag"])
