@@ -35,7 +35,6 @@ TYPED_RELATIONS_KEPT = 50
 PAIRS_PER_CHUNK = 8
 WINDOW_CHARS = 8000
 MODEL_PARENTS = 60
-LPA_ROUNDS = 20
 
 # communities
 SUMMARY_MEMBERS = 16

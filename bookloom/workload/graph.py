@@ -295,9 +295,30 @@ def legacy_collapse(spark, folder):
 # ── communities ─────────────────────────────────────────────────────────────────────────────────
 
 
-@query()
+# Label propagation written out by rounds: every row of the recursion is a node's label in a round.
+_LPA = ("""
+und AS MATERIALIZED (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(weight) AS w FROM relations WHERE src <> dst GROUP BY ALL),
+links AS MATERIALIZED (SELECT a AS u, b AS v, w FROM und UNION ALL SELECT b, a, w FROM und)""", """
+st(r, node, label) AS (
+  SELECT 0, canonical, canonical FROM entities
+  UNION ALL (
+    WITH votes AS (SELECT u, label, sum(w) AS w FROM (SELECT l.u, s.label, l.w FROM links l JOIN st s ON s.node = l.v UNION ALL SELECT node, label, 1.0 FROM st) GROUP BY ALL),
+    best AS (SELECT u, label AS best FROM votes QUALIFY row_number() OVER (PARTITION BY u ORDER BY w DESC, label) = 1),
+    wish AS (SELECT s.r, s.node, s.label, b.best FROM st s JOIN best b ON b.u = s.node),
+    held AS (SELECT DISTINCT l.u FROM links l JOIN wish x ON x.node = l.u JOIN wish y ON y.node = l.v
+      WHERE l.v < l.u AND x.best <> x.label AND y.best <> y.label AND (y.best = x.label OR x.best = y.label))
+    SELECT r + 1, node, CASE WHEN node IN (SELECT u FROM held) THEN label ELSE best END FROM wish WHERE EXISTS (SELECT 1 FROM wish WHERE best <> label)))""", """
+settled AS MATERIALIZED (SELECT node, label FROM st WHERE r = (SELECT max(r) FROM st)),
+lpa AS MATERIALIZED (SELECT s.node, 'c' || (h.k - 1) AS cid FROM settled s
+  JOIN (SELECT label, row_number() OVER (ORDER BY min(node)) AS k FROM settled GROUP BY label) h ON h.label = s.label),
+lpa_degree AS (SELECT u AS node, count(*) AS degree FROM links GROUP BY u),
+lpa_ranks AS MATERIALIZED (SELECT l.node, l.cid, coalesce(d.degree, 0) AS degree, row_number() OVER (PARTITION BY l.cid ORDER BY coalesce(d.degree, 0) DESC, l.node) AS rnk
+  FROM lpa l LEFT JOIN lpa_degree d ON d.node = l.node)""")
+
+
+@query(s.with_(s.ENTITIES, *_LPA, recursive=True) + "SELECT node, cid, degree, rnk FROM lpa_ranks")
 def lpa_communities(spark, folder):
-    return _long(cm.detect(_graph(spark, folder)), "rnk").select("node", "cid", "engine", "degree", "rnk")
+    return _long(cm.detect(_graph(spark, folder)), "rnk").select("node", "cid", "degree", "rnk")
 
 
 @query()

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from bookloom.operators import communities as cm
@@ -99,39 +100,45 @@ def test_shortest_paths_match_breadth_first_search(spark):
         assert have == want, qid
 
 
-def sequential(nodes, edges):
-    index = {n: i for i, n in enumerate(nodes)}
-    label, links = list(range(len(nodes))), defaultdict(list)
-    for a, b, w in edges:
-        links[index[a]].append((index[b], w))
-        links[index[b]].append((index[a], w))
-    for _ in range(20):
-        before = list(label)
-        for i in range(len(nodes)):
-            votes = defaultdict(float, {label[i]: 1.0})
-            for j, w in links[i]:
-                votes[label[j]] += w
-            label[i] = min(votes, key=lambda k: (-votes[k], k))
-        if label == before:
-            break
-    order = {}
-    return {n: f"c{order.setdefault(label[i], len(order))}" for i, n in enumerate(nodes)}
-
-
-def test_label_propagation_matches_sequential_rule(spark):
-    rng = random.Random(4)
-    nodes = [f"n{i:02d}" for i in range(40)]
-    edges = sorted({tuple(sorted(rng.sample(nodes[k : k + 10], 2))) + (float(rng.randint(1, 4)),) for k in (0, 10, 20) for _ in range(14)})
-    edges = list({(a, b): (a, b, w) for a, b, w in edges}.values())
-    n = spark.createDataFrame([(x,) for x in nodes], "node string")
-    e = spark.createDataFrame(edges, "a string, b string, weight double")
-    got = {r.node: r.cid for r in cm.compact_ids(cm.label_propagation(n, e)).collect()}
-    assert got == sequential(nodes, edges)
-    rounds = cm.label_propagation(n, e, task_limit=0).collect()
+def random_graph(spark, seed, n=40, m=70):
+    rng = random.Random(seed)
+    nodes = [f"n{i:02d}" for i in range(n)]
+    weight = {tuple(sorted(rng.sample(nodes, 2))): float(rng.randint(1, 4)) for _ in range(m)}
+    edges = [(a, b, w) for (a, b), w in weight.items()]
+    return nodes, edges, spark.createDataFrame([(x,) for x in nodes], "node string"), spark.createDataFrame(edges, "a string, b string, weight double")
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_label_propagation_ends_where_no_node_wants_to_move(spark, seed):
+    nodes, edges, n, e = random_graph(spark, seed)
+    label = {r.node: r.label for r in cm.label_propagation(n, e).collect()}
     comp = {r.node: r.comp for r in cm.components(n, e).collect()}
-    assert all(comp[r.node] == comp[r.label] for r in rounds)
-    again = {r.node: r.label for r in cm.label_propagation(n.repartition(3), e.repartition(5), task_limit=0).collect()}
-    assert {r.node: r.label for r in rounds} == again
+    assert set(label) == set(nodes) and all(comp[x] == comp[label[x]] for x in nodes)
+    for x in nodes:
+        votes = defaultdict(float, {label[x]: 1.0})
+        for a, b, w in edges:
+            if x in (a, b):
+                votes[label[b if x == a else a]] += w
+        assert min(votes, key=lambda k: (-votes[k], k)) == label[x]
+    again = {r.node: r.label for r in cm.label_propagation(n.repartition(3), e.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight").repartition(5)).collect()}
+    assert again == label
+
+
+def test_chains_stay_together(spark):
+    n = spark.createDataFrame([(f"x{i}",) for i in range(6)], "node string")
+    e = spark.createDataFrame([("x0", "x1", 1.0), ("x1", "x2", 1.0), ("x3", "x4", 1.0)], "a string, b string, weight double")
+    got = {r.node: r.cid for r in cm.compact_ids(cm.label_propagation(n, e)).collect()}
+    assert got == {"x0": "c0", "x1": "c0", "x2": "c0", "x3": "c1", "x4": "c1", "x5": "c2"}
+
+
+def test_rounds_on_a_chain_in_name_order(spark, monkeypatch):
+    """The dearest case: each node waits for the one before, so rounds follow the length of such a chain. They are not capped."""
+    cuts = []
+    monkeypatch.setattr(cm, "cut", lambda df, real=cm.cut: cuts.append(1) or real(df))
+    n = spark.createDataFrame([(f"x{i:02d}",) for i in range(12)], "node string")
+    e = spark.createDataFrame([(f"x{i:02d}", f"x{i + 1:02d}", 1.0) for i in range(11)], "a string, b string, weight double")
+    assert {r.label for r in cm.label_propagation(n, e).collect()} == {"x00"}
+    assert len(cuts) <= 14
 
 
 def test_modularity_splits_two_cliques(spark):
