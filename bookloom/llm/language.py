@@ -232,5 +232,6 @@ def identified(docs: DataFrame, model: LanguageModel | None, min_score: float =
         for batch in batches:
             lang, score, _, _ = predictor(batch.column("text"))
             yield batch.filter(pa.array((lang != UNDETERMINED) & (score >= min_score)))
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)

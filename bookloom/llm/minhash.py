@@ -91,6 +91,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
             lead &= n > 0
             raw = pa.array([t.tobytes() if keep else None for t, keep in zip(tokens, lead, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), raw], names=["doc_id", "n", "c1", "c2", "signature"])
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull()).mapInArrow(run, SIGNED)
 
