@@ -76,7 +76,7 @@ def stats(entries: DataFrame, lookups: DataFrame, now) -> DataFrame:
     """One row: live entries, hits, misses, hit rate (4 digits, 0 when nothing was asked)."""
     log = lookups.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
     live = entries.agg(F.count_if(F.col("expires_at") > now).alias("entries"))
-    both = log.withColumn("_one", F.lit(1)).join(live.withColumn("_one", F.lit(1)), "_one")
+    both = log.crossJoin(F.broadcast(live))  # one row each
     total = F.col("hits") + F.col("misses")
     return both.select(
         "entries", "hits", "misses",

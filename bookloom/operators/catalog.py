@@ -134,7 +134,8 @@ def job_errors(files: DataFrame) -> DataFrame:
 
 
 def newest_runs(runs: DataFrame, by: str = "run_at", n: int = 10) -> DataFrame:
-    return runs.orderBy(F.desc(by)).limit(n)
+    """The ``n`` latest rows; equal times are ordered by the remaining columns."""
+    return runs.orderBy(F.desc(by), F.xxhash64(*[c for c in runs.columns if c != by])).limit(n)
 
 
 def last_run(runs: DataFrame) -> DataFrame:
@@ -144,12 +145,10 @@ def last_run(runs: DataFrame) -> DataFrame:
 def documents_since(documents: DataFrame, jobs: DataFrame, runs: DataFrame) -> DataFrame:
     """One row: documents of finished jobs created after the latest run, and that run's time."""
     done = jobs.filter("status = 'done'").select("job_id", F.col("created_at").alias("job_at"))
-    held = documents.select("job_id").join(done, "job_id").withColumn("_one", F.lit(1))
-    last = last_run(runs).withColumn("_one", F.lit(1))
-    since = held.join(last, "_one").filter(F.col("last_run").isNull() | (F.col("job_at") > F.col("last_run")))
-    return last.join(since.groupBy("_one").agg(F.count(F.lit(1)).alias("docs_since")), "_one", "left").select(
-        F.coalesce("docs_since", F.lit(0)).alias("docs_since"), "last_run"
-    )
+    last = last_run(runs)  # one row, beside every document
+    held = documents.select("job_id").join(done, "job_id").crossJoin(F.broadcast(last))
+    since = held.filter(F.col("last_run").isNull() | (F.col("job_at") > F.col("last_run"))).agg(F.count(F.lit(1)).alias("docs_since"))
+    return since.crossJoin(F.broadcast(last))
 
 
 def should_run(policy: Column, docs_since: Column, last_run_at: Column, now: Column, min_docs: Column | int = 3, hours: int = 24) -> Column:

@@ -513,13 +513,13 @@ def surprise_cards(g: Graph, limit: int = 6) -> DataFrame:
 
 
 def shared_sentence(name: Column, corpora: Column) -> Column:
-    return F.format_string("%s appears in both %s — a rare concept bridging separate libraries.", name, F.array_join(corpora, ", "))
+    return F.format_string("%s is found in each of these libraries: %s.", name, F.array_join(corpora, ", "))
 
 
 def bridge_sentence(vault_a: Column, source: Column, vault_b: Column, target: Column) -> Column:
     return F.format_string(
-        "%s's %s is connected to %s's %s.",
-        F.coalesce(vault_a, F.lit("a vault")), source, F.coalesce(vault_b, F.lit("another vault")), target,
+        "In %s there is %s; it is related to what %s holds on %s.",
+        F.coalesce(vault_a, F.lit("one library")), source, F.coalesce(vault_b, F.lit("a second library")), target,
     )
 
 
@@ -528,11 +528,11 @@ def journey_sentence(source: Column, target: Column, outcome: Column, names: Col
     first, last = names[0], F.element_at(names, -1)
     middle = F.array_join(F.slice(names, F.lit(2), F.greatest(F.size(names) - 2, F.lit(0))), ", ")
     return (
-        F.when(outcome == "same", F.lit("Start and destination are the same entity."))
-        .when(outcome == "none", F.format_string("No path found between '%s' and '%s' in the current graph.", source, target))
-        .when(F.size(names) < 2, F.format_string("'%s' and '%s' are the same node.", source, target))
-        .when(F.size(names) == 2, F.format_string("'%s' and '%s' are directly connected in the library.", first, last))
-        .otherwise(F.format_string("The shortest path from '%s' to '%s' runs through %s — each hop carries the previous idea forward.", first, last, middle))
+        F.when(outcome == "same", F.lit("Both ends are one entity."))
+        .when(outcome == "none", F.format_string("The graph holds no way from '%s' to '%s'.", source, target))
+        .when(F.size(names) < 2, F.format_string("'%s' and '%s' name one node.", source, target))
+        .when(F.size(names) == 2, F.format_string("One edge leads from '%s' to '%s'.", first, last))
+        .otherwise(F.format_string("From '%s' to '%s' the shortest way passes %s.", first, last, middle))
     )
 
 

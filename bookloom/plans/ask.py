@@ -14,6 +14,8 @@ from bookloom.plans.retrieve import RetrievalConfig, retrieve_context, with_vect
 from bookloom.session import cut
 from bookloom.sources.library import Library
 
+GREETING = "Ask me anything about the documents of this library."
+
 
 @dataclass(frozen=True)
 class Answered:
@@ -34,15 +36,17 @@ def route(questions: DataFrame) -> DataFrame:
 
 def answer(
     lib: Library, questions: DataFrame, versions: DataFrame, entries: DataFrame, now: Column,
-    generate=None, model: str = "llama-3.3-70b-versatile",
+    generate=None, model: str = "llama-3.3-70b-versatile", chat=None, fast_model: str = "llama-3.1-8b-instant",
 ) -> Answered:
     """Answer ``questions(qid, question, corpus, conversation_id)``.
 
-    Small talk (the fast lane) skips cache and retrieval. Cached answers are replayed; the rest is
-    retrieved (with graph boost in the deep lane), generated by ``generate(df) -> df with answer,
+    Small talk (the fast lane) skips cache and retrieval: ``chat(df) -> df with answer, error`` replies
+    at the price of ``fast_model``. Cached answers are replayed with their sources and citations. A
+    question without conversation opens one of its own. The rest is retrieved (with graph boost in the deep lane), generated by ``generate(df) -> df with answer,
     error`` over ``user_text`` and ``citations``, and grounded.
     """
-    routed = cut(with_vectors(route(questions)))
+    opened = questions.withColumn("conversation_id", F.coalesce("conversation_id", F.concat(F.lit("conv-"), F.col("qid").cast("string"))))
+    routed = cut(with_vectors(route(opened)))
     serious = routed.filter("lane <> 'fast'")
     current = ct.current_versions(versions)
     asked = serious.withColumn("_c", F.coalesce("corpus", F.lit("default"))).join(
@@ -50,8 +54,8 @@ def answer(
     ).withColumn("version", F.coalesce("version", F.lit(0))).drop("_c")
     looked = cut(cache.lookup(asked, entries, now))
     hit = looked.filter("hit").select("qid", "entry_id").join(
-        entries.select("entry_id", F.col("answer").alias("stored")), "entry_id"
-    ).select("qid", "stored")
+        entries.select("entry_id", F.col("answer").alias("stored"), F.col("sources").alias("stored_sources"), F.col("citations").alias("stored_citations")), "entry_id"
+    ).select("qid", "stored", "stored_sources", "stored_citations")
     open_questions = asked.join(hit, "qid", "left_anti")
 
     deep = retrieve_context(lib, open_questions.filter("lane = 'deep'"), RetrievalConfig(graph_boost=True))
@@ -74,17 +78,20 @@ def answer(
     )
     replay = asked.join(hit, "qid").select(
         "qid", "question", "corpus", "conversation_id", "lane", "vector", "version", F.col("stored").alias("answer"), F.lit(True).alias("cached"),
-        F.lit(None).cast("string").alias("error"), F.lit("[]").alias("citations"), F.lit("[]").alias("sources"), F.lit(False).alias("grounded"),
+        F.lit(None).cast("string").alias("error"), F.coalesce("stored_citations", F.lit("[]")).alias("citations"),
+        F.coalesce("stored_sources", F.lit("[]")).alias("sources"), F.lit(False).alias("grounded"),
         F.lit(0).alias("tokens_in"), F.lit(0).alias("tokens_out"),
     )
-    chat = routed.filter("lane = 'fast'").select(
-        "qid", "question", "corpus", "conversation_id", "lane", "vector", F.lit(0).alias("version"), F.lit("").alias("answer"), F.lit(False).alias("cached"),
-        F.lit(None).cast("string").alias("error"), F.lit("[]").alias("citations"), F.lit("[]").alias("sources"), F.lit(False).alias("grounded"),
-        token_estimate(F.col("question")).alias("tokens_in"), F.lit(0).alias("tokens_out"),
+    talked = routed.filter("lane = 'fast'")
+    talked = chat(talked) if chat else talked.withColumn("answer", F.lit(GREETING)).withColumn("error", F.lit(None).cast("string"))
+    small_talk = talked.select(
+        "qid", "question", "corpus", "conversation_id", "lane", "vector", F.lit(0).alias("version"), "answer", F.lit(False).alias("cached"),
+        "error", F.lit("[]").alias("citations"), F.lit("[]").alias("sources"), F.lit(False).alias("grounded"),
+        token_estimate(F.col("question")).alias("tokens_in"), word_count(F.coalesce("answer", F.lit(""))).alias("tokens_out"),
     )
     everything = ct.with_cost(
-        fresh.unionByName(replay).unionByName(chat).withColumn("model", F.lit(model)), ct.price_table(lib.spark)
+        fresh.unionByName(replay).unionByName(small_talk).withColumn("model", F.when(F.col("lane") == "fast", fast_model).otherwise(model)), ct.price_table(lib.spark)
     )
     usage = F.to_json(F.struct(F.col("tokens_in").alias("in"), F.col("tokens_out").alias("out"), "lane"))
-    talk = everything.filter("conversation_id is not null and lane <> 'fast'").withColumn("usage", usage)
+    talk = everything.withColumn("usage", usage)
     return Answered(everything.drop("vector", "version", "model"), cache.new_entries(fresh, now), cv.exchange_rows(talk, now), looked)

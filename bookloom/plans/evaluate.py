@@ -47,7 +47,7 @@ def run(lib: Library, golden: DataFrame, config: RetrievalConfig, answer=None, j
     useful = contexts.join(replied.select("qid", "question"), "qid").select("qid", "rnk", judge(F.col("question"), F.substring("text", 1, 1500)).alias("useful"))
     precision = replied.select("qid").join(ev.context_precision(useful), "qid", "left").select("qid", F.coalesce("score", F.lit(0.0)).alias("score"))
     embed = lambda c: hash_embedding(c).cast("array<float>")
-    derived = replied.select("qid", F.explode(F.slice(F.split("answer", r"(?<=[.!?])\s+"), 1, 3)).alias("derived_question"))
+    derived = replied.select("qid", F.explode(F.split("answer", r"(?<=[.!?])\s+")).alias("derived_question"))
     cost = ct.with_cost(replied.withColumn("model", F.lit(model)), ct.price_table(lib.spark)).select("qid", F.col("cost_usd").alias("score"))
     parts = {
         "faithfulness": ev.faithfulness(replied, contexts, judge),

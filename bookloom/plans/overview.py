@@ -12,7 +12,7 @@ from bookloom.plans.reorganize import top_summaries
 def word_note(question: Column, summary: Column) -> Column:
     """Default map step: the summary when it shares a word with the question, else ``irrelevant``."""
     bag = lambda c: F.array_distinct(words(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))))
-    return F.when(F.arrays_overlap(bag(question), bag(summary)), F.substring(summary, 1, 200)).otherwise("irrelevant")
+    return F.when(F.arrays_overlap(bag(question), bag(summary)), summary).otherwise("irrelevant")
 
 
 def global_answers(
@@ -25,8 +25,8 @@ def global_answers(
     """
     packed = top_summaries(communities, budget).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("entity_count")).alias("o"), "cid", "summary"))).alias("top")
-    ).withColumn("_one", F.lit(1))
-    asked = queries.withColumn("_one", F.lit(1)).join(packed, "_one").select("qid", "question", F.posexplode("top").alias("i", "c"))
+    )
+    asked = queries.crossJoin(F.broadcast(packed)).select("qid", "question", F.posexplode("top").alias("i", "c"))
     notes = asked.select(
         "qid", "question", (F.col("i") + 1).alias("n"), F.col("c.cid").alias("cid"), F.col("c.summary").alias("summary"),
         strip(note(F.col("question"), F.col("c.summary"))).alias("note"),

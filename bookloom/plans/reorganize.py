@@ -54,13 +54,12 @@ def run(
     state = cut(ct.documents_since(documents, jobs, runs))
     due = state.select(ct.should_run(F.lit(policy), F.col("docs_since"), F.col("last_run"), now, min_docs).alias("due")).first()["due"]
     before = (previous if previous is not None else g.entities.sparkSession.createDataFrame([], PREVIOUS)).agg(F.count_distinct("cid").alias("communities_before"))
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    base = one(state.select(now.alias("run_at"), F.lit(trigger).alias("triggered_by"), "docs_since")).join(one(before), "_one")
+    base = state.select(now.alias("run_at"), F.lit(trigger).alias("triggered_by"), "docs_since").crossJoin(F.broadcast(before))  # one row each
     if not due:
         return None, base.select("run_at", "triggered_by", "docs_since", "communities_before", F.col("communities_before").alias("communities_after"), F.lit(0).cast("long").alias("summaries_made"), F.lit(False).alias("ran"))
     fresh = cut(refresh(g, previous, summarise))
     after = fresh.agg(F.count(F.lit(1)).alias("communities_after"), F.count_if("made").alias("summaries_made"))
-    log = base.join(one(after), "_one").drop("_one").withColumn("ran", F.lit(True))
+    log = base.crossJoin(F.broadcast(after)).withColumn("ran", F.lit(True))
     return fresh, log
 
 

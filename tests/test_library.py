@@ -167,9 +167,12 @@ def test_ask(spark, tiny):
     q = spark.createDataFrame([("1", "What is a tensor", "x", "c1"), ("2", "Who met Nehru in Delhi", None, "c1"), ("3", "hi", None, "c1"), ("4", "Compare Patel and Bose", None, None)],
                               "qid string, question string, corpus string, conversation_id string")
     versions = spark.createDataFrame([("x", 1)], "corpus string, version int")
-    out = ask.answer(tiny, q, versions, entries(spark), now())
+    stored = entries(spark).withColumn("sources", F.lit('[{"n":1}]')).withColumn("citations", F.lit("[1]"))
+    out = ask.answer(tiny, q, versions, stored, now())
     by = {r.qid: r for r in out.answers.collect()}
     assert by["1"].cached and by["1"].answer == "stored" and by["3"].lane == "fast" and by["4"].lane == "deep"
     assert by["2"].grounded and by["2"].answer.endswith("[1]") and by["2"].cost_usd > 0
     assert {r.entry_id for r in out.cache_entries.collect()} == {"2", "4"}
-    assert out.messages.count() == 4
+    assert by["3"].answer and by["1"].sources == '[{"n":1}]' and by["1"].citations == "[1]"
+    said = out.messages.collect()
+    assert len(said) == 8 and {r.conversation_id for r in said} == {"c1", "conv-4"}
