@@ -16,7 +16,7 @@ from bookloom.operators.scope import normalised
 from bookloom.session import cut
 from bookloom.sources import sample
 from bookloom.sources.library import open_sample
-from bookloom.workload import query
+from bookloom.workload import query, texts
 from bookloom.workload import sql as s
 
 
@@ -50,27 +50,33 @@ near AS MATERIALIZED (SELECT q.message_id AS qid, e.entry_id, e.content AS store
   QUALIFY row_number() OVER (PARTITION BY q.message_id ORDER BY round(list_cosine_similarity(q.v, e.v), 9) DESC, e.entry_id) = 1)"""
 
 
-@query(s.with_(*_CACHE, _NEAREST) + "SELECT m.message_id AS qid, n.entry_id, round(n.sim, 6) AS sim, coalesce(n.sim >= 0.92, false) AS hit FROM um m LEFT JOIN near n ON n.qid = m.message_id")
+# The nearest entry serves a question if it is close and the wording guard has nothing against it.
+_SERVED = (f"""
+tk AS MATERIALIZED (SELECT *, {texts._TOK.format(x='stored')} AS a, {texts._TOK.format(x='asked')} AS b, {texts._CAP.format(x='stored')} AS ca, {texts._CAP.format(x='asked')} AS cb FROM near)""", f"""
+lk AS MATERIALIZED (SELECT m.message_id AS qid, n.entry_id, round(n.sim, 6) AS sim, coalesce(n.sim >= 0.92 AND NOT ({texts.DIFFERENT}), false) AS hit
+  FROM um m LEFT JOIN tk n ON n.qid = m.message_id)""")
+
+
+@query(s.with_(*_CACHE, _NEAREST, *_SERVED) + "SELECT qid, entry_id, sim, hit FROM lk")
 def cache_lookup(spark, folder):
-    """Nearest live entry and the similarity test; the wording guard has its own query."""
+    """Nearest live entry, its similarity, and whether it serves the question."""
     asked, entries = _cache_tables(spark, folder)
-    out = cache.lookup(asked, entries, F.timestamp_seconds(F.lit(NOW)), guard=False)
+    out = cache.lookup(asked, entries, F.timestamp_seconds(F.lit(NOW)))
     return out.select("qid", "entry_id", F.round("sim", 6).alias("sim"), "hit")
 
 
-@query()
+@query(s.with_(*_CACHE, _NEAREST, *_SERVED) + "SELECT qid, entry_id, hit FROM lk")
 def cache_lookup_guarded(spark, folder):
     asked, entries = _cache_tables(spark, folder)
     return cache.lookup(asked, entries, F.timestamp_seconds(F.lit(NOW))).select("qid", "entry_id", "hit")
 
 
-@query(s.with_(*_CACHE, _NEAREST, """
-lk AS (SELECT coalesce(n.sim >= 0.92, false) AS hit FROM um m LEFT JOIN near n ON n.qid = m.message_id)""") + """
+@query(s.with_(*_CACHE, _NEAREST, *_SERVED) + """
 SELECT (SELECT count(*) FROM entries WHERE live) AS entries, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (hit) / count(*), 4) AS hit_rate FROM lk""")
 def cache_stats(spark, folder):
     asked, entries = _cache_tables(spark, folder)
     now = F.timestamp_seconds(F.lit(NOW))
-    return cache.stats(entries, cache.lookup(asked, entries, now, guard=False), now)
+    return cache.stats(entries, cache.lookup(asked, entries, now), now)
 
 
 @query(s.with_(*_CACHE, """

@@ -131,16 +131,20 @@ _CAP = (
 )
 
 
+# Whether two questions, as token lists a, b and name lists ca, cb, must not share an answer.
+DIFFERENT = """CASE WHEN len(a) = 0 OR len(b) = 0 THEN true
+  WHEN CAST(len(list_intersect(list_distinct(a), list_distinct(b))) AS DOUBLE) / len(list_distinct(list_concat(a, b))) < 0.8 THEN true
+  WHEN CAST(greatest(len(a), len(b)) AS DOUBLE) / greatest(least(len(a), len(b)), 1) > 1.5 THEN true
+  WHEN len(ca) > 0 AND len(cb) > 0 AND ca <> cb THEN true ELSE false END"""
+
+
 @query(s.with_(s.QUESTIONS, f"""
 pairs AS (SELECT a.qid, b.question AS stored, a.question AS asked, 'next' AS kind FROM questions a JOIN questions b
     ON b.item_id = a.item_id + 1 AND right(b.qid, 3) = right(a.qid, 3)
   UNION ALL SELECT qid, question, question || ' ?', 'same' FROM questions
   UNION ALL SELECT qid, question, question || ' Bombay', 'named' FROM questions),
 tok AS (SELECT *, {_TOK.format(x='stored')} AS a, {_TOK.format(x='asked')} AS b, {_CAP.format(x='stored')} AS ca, {_CAP.format(x='asked')} AS cb FROM pairs)""") + """
-SELECT qid, kind, CASE WHEN len(a) = 0 OR len(b) = 0 THEN true
-  WHEN CAST(len(list_intersect(list_distinct(a), list_distinct(b))) AS DOUBLE) / len(list_distinct(list_concat(a, b))) < 0.8 THEN true
-  WHEN CAST(greatest(len(a), len(b)) AS DOUBLE) / greatest(least(len(a), len(b)), 1) > 1.5 THEN true
-  WHEN len(ca) > 0 AND len(cb) > 0 AND ca <> cb THEN true ELSE false END AS different FROM tok""")
+SELECT qid, kind, """ + DIFFERENT + " AS different FROM tok")
 def dup_question_guard(spark, folder):
     q = sample.questions(spark, folder)
     n = F.right("qid", F.lit(3))
