@@ -292,6 +292,24 @@ def legacy_collapse(spark, folder):
         "canonical", "name", F.coalesce("n_aliases", F.lit(0)).alias("n_aliases"), "n_docs")
 
 
+@query(s.with_(s.ENTITIES) + f"""
+, step AS (SELECT a.name AS x, b.name AS y FROM doc_entities a JOIN doc_entities b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1),
+raw AS (SELECT upper(x) || '.' AS src, y AS dst FROM step UNION ALL SELECT x, upper(y) || '.' FROM step),
+k AS (SELECT {s.canonical('src')} AS src, {s.canonical('dst')} AS dst FROM raw)
+SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM k WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL""")
+def legacy_relations(spark, folder):
+    """Relations between raw spellings are re-pointed to the entities they collapse onto, and merged."""
+    lib = open_sample(spark, folder)
+    d = lib.doc_entities.select("doc_id", "pos", "name")
+    step = d.join(d.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("name").alias("next")), ["doc_id", "pos"])
+    loud = lambda c: F.concat(F.upper(c), F.lit("."))
+    raw = step.select(loud("name").alias("src"), F.col("next").alias("dst")).unionByName(step.select(F.col("name").alias("src"), loud("next").alias("dst")))
+    names = d.select("name").unionByName(d.select(loud("name").alias("name"))).distinct().select("name", F.lit("Concept").alias("type"), F.lit(0).alias("seq"))
+    none = d.limit(0).select("doc_id", "name")
+    edges = raw.select("src", "dst", F.lit("RELATED_TO").alias("type"), F.lit(1.0).alias("weight"))
+    return gb.collapse_legacy(names, none, none, edges)["relations"].select("src", "dst", "weight")
+
+
 # ── communities ─────────────────────────────────────────────────────────────────────────────────
 
 
