@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookloom.llm import contamination, language, licenses, minhash, pages, pieces, quality, secrets, substrings, vectors
+from bookloom.llm import contamination, language, licenses, minhash, oracles, pages, pieces, quality, secrets, substrings, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,3 +74,8 @@ def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
+SQL["op2_minhash_near_dedup"] = oracles.NEAR_DUPLICATES
+SQL["op7_substring_dedup"] = oracles.REPEATED_WINDOWS
+SQL["op8_embedding_near_dedup"] = oracles.NEAR_VECTORS
