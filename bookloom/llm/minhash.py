@@ -6,7 +6,7 @@ for a quarter of the nodes, and the document goes on to the child named by its t
 in a leaf with the survival probability of a branching process of mean 1.25 * s: at 0.8 and depth four about 0.58 per tree, so
 twelve trees miss such a pair once in 30,000 times, and closer pairs far more rarely.
 
-All pairs of a small leaf are compared; a large leaf is branched further until its parts are small or mostly alike. Comparisons
+All pairs of a leaf are compared: in one task up to a fixed number of rows, in blocks dealt to many tasks above it. Comparisons
 use byte sketches of the signature with a margin (a pair at 0.8 fails it once in a million times) and the bound that set sizes
 put on similarity. A leaf passes on the pairs it finds while they are few. Where they are many, the leaf holds a family of alike
 documents, and passes on one tie per document. Every pair and tie is confirmed on the full sets. In a family, the links so far
@@ -36,7 +36,9 @@ from bookloom.session import cut, scratch_path
 
 POSITIONS = 64
 TREES = 12
-SMALL = 32  # rows of a leaf that are compared with no further ado
+SMALL = 32  # rows of a leaf that are compared together with other leaves
+LEAF_ROWS = 2048  # rows of a leaf that one task holds; larger leaves are dealt into blocks
+CHUNK = 256  # rows that are compared with a whole block at once
 LEAF = 8  # rows of unrelated documents that a leaf should hold
 UNRELATED = 0.05  # similarity that unrelated documents are expected to stay below
 PAIRS_PER_ROW = 2  # more near pairs than this in a leaf make it a family
@@ -96,28 +98,37 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull()).mapInArrow(run, SIGNED)
 
 
-def leaves(heads: DataFrame, depth: int, trees: int) -> DataFrame:
-    """``key, doc, n, sketch``: every leaf each document reaches."""
+def reached(tokens: np.ndarray, depth: int, trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) for every leaf that each row of minwise tokens reaches."""
+    roots = mixed(np.arange(1, trees + 1, dtype=np.uint64))
+    who, key = np.repeat(np.arange(len(tokens)), trees), np.tile(roots, len(tokens))
+    for _ in range(depth):
+        one = (mixed(key ^ SALTS[1]) % np.uint64(POSITIONS)).astype(np.int64)
+        two = (one + 1 + (mixed(key ^ SALTS[2]) % np.uint64(POSITIONS - 1)).astype(np.int64)) % POSITIONS
+        second = mixed(key ^ SALTS[3]) % np.uint64(4) == 0
+        who, at, parent = np.concatenate([who, who[second]]), np.concatenate([one, two[second]]), np.concatenate([key, key[second]])
+        key = mixed(parent + mixed((tokens[who, at].astype(np.uint64) << np.uint64(8)) + at.astype(np.uint64)))
+    return who, key
+
+
+def leaves(heads: DataFrame, depth: int, trees: int, keys_only: bool = False) -> DataFrame:
+    """``key, doc, n, sketch``: every leaf each document reaches; or their keys only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roots = mixed(np.arange(1, trees + 1, dtype=np.uint64))
         for batch in batches:
             for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
                 tokens = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(-1, POSITIONS)
+                who, key = reached(tokens, depth, trees)
+                if keys_only:
+                    yield batch_of({"key": key.view(np.int64)})
+                    continue
                 sketch = np.ascontiguousarray(tokens.astype(np.uint8))
-                who, key = np.repeat(np.arange(len(tokens)), trees), np.tile(roots, len(tokens))
-                for _ in range(depth):
-                    one = (mixed(key ^ SALTS[1]) % np.uint64(POSITIONS)).astype(np.int64)
-                    two = (one + 1 + (mixed(key ^ SALTS[2]) % np.uint64(POSITIONS - 1)).astype(np.int64)) % POSITIONS
-                    second = mixed(key ^ SALTS[3]) % np.uint64(4) == 0
-                    who, at, parent = np.concatenate([who, who[second]]), np.concatenate([one, two[second]]), np.concatenate([key, key[second]])
-                    key = mixed(parent + mixed((tokens[who, at].astype(np.uint64) << np.uint64(8)) + at.astype(np.uint64)))
                 doc, n = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n"))
                 rows = sketch[who]
                 flat = pa.Array.from_buffers(pa.binary(POSITIONS), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[who]), pa.array(n[who]), flat], names=["key", "doc", "n", "sketch"])
 
-    return heads.select("doc_id", "n", "signature").mapInArrow(run, "key long, doc long, n int, sketch binary")
+    return heads.select("doc_id", "n", "signature").mapInArrow(run, "key long" if keys_only else "key long, doc long, n int, sketch binary")
 
 
 def tied(n: int, a: np.ndarray, b: np.ndarray, name: np.ndarray) -> np.ndarray:
@@ -173,49 +184,43 @@ class Leaves:
             rows = np.unique(np.concatenate([left[many], right[many]]))
             self.add(True, self.doc[rows], label[rows])
 
-    def large(self, rows: np.ndarray, seed: int) -> None:
-        todo = [(rows, seed, 0)]
-        while todo:
-            rows, seed, depth = todo.pop()
-            if len(rows) <= SMALL:
-                i, j = np.triu_indices(len(rows), 1)
-                hit = self.near(rows[i], rows[j])
-                i, j = i[hit], j[hit]
-                if len(i) <= PAIRS_PER_ROW * len(rows):
-                    self.add(False, self.doc[rows[i]], self.doc[rows[j]])
-                else:
-                    self.add(True, self.doc[rows], tied(len(rows), i, j, self.doc[rows]))
-                continue
-            draw = int(mixed(np.array([seed + depth], np.uint64))[0])
-            like = (self.sketch[rows] == self.sketch[rows[draw % len(rows)]]).sum(1) >= ALIKE
-            if 2 * like.sum() >= len(rows) or depth >= POSITIONS:
-                self.family(rows)
-                continue
-            for turn in range(2 if draw >> 8 & 3 == 0 else 1):
-                token = self.sketch[rows, (draw + turn * (1 + (draw >> 16) % (POSITIONS - 1))) % POSITIONS]
-                order = np.argsort(token, kind="stable")
-                for part in np.split(rows[order], np.flatnonzero(np.diff(token[order])) + 1):
-                    if len(part) > 1:
-                        todo.append((part, (draw >> 4) + int(self.sketch[part[0], 0]) + turn, depth + 1))
-
-    def family(self, rows: np.ndarray) -> None:
-        """Ties of the near rows: from a row to all it resembles, then on from the latest of them, until no row is left."""
-        label, rest, wave = np.arange(len(rows)), np.ones(len(rows), bool), []
-        while rest.any():
-            i = wave.pop() if wave else int(np.flatnonzero(rest)[0])
-            rest[i] = False
-            at = np.flatnonzero(rest)
-            hit = at[self.near(rows[i], rows[at])]
-            label[hit] = label[i]
-            rest[hit] = False
-            wave.extend(hit.tolist())
-        first = np.full(len(rows), np.iinfo(np.int64).max)
-        np.minimum.at(first, label, self.doc[rows])
-        self.add(True, self.doc[rows], first[label])
-
-
-def candidates(found: DataFrame, percent: int) -> DataFrame:
-    """``family, a, b`` (a < b): near pairs of leaves, and ties between the members of a family."""
+    def large(self, rows: np.ndarray) -> None:
+        """All pairs of one leaf of bounded size, in order of set size."""
+        rows = rows[np.argsort(self.n[rows], kind="stable")]
+        n, sketch, doc = self.n[rows], self.sketch[rows], self.doc[rows]
+        label, a, b, family = np.arange(len(rows)), np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        for at in range(0, len(rows), CHUNK):
+            end = min(at + CHUNK, len(rows))
+            upto = int(np.searchsorted(n, 100 * n[end - 1] // self.percent, "right"))
+            hit = alike(sketch[at:end], n[at:end], sketch[at:upto], n[at:upto], self.percent)
+            if family:
+                hit &= label[at:end, None] != label[None, at:upto]
+            i, j = np.nonzero(np.triu(hit, 1))
+            i, j = i + at, j + at
+            other = doc[i] != doc[j]
+            a, b = np.concatenate([a, i[other]]), np.concatenate([b, j[other]])
+            if len(a) > PAIRS_PER_ROW * len(rows):
+                family, label = True, tied(len(rows), a, b, label)
+                a = np.flatnonzero(label != np.arange(len(rows)))
+                b = label[a]
+        self.add(family, doc[a], doc[b])
+
+
+def alike(one: np.ndarray, n1: np.ndarray, two: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
+    """Which sketches of ``one`` and of ``two`` can belong to similar sets, as a matrix."""
+    left, right = np.ascontiguousarray(one.T), np.ascontiguousarray(two.T)
+    equal = np.zeros((len(one), len(two)), np.uint8)
+    for x, y in zip(left, right, strict=True):
+        equal += x[:, None] == y[None, :]
+    low, high = np.minimum(n1[:, None], n2[None, :]), np.maximum(n1[:, None], n2[None, :])
+    return (equal >= ALIKE) & (100 * low >= percent * high)
+
+
+def candidates(found: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """``family, a, b`` (a < b): near pairs of leaves, and ties between the members of a family.
+
+    ``keys`` holds the leaf of each row of ``found``. Leaves of more than LEAF_ROWS rows are dealt into blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in carried(batches, ("key",)):
@@ -225,14 +230,80 @@ def candidates(found: DataFrame, percent: int) -> DataFrame:
             few = (size > 1) & (size <= SMALL)
             leaves.small(start[few], size[few])
             for a, m in zip(start[size > SMALL], size[size > SMALL], strict=True):
-                leaves.large(np.arange(a, a + m), int(rows["key"][a].view(np.uint64)) >> 4)
+                leaves.large(np.arange(a, a + m))
             if leaves.out:
                 pairs = np.unique(np.concatenate(leaves.out), axis=0)
                 pairs = pairs[pairs[:, 1] < pairs[:, 2]]
                 yield batch_of({"family": pairs[:, 0].astype(np.int32), "a": pairs[:, 1], "b": pairs[:, 2]})
 
-    sized_leaves = found.repartition("key").sortWithinPartitions("key")
-    return sized_leaves.mapInArrow(run, "family int, a long, b long").distinct()
+    hot = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > LEAF_ROWS))
+    crowded = not hot.isEmpty()
+    few = found.join(sized(hot.select("key")), "key", "left_anti") if crowded else found
+    pairs = few.repartition("key").sortWithinPartitions("key").mapInArrow(run, "family int, a long, b long")
+    if crowded:
+        pairs = pairs.unionByName(crowded_ties(found.join(sized(hot), "key"), percent))
+    return pairs.distinct()
+
+
+def crowded_ties(found: DataFrame, percent: int) -> DataFrame:
+    """``family, a, b`` of leaves too large for one task: ``key, doc, n, sketch, rows``, the latter the size of the leaf.
+
+    Each block of a leaf meets the leaf's first block. What these ties leave outside the leaf's largest component then meets the
+    whole leaf, block by block. So any two near rows of a leaf end in one family, and only ties leave a group.
+    """
+    keys = ["key", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in carried(batches, tuple(keys)):
+            start, _ = groups(*[rows[c] for c in keys])
+            out = []
+            for s, e in zip(start, np.append(start[1:], len(rows["doc"])), strict=True):
+                outer = s + np.flatnonzero(rows["outer"][s:e] == 1)
+                inner = s + np.flatnonzero(rows["outer"][s:e] == 0)
+                if not len(outer) or not len(inner):
+                    continue
+                one, two = (np.frombuffer(b"".join(rows["sketch"][side]), np.uint8).reshape(-1, POSITIONS) for side in (outer, inner))
+                n = rows["n"].astype(np.int64)
+                name, place = np.unique(np.concatenate([rows["doc"][outer], rows["doc"][inner]]), return_inverse=True)
+                at1, at2 = place[: len(outer)], place[len(outer) :]
+                label = np.arange(len(name))
+                for c in range(0, len(outer), CHUNK):
+                    part = slice(c, c + CHUNK)
+                    hit = alike(one[part], n[outer[part]], two, n[inner], percent)
+                    hit &= rows["component"][outer[part]][:, None] != rows["component"][inner][None, :]
+                    some = np.flatnonzero(hit.any(1))
+                    first = hit[some].argmax(1)
+                    out.append(np.stack([name[at1[c + some]], name[at2[first]]], 1))  # a near pair of each row, likely to be confirmed
+                    hit &= label[at1[part]][:, None] != label[at2][None, :]
+                    a, b = np.nonzero(hit)
+                    label = tied(len(name), np.concatenate([np.arange(len(name)), at1[c + a]]), np.concatenate([label, at2[b]]), label)
+                out.append(np.stack([name[label], name], 1))
+            if out:
+                pairs = np.sort(np.concatenate(out), axis=1)
+                pairs = np.unique(pairs[pairs[:, 0] < pairs[:, 1]], axis=0)
+                yield batch_of({"family": np.ones(len(pairs), np.int32), "a": pairs[:, 0], "b": pairs[:, 1]})
+
+    def met(outer: DataFrame, inner: DataFrame) -> DataFrame:
+        cols = [*keys, "doc", "n", "sketch", "component"]
+        both = outer.select(*cols, F.lit(1).alias("outer")).unionByName(inner.select(*cols, F.lit(0).alias("outer")))
+        dealt = both.repartition(*keys).sortWithinPartitions(*keys)
+        return cut(dealt.mapInArrow(run, "family int, a long, b long").distinct())
+
+    spark = found.sparkSession
+    path = scratch_path(spark, "crowded")
+    found.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    alone = rows.withColumn("component", F.col("doc")).withColumn("j", F.lit(0))
+    ties = met(alone.withColumn("i", F.col("block")), alone.filter("block = 0").withColumn("i", every("blocks")))
+    parts = components(ties.select("a", "b")).select(F.col("id").alias("doc"), "component")
+    named = rows.join(parts, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    sizes = named.groupBy("key", "component").count()
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), (F.sum("count") - F.max("count")).alias("outside"))
+    left = named.join(sized(main.filter("outside > 0")), "key").withColumn("outer_blocks", F.ceil(F.col("outside") / BLOCK_ROWS).cast("int"))
+    outer = left.filter("component <> main").withColumn("i", F.pmod(F.xxhash64("doc"), "outer_blocks").cast("int")).withColumn("j", every("blocks"))
+    inner = left.withColumn("i", every("outer_blocks")).withColumn("j", F.col("block"))
+    return ties.unionByName(met(outer, inner))
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -351,7 +422,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     heads = rows.filter("signature is not null").join(first, ["n", "c1", "c2"]).filter("doc_id = head").select("doc_id", "n", "signature")
     count = first.count()
     depth = max(2, math.ceil(math.log(max(count, 2) / LEAF) / -math.log(UNRELATED)))
-    met = cut(candidates(leaves(heads, depth, trees), percent))
+    met = cut(candidates(leaves(heads, depth, trees), leaves(heads, depth, trees, keys_only=True), percent))
     links = cut(confirmed(docs, met.select("a", "b").distinct(), k, percent))
     ties = met.filter("family = 1").select("a", "b")
     if not ties.isEmpty():

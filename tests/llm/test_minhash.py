@@ -93,3 +93,22 @@ def test_odd_rows_and_empty_tables(spark):
     assert got(empty(docs), 2) == []
     kept = minhash.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in docs.collect())
+
+
+def test_crowded_leaves_are_dealt_into_blocks(spark, monkeypatch):
+    """No task holds a leaf of more than LEAF_ROWS rows, and the components stay those of a whole comparison."""
+    monkeypatch.setattr(minhash, "LEAF_ROWS", 20)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 11)
+    dealt = []
+    whole = minhash.crowded_ties
+    monkeypatch.setattr(minhash, "crowded_ties", lambda found, percent: dealt.append(found.select("key").distinct().count()) or whole(found, percent))
+    rng = np.random.default_rng(5)
+    rows = []
+    for d in range(160):
+        w = [f"w{d % 2}x{i}" for i in range(120)]
+        for i in rng.choice(120, int(rng.integers(0, 16)), replace=False):
+            w[i] = f"v{rng.integers(10_000)}"
+        rows.append((d * 3 + 1, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 2)
+    assert got(docs, 2) == want and dealt and dealt[0] > 0 and 10 < sum(r[3] for r in want) < 150
