@@ -3,8 +3,9 @@
 A document is the set of its distinct word shingles. Documents with equal sets are one node of the join. In each of several
 independent trees a document walks from the root along minwise tokens: a tree node picks one position of the signature, or two
 for a quarter of the nodes, and the document goes on to the child named by its token there. Two documents of similarity s meet
-in a leaf with the survival probability of a branching process of mean 1.25 * s: at 0.8 and depth four about 0.58 per tree, so
-twelve trees miss such a pair once in 30,000 times, and closer pairs far more rarely.
+in a leaf with the survival probability of a branching process of mean 1.25 * a, where a is the share of positions at which their
+signatures agree. The trees share the signature, so a pair's misses are not independent: the number of trees is the smallest whose
+miss rate, averaged over the binomial agreement, is at most MISSED at the threshold (18 trees at depth four, 23 at five).
 
 All pairs of a leaf are compared: in one task up to a fixed number of rows, in blocks dealt to many tasks above it. Comparisons
 use byte sketches of the signature with a margin (a pair at 0.8 fails it once in a million times) and the bound that set sizes
@@ -35,7 +36,7 @@ from bookloom.llm.words import mixed, prefix_hash, range_hash, slices
 from bookloom.session import cut, scratch_path
 
 POSITIONS = 64
-TREES = 12
+MISSED = 1 / 30_000  # share of pairs just at the threshold that no tree may bring together
 SMALL = 32  # rows of a leaf that are compared together with other leaves
 LEAF_ROWS = 2048  # rows of a leaf that one task holds; larger leaves are dealt into blocks
 CHUNK = 256  # rows that are compared with a whole block at once
@@ -111,6 +112,26 @@ def reached(tokens: np.ndarray, depth: int, trees: int) -> tuple[np.ndarray, np.
     return who, key
 
 
+def missed(percent: int, depth: int, trees: int) -> float:
+    """Share of pairs of similarity ``percent`` that meet in no leaf."""
+    total = 0.0
+    for same in range(POSITIONS + 1):
+        agree, meet = same / POSITIONS, 1.0
+        for _ in range(depth):
+            meet = 0.75 * agree * meet + 0.25 * (1 - (1 - agree * meet) ** 2)
+        weight = math.comb(POSITIONS, same) * (percent / 100) ** same * (1 - percent / 100) ** (POSITIONS - same)
+        total += weight * (1 - meet) ** trees
+    return total
+
+
+def trees_for(percent: int, depth: int) -> int:
+    """The smallest number of trees that misses at most MISSED of the pairs at the threshold."""
+    trees = 1
+    while missed(percent, depth, trees) > MISSED:
+        trees += 1
+    return trees
+
+
 def leaves(heads: DataFrame, depth: int, trees: int, keys_only: bool = False) -> DataFrame:
     """``key, doc, n, sketch``: every leaf each document reaches; or their keys only."""
 
@@ -411,7 +432,7 @@ def shared_items(one: list[np.ndarray], two: list[np.ndarray], width: int = 4096
     return out.astype(np.int64)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each document: set size, smallest document reachable by links of ``percent``
     or more, and whether that is the document itself."""
     spark = docs.sparkSession
@@ -422,6 +443,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     heads = rows.filter("signature is not null").join(first, ["n", "c1", "c2"]).filter("doc_id = head").select("doc_id", "n", "signature")
     count = first.count()
     depth = max(2, math.ceil(math.log(max(count, 2) / LEAF) / -math.log(UNRELATED)))
+    trees = trees_for(percent, depth)
     met = cut(candidates(leaves(heads, depth, trees), leaves(heads, depth, trees, keys_only=True), percent))
     links = cut(confirmed(docs, met.select("a", "b").distinct(), k, percent))
     ties = met.filter("family = 1").select("a", "b")

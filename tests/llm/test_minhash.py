@@ -112,3 +112,19 @@ def test_crowded_leaves_are_dealt_into_blocks(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows, 2)
     assert got(docs, 2) == want and dealt and dealt[0] > 0 and 10 < sum(r[3] for r in want) < 150
+
+
+@pytest.mark.parametrize("depth", [5, 6])
+def test_recall_holds_at_every_depth(depth):
+    """Pairs at the threshold are met as often at the depth of large tables as at that of small ones."""
+    rng, pairs = np.random.default_rng(11), 6_000
+    trees = minhash.trees_for(80, depth)
+    lost = 0
+    for _ in range(0, pairs, 3000):
+        one = rng.integers(0, 2**32, (3000, minhash.POSITIONS), dtype=np.uint32)
+        two = np.where(rng.random(one.shape) < 0.8, one, rng.integers(0, 2**32, one.shape, dtype=np.uint32))
+        (who, left), (mate, right) = minhash.reached(one, depth, trees), minhash.reached(two, depth, trees)
+        a, b = (np.unique(np.stack([w.astype(np.uint64), k], 1), axis=0) for w, k in ((who, left), (mate, right)))
+        both, n = np.unique(np.concatenate([a, b]), axis=0, return_counts=True)
+        lost += 3000 - len(np.unique(both[n == 2][:, 0]))
+    assert lost <= 3 and minhash.missed(80, depth, trees) <= 1 / 30_000 < minhash.missed(80, depth, 12)
