@@ -1,7 +1,9 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments leave it
-by their element, class, id or role. Every node then gets its composite text density: characters per tag, weighted down by the
+by their element or role, or where a whole class name or id says so. Names and the elements form, aside and header are evidence
+only: html, body, main and article never leave by name, nor does a node that holds most of the page's text or a main element; a form,
+or an aside within the article, leaves where it is dense in controls or links. Every node then gets its composite text density: characters per tag, weighted down by the
 share of link characters and link tags. The node with the largest sum of its children's densities is content; the smallest
 density on its path to the body is the threshold at which further subtrees are content as well. The text is that of the
 smallest subtree holding all content, or of the ``article`` or ``main`` element around it.
@@ -38,13 +40,25 @@ ENDED_BY = {
 #: Implied ends do not reach beyond these.
 WALLS = frozenset("article aside blockquote body div footer header html main nav ol section table td th ul form".split())
 NOT_CONTENT = frozenset(
-    "script style noscript template iframe object embed svg canvas head title nav menu footer aside form button select option textarea input dialog".split()
+    "script style noscript template iframe object embed svg canvas head title nav menu footer select option textarea input dialog".split()
 )
 MARKED = frozenset(
     "ad ads advert advertisement advertising adverts sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer "
     "header masthead cookie cookies consent gdpr notice notices alert newsletter subscribe subscription popup modal overlay comment comments commentlist disqus "
     "replies reply share sharing social related widget login signup search contentinfo complementary".split()
 )
+#: Words that may stand beside marked ones in a name of furniture.
+BESIDE = frozenset("site main top bottom left right primary secondary global box bar area section list links posts buttons icons form wrapper container inner".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies reply".split())
+KEPT = frozenset("html body main article".split())
+CONTROLS = frozenset("input select textarea button".split())
+CHARS_PER_CONTROL = 100  # text outside links that a form or an inner aside must hold for each control and link
+
+
+def furniture(name: str) -> frozenset[str]:
+    """The marked words of a class name, id or role that holds no other words than those of furniture."""
+    found = frozenset(WORD.findall(name.lower()))
+    return found & MARKED if found <= MARKED | BESIDE else frozenset()
 
 
 class Tree:
@@ -52,6 +66,8 @@ class Tree:
 
     def __init__(self, page: str):
         self.tag, self.parent, self.out, self.link = ["html"], [-1], [False], [False]
+        self.doubt: dict[int, str] = {}  # nodes that may be furniture: "name", "comments" or "dense"
+        self.controls: list[int] = []
         self.pieces: list[tuple[int, str]] = []  # node (or -1 - node: a break by a block border), text
         stack, at = [0], 0
         while at < len(page):
@@ -79,21 +95,67 @@ class Tree:
                 at = end.start() if end else len(page)
             if tag not in VOID and not m[3].endswith("/"):
                 stack.append(node)
+        if self.doubt:
+            self._settle()
 
     def _open(self, parent: int, tag: str, attributes: str) -> int:
         out = self.out[parent] or tag in NOT_CONTENT
-        if not out and tag == "header":
-            out = not any(t in ("article", "main") for t in self._path(parent))
-        if not out and attributes and tag not in ("html", "body"):
+        node, doubt = len(self.tag), ""
+        if tag in CONTROLS and not re.search(r"""type\s*=\s*["']?hidden""", attributes, re.I):
+            self.controls.append(node)
+        if not out and tag == "button":
+            out = self.tag[parent] not in ("h1", "h2", "h3", "h4", "h5", "h6", "summary")
+        if not out and tag == "form":
+            doubt = "dense"
+        if not out and tag in ("header", "aside"):
+            inner = any(t in ("article", "main") for t in self._path(parent))
+            doubt = "name" if not inner else "dense" if tag == "aside" else ""
+        if not out and attributes and tag not in KEPT:
             for m in ATTRIBUTE.finditer(attributes):
-                if not MARKED.isdisjoint(WORD.findall((m[2] or m[3] or m[4] or "").lower())):
-                    out = True
+                for name in (m[2] or m[3] or m[4] or "").split():
+                    found = furniture(name)
+                    if found and doubt != "comments":
+                        doubt = "comments" if found & COMMENTS else "name"
+        if doubt:
+            self.doubt[node] = doubt
         self.tag.append(tag)
         self.parent.append(parent)
         self.out.append(out)
         self.link.append(self.link[parent] or tag == "a")
         return len(self.tag) - 1
 
+    def _settle(self) -> None:
+        """Doubtful nodes leave with their subtrees unless the text of the page stands in them."""
+        n = len(self.tag)
+        chars, held, load, mains = [0] * n, [0] * n, [0] * n, [0] * n  # text outside links, that of articles, controls and links, main elements
+        article = [False] * n
+        for i in range(n):
+            article[i] = self.tag[i] in ("article", "main") or i > 0 and article[self.parent[i]]
+            load[i] = int(self.tag[i] == "a" and not self.out[i])
+            mains[i] = int(self.tag[i] == "main" and not self.out[i])
+        for i in self.controls:
+            load[i] = 1
+        for node, text in self.pieces:
+            if node >= 0 and not self.link[node]:
+                k = len(" ".join(text.split()))
+                chars[node] += k
+                held[node] += k if article[node] else 0
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            chars[p], held[p], load[p], mains[p] = chars[p] + chars[i], held[p] + held[i], load[p] + load[i], mains[p] + mains[i]
+        for i in range(1, n):
+            kind = self.doubt.get(i)
+            if kind and not self.out[i]:
+                elsewhere = held[0] > 0 and not held[i]  # an article or main element with text stands outside
+                stays = mains[i] > 0 or 2 * chars[i] > chars[0] and not elsewhere
+                if kind == "dense":
+                    stays = stays or chars[i] >= CHARS_PER_CONTROL * (load[i] + 1)
+                if kind == "comments":
+                    stays = stays and held[0] == held[i]
+                self.out[i] = not stays
+            self.out[i] = self.out[i] or self.out[self.parent[i]]
+        self.pieces = [(node, text) for node, text in self.pieces if node < 0 or not self.out[node]]
+
     def _path(self, node: int) -> Iterator[str]:
         while node >= 0:
             yield self.tag[node]

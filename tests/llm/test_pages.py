@@ -51,3 +51,28 @@ def test_odd_rows_and_empty_tables(spark):
     out = sorted(((r["page_id"] or 0, r["url"], r["n_chars"]) for r in extract(pages).collect()), key=str)
     assert out == sorted([(1, "u", 1), (1, "u", 1), (2, None, 0), (0, "v", 0), (3, "w", 549_999)], key=str)
     assert extract(empty(pages)).count() == 0
+
+
+def test_names_and_forms_do_not_take_the_article():
+    """Words inside a class name, wrappers of the whole page, and a form round the page are no furniture."""
+    text = "".join(f"<p>{'Plain words make up this paragraph. ' * 4}</p>" for _ in range(6))
+    body = "\n".join([" ".join(["Plain words make up this paragraph."] * 4)] * 6)
+    for page in (
+        f"<body><article class='post tag-search'>{text}</article></body>",
+        f"<body><div class='layout no-sidebar'>{text}</div></body>",
+        f"<body><div class='has-sidebar'><div class='elementor-widget-container'>{text}</div></div></body>",
+        f"<body><div class=widget>{text}</div><div class=sidebar>Old posts</div></body>",
+        f"<body><form action=/x><input type=hidden name=v><div><input name=q></div>{text}</form></body>",
+        f"<body><aside>{text}</aside></body>",
+    ):
+        assert main_text(page) == body
+    assert main_text(f"<body><main><div class='article-header'><h1>Head</h1></div>{text}</main></body>") == "Head\n" + body
+    assert main_text(f"<body><article><h2><button>Head</button></h2>{text}<button>Send</button></article></body>") == "Head\n" + body
+
+
+def test_furniture_named_as_a_whole_still_goes():
+    text = "<p>A short article of a few words.</p>"
+    long = "<p>" + "A long comment by a reader. " * 20 + "</p>"
+    for junk in ("<div class='site-footer'>Junk</div>", "<div id=main_nav>Junk</div>", "<div class='x related-posts'>Junk</div>",
+                 "<form><label>Name</label><input></form>", "<aside>Junk</aside>", f"<div class=comments>{long}</div>"):
+        assert main_text(f"<body><article>{text}{junk}</article></body>") == "A short article of a few words."
