@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bookloom.llm import contamination, language, licenses, minhash, oracles, pages, pieces, quality, secrets, substrings, vectors
+from bookloom.llm import contamination, language, licenses, manifest, minhash, oracles, pages, pieces, quality, secrets, substrings, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,3 +79,13 @@ def op8_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 SQL["op2_minhash_near_dedup"] = oracles.NEAR_DUPLICATES
 SQL["op7_substring_dedup"] = oracles.REPEATED_WINDOWS
 SQL["op8_embedding_near_dedup"] = oracles.NEAR_VECTORS
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Tampering, where 2 divides the CRC-32 of ``doc_id``, deletes line ends."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return manifest.manifest(table(spark, folder, "documents"), tampered)
+
+
+SQL["op13_merkle_manifest"] = manifest.ORACLE
