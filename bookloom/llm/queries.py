@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bookloom.llm import alignment, contamination, language, licenses, manifest, minhash, oracles, pages, pieces, quality, secrets, substrings, vectors
+from bookloom.llm import alignment, contamination, language, licenses, manifest, minhash, oracles, pages, pieces, quality, secrets, substrings, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -94,3 +94,8 @@ SQL["op13_merkle_manifest"] = manifest.ORACLE
 @query
 def op11_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.report(table(spark, folder, "documents"), alignment.read_models(spark))
+
+
+@query
+def op12_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"))
