@@ -122,16 +122,16 @@ def image_description(text: Column) -> Column:
     """struct(caption, tags) from a model reply; a reply that is no JSON is the caption itself."""
     parsed = F.from_json(text, "caption string, tags array<string>")
     is_json = F.try_parse_json(text).isNotNull() & strip(text).startswith("{")
-    caption = F.substring(strip(F.coalesce(parsed["caption"], F.lit(""))), 1, 500)
+    caption = F.substring(strip(F.coalesce(parsed["caption"], F.lit(""))), 1, S.CAPTION_CHARS)
     tags = F.filter(
         F.transform(F.coalesce(parsed["tags"], F.array().cast("array<string>")), strip), lambda t: t != ""
     )
     plain = F.struct(
-        F.substring(strip(text), 1, 500).alias("caption"), F.array().cast("array<string>").alias("tags")
+        F.substring(strip(text), 1, S.CAPTION_CHARS).alias("caption"), F.array().cast("array<string>").alias("tags")
     )
     rich = F.struct(
-        F.when(caption != "", caption).otherwise(F.substring(text, 1, 500)).alias("caption"),
-        F.slice(F.transform(tags, lambda t: F.substring(t, 1, 64)), 1, 10).alias("tags"),
+        F.when(caption != "", caption).otherwise(F.substring(text, 1, S.CAPTION_CHARS)).alias("caption"),
+        F.slice(F.transform(tags, lambda t: F.substring(t, 1, S.TAG_CHARS)), 1, S.IMAGE_TAGS).alias("tags"),
     )
     return F.when(is_json, rich).otherwise(plain)
 

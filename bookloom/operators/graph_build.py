@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bookloom import settings as S
-from bookloom.functions.entities import canonical, caption_entities, display, phrases
+from bookloom.functions.entities import canonical, display, phrases
 from bookloom.functions.text import let, strip
 
 
@@ -200,16 +200,6 @@ def alias_names(doc_entities: DataFrame, entities: DataFrame) -> DataFrame:
     ).select("name", "canonical")
 
 
-def image_edges(images: DataFrame) -> DataFrame:
-    """``DEPICTS`` edges from image captions: ``(image_id, canonical, name)``."""
-    return (
-        images.select("image_id", F.explode(caption_entities(F.substring("caption", 1, 500))).alias("word"))
-        .select("image_id", canonical(F.col("word")).alias("canonical"), display(F.col("word")).alias("name"))
-        .groupBy("image_id", "canonical")
-        .agg(F.min("name").alias("name"))
-    )
-
-
 def undirected_key(a: str = "a", b: str = "b") -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 

@@ -94,11 +94,12 @@ def _grams(c: Column, n: int) -> Column:
 def search_entities(g: Graph, needles: DataFrame, limit: int = 12) -> DataFrame:
     """Case-insensitive containment in name or merge key, highest degree first.
 
-    ``needles(qid, q)``; blank needles find nothing; ``limit`` is clamped to 1..50. Names are indexed
+    ``needles(qid, q)``; blank needles find nothing. Names are indexed
     by their short character runs; a needle meets only the names holding its rarest run, and the
     containment test decides.
     """
-    limit = max(1, min(int(limit), 50))
+    if limit < 1:
+        raise ValueError("limit must be 1 or more")
     asked = needles.withColumn("q", F.lower(F.trim("q"))).filter("q <> ''")
     width = F.least(F.length("q"), F.lit(3))
     runs = asked.select(
@@ -234,17 +235,18 @@ def node_labels(g: Graph) -> DataFrame:
         .unionByName(label(g.aliases, "name", "A:", "Alias", F.col("name")))
     )
     if g.images is not None:
-        rows = rows.unionByName(label(g.images, "image_id", "I:", "Image", F.substring("caption", 1, 60)))
+        rows = rows.unionByName(label(g.images, "image_id", "I:", "Image", F.substring("caption", 1, S.IMAGE_NAME_CHARS)))
     return rows
 
 
 def explore(g: Graph, starts: DataFrame, depth: int = 2, limit: int = 50) -> DataFrame:
-    """Nodes within ``depth`` (1..4) steps of an entity: ``(qid, node, depth)``, nearest first.
+    """Nodes within ``depth`` steps of an entity: ``(qid, node, depth)``, nearest first.
 
     ``starts(qid, name)``. A question that already has ``limit`` nodes stops growing, because deeper
     nodes rank after all of them.
     """
-    depth = max(1, min(int(depth), 4))
+    if depth < 1:
+        raise ValueError("depth must be 1 or more")
     edges = all_edges(g).select("u", "v").distinct()
     origin = starts.select("qid", F.concat(F.lit("E:"), canonical(F.col("name"))).alias("node")).distinct()
     seen = cut(origin.withColumn("depth", F.lit(0)))
@@ -270,6 +272,8 @@ def shortest_paths(g: Graph, ends: DataFrame, max_hops: int = 6, max_paths: int
     paths per pair, smallest node ids from the target on; every step leads back to the source, so
     cutting early returns the same paths as cutting at the end.
     """
+    if max_hops < 1:
+        raise ValueError("max_hops must be 1 or more")
     edges = cut(all_edges(g))
     asked = ends.select(
         "qid",
@@ -332,15 +336,14 @@ def shortest_paths(g: Graph, ends: DataFrame, max_hops: int = 6, max_paths: int
     )
 
 
-def journeys(g: Graph, ends: DataFrame, max_hops: int = 6) -> DataFrame:
+def journeys(g: Graph, ends: DataFrame, max_hops: int = 8) -> DataFrame:
     """One shortest path per pair with a label, a name and the corpora of every stop.
 
-    Outcome ``same`` for equal names, ``none`` without a path within ``max_hops`` (1..8), else
+    Outcome ``same`` for equal names, ``none`` without a path within ``max_hops``, else
     ``path``; ``stops`` is an array of (label, name, corpora), ``kinds`` the edges between them.
     """
-    hops = max(1, min(int(max_hops), 8))
     same = F.lower(F.trim("source")) == F.lower(F.trim("target"))
-    paths = shortest_paths(g, ends.filter(~same), hops, 1)
+    paths = shortest_paths(g, ends.filter(~same), max_hops, 1)
     corpora = entity_corpora(g).groupBy("canonical").agg(F.array_sort(F.collect_set("corpus")).alias("corpora"))
     stops = (
         paths.select("qid", F.posexplode("nodes").alias("at", "node"))
@@ -423,7 +426,7 @@ def vault_graph(g: Graph, node_limit: int = 150, edge_limit: int = 400) -> tuple
         nodes = nodes.unionByName(
             pictures.select(
                 "corpus", F.col("image_id").alias("id"), F.lit("Image").alias("label"),
-                F.substring(F.coalesce("caption", F.lit("image")), 1, 60).alias("name"), F.lit("Image").alias("type"),
+                F.substring(F.when(F.coalesce("caption", F.lit("")) == "", "image").otherwise(F.col("caption")), 1, S.IMAGE_NAME_CHARS).alias("name"), F.lit("Image").alias("type"),
                 F.lit(1).cast("long").alias("degree"),
             )
         )
@@ -453,6 +456,13 @@ def library_graph(g: Graph, node_limit: int = 260, edge_limit: int = 700) -> tup
             F.lit("Document").alias("type"), F.lit(1).cast("long").alias("degree"), F.array("corpus").alias("corpora"),
         )
     )
+    if g.images is not None:
+        held = g.images.join(g.documents.select("doc_id", "corpus"), "doc_id")
+        shown = F.when(F.coalesce("caption", F.lit("")) == "", "image").otherwise(F.col("caption"))
+        nodes = nodes.unionByName(held.select(
+            F.col("image_id").alias("id"), F.lit("Image").alias("label"), F.substring(shown, 1, S.IMAGE_NAME_CHARS).alias("name"),
+            F.lit("Image").alias("type"), F.lit(1).cast("long").alias("degree"), F.array("corpus").alias("corpora"),
+        ))
     rel = _related_among(g, top, [])
     sets = ents.select("canonical", "corpora")
     flagged = (

@@ -42,6 +42,11 @@ SUMMARY_TOP = 3
 SNIPPET_CHARS = 220
 GLOBAL_BUDGET = 8
 
+# images
+CAPTION_CHARS = 500
+IMAGE_TAGS, TAG_CHARS = 10, 64
+IMAGE_NAME_CHARS = 60
+
 # ingest
 MAX_FILE_BYTES = 50 * 1024 * 1024
 EMBED_DIM = 64

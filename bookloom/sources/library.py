@@ -7,8 +7,11 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from bookloom import settings as S
+from bookloom.functions.vectors import hash_embedding
 from bookloom.operators import documents as docs
 from bookloom.operators import graph_build as gb
+from bookloom.operators import images as im
 from bookloom.operators import keyword as kw
 from bookloom.operators.graph_query import Graph
 from bookloom.sources import sample
@@ -21,10 +24,20 @@ DOCUMENT_COLUMNS = (
 
 
 class Library:
-    def __init__(self, spark: SparkSession, uploaded: DataFrame, images: Callable[[], DataFrame] | None = None):
+    """``uploaded`` document rows and, optionally, image files (``image_id, doc_id, corpus, path, content``).
+
+    ``embed`` and ``embed_image`` are embedding functions ``(column, dim) -> array<float>``, ``describe`` is a vision model; see
+    ``operators.models`` and ``operators.images``.
+    """
+
+    def __init__(
+        self, spark: SparkSession, uploaded: DataFrame, images: Callable[[], DataFrame] | None = None,
+        embed=hash_embedding, embed_image=hash_embedding, describe: Callable[[DataFrame], DataFrame] = im.not_described, dim: int = S.EMBED_DIM,
+    ):
         self.spark = spark
         self.uploaded = uploaded
-        self._images = images
+        self._image_files = images
+        self._embed, self._embed_image, self._describe, self._dim = embed, embed_image, describe, dim
         self._store = TableStore(spark)
 
     @property
@@ -40,7 +53,7 @@ class Library:
 
     @property
     def passages(self) -> DataFrame:
-        return self._store.get("passages", lambda: docs.passage_table(self.documents))
+        return self._store.get("passages", lambda: docs.passage_table(self.documents, dim=self._dim, embed=self._embed))
 
     @property
     def chunks(self) -> DataFrame:
@@ -68,7 +81,7 @@ class Library:
 
     @property
     def entities(self) -> DataFrame:
-        return self._store.get("entities", lambda: gb.merge_entities(self.doc_entities, self.documents))
+        return self._store.get("entities", lambda: im.with_depicted(gb.merge_entities(self.doc_entities, self.documents), self.depicts))
 
     @property
     def aliases(self) -> DataFrame:
@@ -80,7 +93,27 @@ class Library:
 
     @property
     def images(self) -> DataFrame:
-        return self._store.get("images", self._images)
+        """Images of all uploads; files without bytes are in ``image_errors``."""
+        return self._store.get("images", lambda: im.image_table(self.image_files, self._describe, self._embed_image, self._dim))
+
+    @property
+    def image_files(self) -> DataFrame:
+        if self._image_files is None:
+            return self.spark.createDataFrame([], "image_id string, doc_id string, corpus string, path string, content binary")
+        return self._image_files()
+
+    @property
+    def image_errors(self) -> DataFrame:
+        return im.quarantined(self.image_files)
+
+    @property
+    def pictures(self) -> DataFrame:
+        """Images of kept documents."""
+        return self.images.join(self.document_meta.select("doc_id"), "doc_id", "left_semi")
+
+    @property
+    def depicts(self) -> DataFrame:
+        return self._store.get("depicts", lambda: im.depicts(self.pictures))
 
     @property
     def graph(self) -> Graph:
@@ -92,6 +125,8 @@ class Library:
             mentions=self.mentions,
             doc_mentions=self.doc_mentions,
             relations=self.relations,
+            images=self.pictures.select("image_id", "doc_id", "caption"),
+            depicts=self.depicts.select("image_id", "canonical"),
         )
 
     @property
@@ -129,5 +164,5 @@ def open_sample(spark: SparkSession, folder: str) -> Library:
     """The library over the given tables, shared by all queries of one session."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _OPEN:
-        _OPEN[key] = Library(spark, sample.documents(spark, folder), lambda: sample.images(spark, folder))
+        _OPEN[key] = Library(spark, sample.documents(spark, folder), lambda: sample.image_files(spark, folder), describe=im.reply_in_file)
     return _OPEN[key]

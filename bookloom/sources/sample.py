@@ -91,16 +91,28 @@ def feedback(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def images(spark: SparkSession, folder: str) -> DataFrame:
-    """One image per embedding row, attached to the document of the same number.
+def image_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """One image per embedding row, with that row as its vector: ``image_id, label, vector``."""
+    e = table(spark, folder, "embeddings")
+    d = table(spark, folder, "documents").select("doc_id")
+    return e.join(d, e.vec_id == d.doc_id).select(F.format_string("img%06d", "vec_id").alias("image_id"), "label", F.col("embedding").alias("vector"))
+
+
+def image_files(spark: SparkSession, folder: str) -> DataFrame:
+    """One image file per embedding row, attached to the document of the same number.
 
-    The caption is the first line of that document.
+    Its bytes are what a vision model would reply for it: the first line of that document, as plain text or, for two of three,
+    as JSON with tags. Every seventeenth file is empty.
     """
-    e = table(spark, folder, "embeddings")
-    d = table(spark, folder, "documents").select("doc_id", F.col("source").alias("corpus"), F.split("text", "\n")[0].alias("caption"))
+    e = table(spark, folder, "embeddings").select("vec_id")
+    d = table(spark, folder, "documents")
+    n = F.col("vec_id")
+    line = F.coalesce(F.split("text", "\n")[0], F.lit(""))
+    bare = F.regexp_replace(line, r'["\\\x00-\x1f]', "")
+    tags = F.concat(F.coalesce("lang", F.lit("")), F.lit('", "t'), (n % 5).cast("string"))
+    reply = F.when(n % 17 == 0, "").when(n % 3 == 0, line).otherwise(F.concat(F.lit('{"caption": "'), bare, F.lit('", "tags": ["'), tags, F.lit('"]}')))
+    ending = F.element_at(F.array(*[F.lit(x) for x in ("png", "jpg", "JPEG", "webp", "gif")]), (n % 5 + 1).cast("int"))
     return e.join(d, e.vec_id == d.doc_id).select(
-        F.format_string("img%06d", "vec_id").alias("image_id"),
-        F.col("doc_id").cast("string").alias("doc_id"),
-        "corpus", "caption", "label",
-        F.col("embedding").alias("vector"),
+        F.format_string("img%06d", "vec_id").alias("image_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("corpus"),
+        F.format_string("/library/%s/%d.%s", "source", "vec_id", ending).alias("path"), reply.cast("binary").alias("content"),
     )

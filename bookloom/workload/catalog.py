@@ -17,11 +17,7 @@ def _long(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
 
-_IMAGES = """
-images AS (SELECT printf('img%06d', e.vec_id) AS image_id, CAST(d.doc_id AS VARCHAR) AS doc_id, d.source AS corpus FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id)"""
-
-
-@query(s.with_(s.GRAPH, _IMAGES) + """
+@query(s.with_(s.GRAPH) + """
 SELECT d.corpus, count(*) AS doc_count, (SELECT count(*) FROM chunks c WHERE c.corpus = d.corpus) AS chunk_count,
   (SELECT count(*) FROM images i WHERE i.corpus = d.corpus) AS image_count, (SELECT count(*) FROM ent_corpora e WHERE e.corpus = d.corpus) AS entity_count
 FROM docs d GROUP BY d.corpus""")
@@ -30,7 +26,7 @@ def corpus_summary(spark, folder):
     return ct.corpus_summary(lib.document_meta, lib.chunks, lib.images, gq.entity_counts(lib.graph))
 
 
-@query(s.with_(s.PASSAGES, _IMAGES) + """
+@query(s.with_(s.PASSAGES, s.IMAGES) + """
 SELECT u.doc_id, CASE WHEN u.seq % 11 = 0 THEN 'error' WHEN (SELECT count(*) FROM chunks c WHERE c.doc_id = u.doc_id) > 0 THEN 'indexed' ELSE 'pending' END AS status,
   (SELECT count(*) FROM chunks c WHERE c.doc_id = u.doc_id) AS chunk_count, (SELECT count(*) FROM images i WHERE i.doc_id = u.doc_id) AS image_count FROM uploaded u""")
 def document_status(spark, folder):
@@ -41,7 +37,7 @@ def document_status(spark, folder):
     return ct.document_report(up, lib.chunks, lib.images, errors).select("doc_id", "status", "chunk_count", "image_count")
 
 
-@query(s.with_(s.PASSAGES, _IMAGES) + """
+@query(s.with_(s.PASSAGES, s.IMAGES) + """
 SELECT d.doc_id, d.title, d.corpus, (SELECT count(*) FROM chunks c WHERE c.doc_id = d.doc_id) AS chunk_count,
   (SELECT count(*) FROM images i WHERE i.doc_id = d.doc_id) AS image_count FROM docs d ORDER BY ingested_at DESC, seq DESC LIMIT 12""")
 def recent_documents(spark, folder):
@@ -83,16 +79,22 @@ def corpus_versions(spark, folder):
     return _long(ct.current_versions(versions, up).join(after, "corpus"), "version", "bumped")
 
 
-@query(s.with_(s.PASSAGES, _IMAGES) + """
+@query(s.with_(s.GRAPH) + """
 SELECT 'documents' AS part, corpus, count(*) AS n FROM docs WHERE corpus NOT IN ('src2', 'src5') GROUP BY corpus
+UNION ALL SELECT 'images', corpus, count(*) FROM pics WHERE corpus NOT IN ('src2', 'src5') GROUP BY corpus
+UNION ALL SELECT 'mentions', corpus, count(*) FROM mentions WHERE corpus NOT IN ('src2', 'src5') GROUP BY corpus
+UNION ALL SELECT 'doc_mentions', d.corpus, count(*) FROM doc_mentions m JOIN docs d USING (doc_id) WHERE d.corpus NOT IN ('src2', 'src5') GROUP BY d.corpus
+UNION ALL SELECT 'doc_entities', d.corpus, count(*) FROM doc_entities m JOIN docs d USING (doc_id) WHERE d.corpus NOT IN ('src2', 'src5') GROUP BY d.corpus
 UNION ALL SELECT 'chunks', corpus, count(*) FROM chunks WHERE corpus NOT IN ('src2', 'src5') GROUP BY corpus
 UNION ALL SELECT 'parents', corpus, count(*) FROM par WHERE corpus NOT IN ('src2', 'src5') GROUP BY corpus""")
 def cascade_delete(spark, folder):
     lib = open_sample(spark, folder)
     gone = spark.createDataFrame([("src2",), ("src5",)], "name string")
-    left = ct.without_vaults(lib.document_meta, {"chunks": lib.chunks, "parents": lib.parents}, gone)
-    out = None
+    tables = {n: getattr(lib, n) for n in ("chunks", "parents", "mentions", "doc_mentions", "doc_entities")} | {"images": lib.pictures}
+    left = ct.without_vaults(lib.document_meta, tables, gone)
+    out, home = None, left["documents"].select("doc_id", "corpus")
     for part, df in left.items():
+        df = df if "corpus" in df.columns else df.join(home, "doc_id")
         one = df.groupBy("corpus").agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "corpus", "n")
         out = one if out is None else out.unionByName(one)
     return out

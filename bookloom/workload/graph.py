@@ -54,7 +54,7 @@ def edge_weights(spark, folder):
 
 @query(s.with_(s.GRAPH) + """
 SELECT 'Document' AS label, count(*) AS n FROM docs UNION ALL SELECT 'Chunk', count(*) FROM chunks UNION ALL SELECT 'Entity', count(*) FROM entities
-UNION ALL SELECT 'Alias', count(*) FROM aliases""")
+UNION ALL SELECT 'Alias', count(*) FROM aliases UNION ALL SELECT 'Image', count(*) FROM pics""")
 def graph_stats(spark, folder):
     return gq.node_counts(_graph(spark, folder)).withColumnRenamed("count", "n")
 
@@ -93,7 +93,9 @@ e1 AS (SELECT 'D:' || doc_id AS u, 'C:' || chunk_id AS v, 'CONTAINS' AS kind FRO
   UNION SELECT 'C:' || chunk_id, 'E:' || canonical, 'MENTIONS' FROM mentions
   UNION SELECT 'E:' || canonical, 'D:' || doc_id, 'MENTIONED_IN' FROM doc_mentions
   UNION SELECT 'E:' || src, 'E:' || dst, 'RELATED_TO' FROM relations WHERE src <> dst
-  UNION SELECT 'A:' || name, 'E:' || canonical, 'ALIAS_OF' FROM aliases),
+  UNION SELECT 'A:' || name, 'E:' || canonical, 'ALIAS_OF' FROM aliases
+  UNION SELECT 'I:' || image_id, 'E:' || canonical, 'DEPICTS' FROM depicts
+  UNION SELECT 'I:' || image_id, 'D:' || doc_id, 'BELONGS_TO' FROM pics),
 edges AS MATERIALIZED (SELECT u, v, kind FROM e1 UNION SELECT v, u, kind FROM e1)"""
 
 _TOP = """
@@ -125,7 +127,7 @@ def explore_khop(spark, folder):
 
 
 _BFS = ("""
-hop(qid, node, d) AS (SELECT qid, s_id, 0 FROM pairs UNION SELECT h.qid, e.v, h.d + 1 FROM hop h JOIN edges e ON e.u = h.node WHERE h.d < 4)""", """
+hop(qid, node, d) AS (SELECT qid, s_id, 0 FROM pairs UNION SELECT h.qid, e.v, h.d + 1 FROM hop h JOIN edges e ON e.u = h.node WHERE h.d < 8)""", """
 dist AS MATERIALIZED (SELECT qid, node, min(d) AS d FROM hop GROUP BY ALL)""", """
 goal AS MATERIALIZED (SELECT p.qid, p.s_id, p.t_id, d.d AS hops FROM pairs p JOIN dist d ON d.qid = p.qid AND d.node = p.t_id WHERE p.s_id <> p.t_id)""", """
 back(qid, node, d, trail, kinds) AS (SELECT qid, t_id, hops, [t_id], []::VARCHAR[] FROM goal UNION ALL
@@ -135,23 +137,23 @@ back(qid, node, d, trail, kinds) AS (SELECT qid, t_id, hops, [t_id], []::VARCHAR
 
 @query(s.with_(s.GRAPH, _EDGES, _TOP, _ENDS, *_BFS, recursive=True) + """
 SELECT g.qid, row_number() OVER (PARTITION BY g.qid ORDER BY b.trail, b.kinds) AS path_no, g.hops, array_to_string(list_reverse(b.trail), ' > ') AS nodes,
-  array_to_string(list_reverse(b.kinds), ' > ') AS kinds FROM goal g JOIN back b ON b.qid = g.qid AND b.d = 0 QUALIFY path_no <= 3""")
+  array_to_string(list_reverse(b.kinds), ' > ') AS kinds FROM goal g JOIN back b ON b.qid = g.qid AND b.d = 0 WHERE g.hops <= 6 QUALIFY path_no <= 3""")
 def shortest_paths(spark, folder):
     g = _graph(spark, folder)
-    p = gq.shortest_paths(g, _ends(g), 4, 3)
+    p = gq.shortest_paths(g, _ends(g), 6, 3)
     return _long(p, "path_no", "hops").select("qid", "path_no", "hops", F.array_join("nodes", " > ").alias("nodes"), F.array_join("kinds", " > ").alias("kinds"))
 
 
 @query(s.with_(s.GRAPH, _EDGES, _TOP, _ENDS, *_BFS, """
 one AS (SELECT g.qid, list_reverse(b.trail) AS t FROM goal g JOIN back b ON b.qid = g.qid AND b.d = 0 QUALIFY row_number() OVER (PARTITION BY g.qid ORDER BY b.trail, b.kinds) = 1)""", """
-stop AS (SELECT o.qid, i, node, coalesce(e.name, 'doc-' || substr(node, 3)) AS name, (SELECT string_agg(corpus, ',' ORDER BY corpus) FROM ent_corpora ec WHERE 'E:' || ec.canonical = node) AS corpora
-  FROM (SELECT qid, unnest(t) AS node, generate_subscripts(t, 1) AS i FROM one) o LEFT JOIN ent e ON 'E:' || e.canonical = o.node)""", recursive=True) + """
+stop AS (SELECT o.qid, i, node, coalesce(e.name, substr(g.caption, 1, 60), CASE WHEN starts_with(node, 'A:') THEN substr(node, 3) ELSE 'doc-' || substr(node, 3) END) AS name, (SELECT string_agg(corpus, ',' ORDER BY corpus) FROM ent_corpora ec WHERE 'E:' || ec.canonical = node) AS corpora
+  FROM (SELECT qid, unnest(t) AS node, generate_subscripts(t, 1) AS i FROM one) o LEFT JOIN ent e ON 'E:' || e.canonical = o.node LEFT JOIN pics g ON 'I:' || g.image_id = o.node)""", recursive=True) + """
 SELECT p.qid, CASE WHEN lower(p.source) = lower(p.target) THEN 'same' WHEN max(s.i) IS NULL THEN 'none' ELSE 'path' END AS outcome,
   string_agg(CASE WHEN starts_with(s.node, 'C:') THEN 'chunk' ELSE s.name END || '=' || coalesce(s.corpora, ''), ' > ' ORDER BY s.i) AS stops
 FROM pairs p LEFT JOIN stop s ON s.qid = p.qid GROUP BY p.qid, p.source, p.target""")
 def journey(spark, folder):
     g = _graph(spark, folder)
-    j = gq.journeys(g, _ends(g), 4)
+    j = gq.journeys(g, _ends(g), 8)
     name = lambda x: F.when(x["label"] == "Chunk", F.lit("chunk")).otherwise(x["name"])
     stops = F.transform("stops", lambda x: F.concat(name(x), F.lit("="), F.array_join(x["corpora"], ",")))
     return j.select("qid", "outcome", F.array_join(stops, " > ").alias("stops"))
@@ -159,7 +161,8 @@ def journey(spark, folder):
 
 @query(s.with_(s.GRAPH, _TOP) + """
 SELECT corpus, name AS id, 'Entity' AS label, name, degree FROM held WHERE rnk <= 150 AND degree > 0
-UNION ALL SELECT corpus, doc_id, 'Document', title, 1 FROM docs""")
+UNION ALL SELECT corpus, doc_id, 'Document', title, 1 FROM docs
+UNION ALL SELECT corpus, image_id, 'Image', substr(coalesce(nullif(caption, ''), 'image'), 1, 60), 1 FROM pics""")
 def vault_graph_nodes(spark, folder):
     nodes, _ = gq.vault_graph(_graph(spark, folder))
     return nodes.select("corpus", "id", "label", "name", "degree")
@@ -174,8 +177,9 @@ links AS MATERIALIZED (SELECT doc_id, canonical, CAST(count(*) AS DOUBLE) AS wei
 k AS MATERIALIZED (SELECT * FROM held WHERE rnk <= 150 AND degree > 0),
 rel AS (SELECT x.corpus, least(x.name, y.name) AS source, greatest(x.name, y.name) AS target, 'RELATED' AS kind, weight, 0 AS tier
   FROM und u JOIN k x ON x.canonical = u.a JOIN k y ON y.canonical = u.b AND y.corpus = x.corpus),
-men AS (SELECT d.corpus, l.doc_id, k.name, 'MENTIONS', l.weight, 1 FROM links l JOIN docs d ON d.doc_id = l.doc_id JOIN k ON k.corpus = d.corpus AND k.canonical = l.canonical)""") + """
-SELECT corpus, source, target, kind, weight FROM (SELECT * FROM rel UNION ALL SELECT * FROM men)
+men AS (SELECT d.corpus, l.doc_id, k.name, 'MENTIONS', l.weight, 1 FROM links l JOIN docs d ON d.doc_id = l.doc_id JOIN k ON k.corpus = d.corpus AND k.canonical = l.canonical),
+pic AS (SELECT p.corpus, p.image_id, k.name, 'DEPICTS', 1.0, 2 FROM depicts x JOIN pics p ON p.image_id = x.image_id JOIN k ON k.corpus = p.corpus AND k.canonical = x.canonical)""") + """
+SELECT corpus, source, target, kind, weight FROM (SELECT * FROM rel UNION ALL SELECT * FROM men UNION ALL SELECT * FROM pic)
 QUALIFY row_number() OVER (PARTITION BY corpus ORDER BY tier, weight DESC, source, target) <= 400""")
 def vault_graph_edges(spark, folder):
     _, edges = gq.vault_graph(_graph(spark, folder))
@@ -184,8 +188,8 @@ def vault_graph_edges(spark, folder):
 
 @query(s.with_(s.GRAPH) + """
 , t AS (SELECT * FROM ent WHERE degree > 0 ORDER BY degree DESC, canonical LIMIT 260)
-SELECT name AS id, 'Entity' AS label, degree, (SELECT string_agg(corpus, ',' ORDER BY corpus) FROM ent_corpora c WHERE c.canonical = t.canonical) AS corpora FROM t
-UNION ALL SELECT doc_id, 'Document', 1, corpus FROM docs""")
+SELECT name AS id, 'Entity' AS label, degree, coalesce((SELECT string_agg(corpus, ',' ORDER BY corpus) FROM ent_corpora c WHERE c.canonical = t.canonical), '') AS corpora FROM t
+UNION ALL SELECT doc_id, 'Document', 1, corpus FROM docs UNION ALL SELECT image_id, 'Image', 1, corpus FROM pics""")
 def library_graph_nodes(spark, folder):
     nodes, _ = gq.library_graph(_graph(spark, folder))
     return nodes.select("id", "label", "degree", F.array_join("corpora", ",").alias("corpora"))
@@ -242,13 +246,31 @@ def surprise_cards(spark, folder):
     return gq.surprise_cards(_typed_graph(spark, folder), 12)
 
 
-@query(r"""
-WITH c AS (SELECT printf('img%06d', e.vec_id) AS image_id, string_split(d.text, chr(10))[1] AS caption FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
-w AS (SELECT image_id, list_filter(list_filter(regexp_extract_all(substr(caption, 1, 500), '[\p{L}\p{N}_]+'), lambda w: regexp_matches(w, '^[A-Z][a-zA-Z]+$')),
-  lambda w: lower(w) NOT IN ('the', 'a', 'an', 'this', 'that', 'image', 'picture', 'photo', 'painting'))[1:8] AS l FROM c)
-SELECT image_id, canonical, min(word) AS name FROM (SELECT image_id, word, lower(word) AS canonical FROM (SELECT image_id, unnest(l) AS word FROM w)) GROUP BY image_id, canonical""")
+@query(s.with_(s.PASSAGES, s.IMAGES) + "SELECT image_id, canonical, name FROM depicts")
 def image_entities(spark, folder):
-    return gb.image_edges(open_sample(spark, folder).images)
+    return open_sample(spark, folder).depicts.select("image_id", "canonical", "name")
+
+
+@query(s.with_(s.PASSAGES, s.IMAGES, f"""
+types(i, mime) AS (VALUES (0, 'image/png'), (1, 'image/jpeg'), (2, 'image/jpeg'), (3, 'image/webp'), (4, 'image/gif')),
+unit AS (SELECT image_id, CAST({s.embedding('content')} AS DOUBLE[]) AS v FROM images)""") + """
+SELECT g.image_id, doc_id, corpus, mime, md5(caption) AS caption_md5, tags, CAST(len(v) AS BIGINT) AS dims, round(v[1], 6) AS v0, round(list_sum(v), 5) AS v_sum
+FROM images g JOIN types ON i = vec_id % 5 JOIN unit u ON u.image_id = g.image_id""")
+def image_ingest(spark, folder):
+    """Image files to rows: media type, caption and tags from the reply of the model, vector from the bytes."""
+    img = open_sample(spark, folder).images
+    v = F.col("vector").cast("array<double>")
+    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    return img.select("image_id", "doc_id", "corpus", "mime", F.md5("caption").alias("caption_md5"), F.array_join("tags", ",").alias("tags"),
+                      F.size(v).cast("long").alias("dims"), F.round(v[0], 6).alias("v0"), F.round(total, 5).alias("v_sum"))
+
+
+@query("""
+SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, count(*) AS n FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id
+WHERE e.vec_id % 17 = 0 OR (e.vec_id % 3 = 0 AND coalesce(string_split(d.text, chr(10))[1], '') = '') GROUP BY ALL""")
+def image_quarantine(spark, folder):
+    """Files that cannot become images are listed; all others went on."""
+    return open_sample(spark, folder).image_errors.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(s.with_(s.GRAPH) + """
@@ -257,16 +279,19 @@ d AS MATERIALIZED (SELECT * FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM go
 c AS (SELECT * FROM chunks WHERE doc_id IN (SELECT doc_id FROM d)),
 m AS MATERIALIZED (SELECT * FROM mentions WHERE doc_id IN (SELECT doc_id FROM d)),
 al AS (SELECT * FROM aliases),
+pi AS MATERIALIZED (SELECT * FROM pics WHERE doc_id IN (SELECT doc_id FROM d)),
+dp AS MATERIALIZED (SELECT * FROM depicts WHERE image_id IN (SELECT image_id FROM pi)),
 e AS (SELECT canonical FROM entities WHERE canonical IN (SELECT canonical FROM m) OR canonical IN (SELECT src FROM relations) OR canonical IN (SELECT dst FROM relations)
-  OR canonical IN (SELECT canonical FROM al) OR canonical IN (SELECT canonical FROM doc_mentions WHERE doc_id IN (SELECT doc_id FROM d)))
-SELECT 'chunks' AS part, count(*) AS n FROM c UNION ALL SELECT 'mentions', count(*) FROM m UNION ALL SELECT 'aliases', count(*) FROM al UNION ALL SELECT 'entities', count(*) FROM e""")
+  OR canonical IN (SELECT canonical FROM al) OR canonical IN (SELECT canonical FROM doc_mentions WHERE doc_id IN (SELECT doc_id FROM d))
+  OR canonical IN (SELECT canonical FROM dp))
+SELECT 'images' AS part, count(*) AS n FROM pi UNION ALL SELECT 'depicts', count(*) FROM dp UNION ALL SELECT 'chunks', count(*) FROM c UNION ALL SELECT 'mentions', count(*) FROM m UNION ALL SELECT 'aliases', count(*) FROM al UNION ALL SELECT 'entities', count(*) FROM e""")
 def orphan_sweep(spark, folder):
     from dataclasses import replace
 
     g = _graph(spark, folder)
     left = gq.sweep_orphans(replace(g, documents=g.documents.filter(~F.col("corpus").isin("src1", "src7"))))
     out = None
-    for part in ("chunks", "mentions", "aliases", "entities"):
+    for part in ("images", "depicts", "chunks", "mentions", "aliases", "entities"):
         one = getattr(left, part).agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "n")
         out = one if out is None else out.unionByName(one)
     return out

@@ -202,7 +202,7 @@ SELECT CAST(c.label AS VARCHAR) AS qid, image_id, round(list_cosine_similarity(c
 FROM ctr c JOIN img i ON true QUALIFY rnk <= 5""")
 def image_topk(spark, folder):
     """Images nearest to the mean vector of each label."""
-    img = open_sample(spark, folder).images
+    img = sample.image_vectors(spark, folder)
     means = img.select("label", F.posexplode("vector").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     asked = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("vector"))
     q = asked.select(F.col("label").cast("string").alias("qid"), "vector")

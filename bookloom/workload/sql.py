@@ -127,6 +127,20 @@ chunks AS MATERIALIZED (SELECT printf('%s#%06d', doc_id, row_number() OVER (PART
   doc_id, seq, corpus, row_number() OVER (PARTITION BY doc_id ORDER BY pp, cp) - 1 AS chunk_index,
   printf('%s/%06d', doc_id, pp) AS parent_id, pp, cp, text, ptext FROM kid_rows)"""
 
+# Image files as sample.image_files writes them, and the captions read from them.
+IMAGES = rf"""
+img_f AS (SELECT printf('img%06d', e.vec_id) AS image_id, CAST(d.doc_id AS VARCHAR) AS doc_id, d.source AS corpus, e.vec_id, coalesce(d.lang, '') AS lang,
+  coalesce(string_split(d.text, chr(10))[1], '') AS line FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 17 <> 0),
+img_b AS (SELECT *, regexp_replace(line, '["\\\x00-\x1f]', '', 'g') AS bare FROM img_f),
+img_c AS (SELECT *, CASE WHEN vec_id % 3 = 0 THEN line ELSE concat('{{"caption": "', bare, '", "tags": ["', lang, '", "t', vec_id % 5, '"]}}') END AS content FROM img_b),
+images AS MATERIALIZED (SELECT image_id, doc_id, corpus, vec_id, content,
+  CASE WHEN vec_id % 3 = 0 THEN substr({trim('line')}, 1, 500) WHEN {trim('bare')} <> '' THEN substr({trim('bare')}, 1, 500) ELSE substr(content, 1, 500) END AS caption,
+  CASE WHEN vec_id % 3 = 0 THEN '' ELSE concat_ws(',', nullif({trim('lang')}, ''), 't' || (vec_id % 5)) END AS tags FROM img_c WHERE content <> ''),
+pics AS MATERIALIZED (SELECT i.* FROM images i WHERE doc_id IN (SELECT doc_id FROM docs)),
+pic_w AS (SELECT image_id, list_filter(list_filter(regexp_extract_all(caption, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_matches(w, '^[A-Z][a-zA-Z]+$')),
+  lambda w: lower(w) NOT IN ('the', 'a', 'an', 'this', 'that', 'image', 'picture', 'photo', 'painting'))[1:8] AS l FROM pics),
+depicts AS MATERIALIZED (SELECT image_id, lower(word) AS canonical, min(word) AS name FROM (SELECT image_id, unnest(l) AS word FROM pic_w) GROUP BY ALL)"""
+
 _GOOD = r"^[A-Z][a-zA-Z]+$"
 
 
@@ -152,7 +166,7 @@ def display(x: str) -> str:
     return f"substr(regexp_replace({trim(x)}, '{WS}+', ' ', 'g'), 1, 120)"
 
 
-ENTITIES = PASSAGES + f""",
+ENTITIES = PASSAGES + "," + IMAGES + f""",
 ph_l AS (SELECT doc_id, seq, pp, {phrase_list('ptext')} AS l FROM par),
 ph AS (SELECT doc_id, seq, pp, unnest(l) AS name, generate_subscripts(l, 1) AS p_at FROM ph_l),
 ph_n AS (SELECT doc_id, seq, pp, name, count(*) AS n, min(p_at) AS p_at FROM ph GROUP BY ALL),
@@ -167,8 +181,9 @@ mentions AS MATERIALIZED (SELECT c.chunk_id, c.doc_id, c.corpus, c.seq, c.chunk_
   FROM chunks c JOIN doc_entities e ON e.doc_id = c.doc_id AND contains(lower(c.text), lower(e.name))),
 doc_mentions AS MATERIALIZED (SELECT e.doc_id, e.canonical FROM doc_entities e
   WHERE NOT EXISTS (SELECT 1 FROM mentions m WHERE m.doc_id = e.doc_id AND m.canonical = e.canonical)),
-entities AS MATERIALIZED (SELECT canonical, arg_min({display('name')}, seq * 1000 + pos) AS name, 'Concept' AS type
-  FROM doc_entities GROUP BY canonical),
+told AS MATERIALIZED (SELECT canonical, arg_min({display('name')}, seq * 1000 + pos) AS name, 'Concept' AS type FROM doc_entities GROUP BY canonical),
+entities AS MATERIALIZED (SELECT * FROM told UNION ALL SELECT canonical, min(name), 'Concept' FROM depicts
+  WHERE canonical NOT IN (SELECT canonical FROM told) GROUP BY canonical),
 aliases AS MATERIALIZED (SELECT DISTINCT {display('d.name')} AS name, d.canonical FROM doc_entities d
   JOIN entities e ON e.canonical = d.canonical WHERE {display('d.name')} <> e.name),
 obs AS (SELECT a.chunk_id, a.seq, a.chunk_index, a.canonical AS src, b.canonical AS dst,
@@ -179,7 +194,7 @@ relations AS MATERIALIZED (SELECT src, dst, 'RELATED_TO' AS type, CAST(count(*)
 
 GRAPH = ENTITIES + """,
 ends AS (SELECT canonical FROM mentions UNION ALL SELECT canonical FROM doc_mentions UNION ALL SELECT src FROM relations
-  UNION ALL SELECT dst FROM relations WHERE src <> dst UNION ALL SELECT canonical FROM aliases),
+  UNION ALL SELECT dst FROM relations WHERE src <> dst UNION ALL SELECT canonical FROM aliases UNION ALL SELECT canonical FROM depicts),
 deg AS MATERIALIZED (SELECT canonical, count(*) AS degree FROM ends GROUP BY canonical),
 ent AS MATERIALIZED (SELECT e.*, coalesce(d.degree, 0) AS degree FROM entities e LEFT JOIN deg d ON d.canonical = e.canonical),
 ent_corpora AS MATERIALIZED (SELECT canonical, corpus FROM mentions UNION SELECT m.canonical, d.corpus FROM doc_mentions m
