@@ -14,10 +14,14 @@ gives no row; further columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bookloom.llm.arrays import batch_of, collected
@@ -27,8 +31,10 @@ BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64 << 20
 MAX_PAIRS = 4_000_000  # 17 bytes each
-SLICE_TOKENS = 200_000  # tokens held at once; a longer text is a slice of its own
+SLICE_BYTES = 256 << 10  # of text encoded at once; a longer text is a slice of its own
 MARK = "▁"
+PLAIN = re.compile("[\\t\\n\\r -~\u00a1-\u024f]*")  # letters, digits and marks that no version of Unicode has changed
+WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed value
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -39,10 +45,18 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Encoders:
-    """Both tokenizers and the bytes of their ids."""
+    """Both tokenizers and the bytes of their ids.
+
+    A goes through its vocabulary as ranks, several times as fast as its merge list, if that is known to give the same ids: an id
+    is the rank of its merge, and each token, taken alone, merges into itself. For neighbours that ranks would join and the merge
+    list would not would be stuck in the token they spell as well. Texts with characters beyond PLAIN, about which two versions of
+    Unicode might differ, go through the merge list.
+    """
 
     def __init__(self, byte_model: bytes, piece_model: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given the other cores to other tasks
         from sentencepiece import SentencePieceProcessor
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_str(byte_model.decode())
@@ -55,15 +69,32 @@ class Encoders:
         pieces = self.b.id_to_piece(list(range(self.b.get_piece_size())))
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
-
-    def encode(self, text: str | None) -> tuple[list[int], list[int]]:
-        if not text:
-            return [], []
-        whole = f" {text}".encode()
-        a, b = self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text)
-        if b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
-            return [], []
-        return a, b
+        named = lambda n, end: np.array([f"{i}{end}" for i in range(n)], object)
+        self.names = [named(len(self.a_bytes), ","), named(len(self.a_bytes), "|"), named(len(self.b_bytes), ","), named(len(self.b_bytes), ";")]
+        spec = json.loads(byte_model)
+        tokens, merges = spec["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        first = len(tokens) - len(merges)
+        self.ranked = (
+            spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and spec["normalizer"] is None
+            and all(tokens.get(a + b) == first + i for i, (a, b) in enumerate(merges)) and all(len(t) == 1 for t, i in tokens.items() if i < first)
+            and all([x.id for x in self.a.model.tokenize(t)] == [i] for t, i in tokens.items())
+        )
+        if self.ranked:
+            ranks = {self.a_bytes[i]: i for i in tokens.values()}
+            self.by_rank = Encoding("a", pat_str=WORD, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
+        """Ids of either side for each text; none where bytes are lost."""
+        full = [t for t in texts if t]
+        found = []
+        for t, b in zip(full, self.b.encode(full, num_threads=1), strict=True):
+            whole = f" {t}"
+            a = self.by_rank(whole) if self.ranked and PLAIN.fullmatch(whole) else self.a.encode(whole, add_special_tokens=False).ids
+            raw = whole.encode()
+            same = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
+            found.append((a, b) if same else ([], []))
+        nxt = iter(found)
+        return [next(nxt) if t else ([], []) for t in texts]
 
 
 class Models:
@@ -93,16 +124,19 @@ def read_models(spark: SparkSession, byte_model: str = BYTE_MODEL, piece_model:
     return Models(spark.sparkContext.broadcast(tuple(contents)), hash(tuple(contents)))
 
 
-def cuts(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
+def cuts(a_ends: list[int], b_ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of A and of B lie before each common end."""
-    a_at = {end: i for i, end in enumerate(a_ends, 1)}  # of equal ends the last
-    b_at = {end: i for i, end in enumerate(b_ends, 1)}
+    a_at = dict(zip(a_ends, range(1, len(a_ends) + 1), strict=True))  # of equal ends the last
+    b_at = dict(zip(b_ends, range(1, len(b_ends) + 1), strict=True))
     common = sorted(a_at.keys() & b_at.keys())
-    return [a_at[end] for end in common], [b_at[end] for end in common]
+    a_cut, b_cut = (np.array(list(map(at.__getitem__, common)), np.int64) for at in (a_at, b_at))
+    return a_cut, b_cut
 
 
 def linked(a: np.ndarray, a_ends: np.ndarray, a_cut: np.ndarray, b: np.ndarray, b_ends: np.ndarray, b_cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all pairs of tokens that end together, slice by slice. Tokens without bytes end with the token before them."""
+    if (np.diff(a_ends) > 0).all() and (np.diff(b_ends) > 0).all():  # one token of either side ends a slice
+        return a[a_cut - 1], b[b_cut - 1]
     a_first, b_first = np.searchsorted(a_ends, a_ends[a_cut - 1]), np.searchsorted(b_ends, b_ends[b_cut - 1])
     a_n, b_n = a_cut - a_first, b_cut - b_first
     pairs = a_n * b_n
@@ -110,49 +144,72 @@ def linked(a: np.ndarray, a_ends: np.ndarray, a_cut: np.ndarray, b: np.ndarray,
     return a[np.repeat(a_first, pairs) + within // np.repeat(b_n, pairs)], b[np.repeat(b_first, pairs) + within % np.repeat(b_n, pairs)]
 
 
-ALIGNED = "row long, doc_id long, n_a long, n_b long, groups array<struct<a:array<int>,b:array<int>>>, link_a array<int>, link_b array<int>"
-
+def group_text(a: np.ndarray, a_cut: np.ndarray, b: np.ndarray, b_cut: np.ndarray, names: list[np.ndarray]) -> str:
+    """``a1,a2|b1;a3|b2,b3``: every id with the mark that follows it, put at its place among the ids of both sides."""
+    out = np.empty(len(a) + len(b), object)
+    a_group, b_group = np.searchsorted(a_cut, np.arange(len(a)), "right"), np.searchsorted(b_cut, np.arange(len(b)), "right")
+    before = np.concatenate([[0], b_cut])[a_group]
+    out[np.arange(len(a)) + before] = names[0][a]
+    out[a_cut - 1 + np.concatenate([[0], b_cut[:-1]])] = names[1][a[a_cut - 1]]
+    out[np.arange(len(b)) + a_cut[b_group]] = names[2][b]
+    out[b_cut - 1 + a_cut] = names[3][b[b_cut - 1]]
+    return "".join(out.tolist())[:-1]
 
-def align(docs: DataFrame, models: Models) -> DataFrame:
-    """``row, doc_id, n_a, n_b, groups, link_a, link_b`` of each document: the ids of either tokenizer in groups of equal bytes, and
-    the ids of linked tokens. ``row`` tells rows apart."""
-
-    def settled(held: list) -> pa.RecordBatch:
-        row, doc, found = zip(*held, strict=True)
 
-        def lists(values, sizes):
-            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, groups string, link_a array<int>, link_b array<int>"
 
-        def ints(parts):
-            return pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32))
 
-        sides = [lists(ints([f[s][0] for f in found]), np.concatenate([np.zeros(0, np.int64), *[np.diff(f[s][1], prepend=0) for f in found]])) for s in ("a", "b")]
-        groups = lists(pa.StructArray.from_arrays(sides, names=["a", "b"]), [len(f["a"][1]) for f in found])
-        links = [lists(ints([f["links"][i] for f in found]), [len(f["links"][i]) for f in found]) for i in (0, 1)]
-        n = [pa.array([len(f[s][0]) for f in found], pa.int64()) for s in ("a", "b")]
-        return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(doc, pa.int64()), *n, groups, *links], names=["row", "doc_id", "n_a", "n_b", "groups", "link_a", "link_b"])
+def align(docs: DataFrame, models: Models) -> DataFrame:
+    """``row, doc_id, n_a, n_b, n_groups, groups, link_a, link_b`` of each document: the ids of either tokenizer in groups of equal
+    bytes, as text like ``a1,a2|b1;a3|b2,b3``, and the ids of linked tokens. ``row`` tells rows apart."""
+
+    def aligned(both: Encoders, a: list[int], b: list[int]) -> tuple:
+        if not a:
+            none = np.zeros(0, np.int64)
+            return 0, 0, 0, "", none, none
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        a_ends, b_ends = np.cumsum(both.a_size[a]), np.cumsum(both.b_size[b])
+        a_cut, b_cut = cuts(a_ends.tolist(), b_ends.tolist())
+        return len(a), len(b), len(a_cut), group_text(a, a_cut, b, b_cut, both.names), *linked(a, a_ends, a_cut, b, b_ends, b_cut)
+
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        flat = np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = models.encoders()
         for batch in batches:
-            held, tokens = [], 0
-            for row, doc, text in zip(*[batch.column(c) for c in ("row", "doc_id", "text")], strict=True):
-                a, b = (np.array(ids, np.int64) for ids in both.encode(text.as_py()))
-                a_ends, b_ends = np.cumsum(both.a_size[a]), np.cumsum(both.b_size[b])
-                a_cut, b_cut = (np.array(c, np.int64) for c in cuts(a_ends.tolist(), b_ends.tolist()))
-                held.append((row.as_py(), doc.as_py(), {"a": (a, a_cut), "b": (b, b_cut), "links": linked(a, a_ends, a_cut, b, b_ends, b_cut)}))
-                tokens += len(a) + len(b)
-                if tokens >= SLICE_TOKENS:
-                    yield settled(held)
-                    held, tokens = [], 0
-            if held:
-                yield settled(held)
+            for part in runs_of(batch, SLICE_BYTES):
+                found = [aligned(both, a, b) for a, b in both.encode(part.column("text").to_pylist())]
+                n_a, n_b, n_groups, groups, link_a, link_b = map(list, zip(*found, strict=True))
+                counts = [pa.array(n, pa.int64()) for n in (n_a, n_b, n_groups)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), part.column("doc_id"), *counts, pa.array(groups, pa.string()), lists(link_a), lists(link_b)],
+                    names=["row", "doc_id", "n_a", "n_b", "n_groups", "groups", "link_a", "link_b"],
+                )
             pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, ALIGNED)
 
 
+def runs_of(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most ``size`` bytes of text, or one row."""
+    lengths = pa.compute.binary_length(batch.column("text").cast(pa.large_string()).fill_null("")).to_numpy(zero_copy_only=False)
+    upto, i = np.concatenate([[0], np.cumsum(lengths)]), 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + size, "right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
+def parsed(groups: Column) -> Column:
+    """The text of groups as ``array<struct<a: array<int>, b: array<int>>>``."""
+    side = lambda text, i: F.split(F.get(F.split(text, r"\|"), i), ",").cast("array<int>")
+    cut_up = F.transform(F.split(groups, ";"), lambda g: F.struct(side(g, 0).alias("a"), side(g, 1).alias("b")))
+    return F.when(groups == "", F.array().cast("array<struct<a:array<int>,b:array<int>>>")).otherwise(cut_up)
+
+
 def pair_counts(rows: DataFrame) -> DataFrame:
     """``a, b, n, best``: how often the corpus links two ids, and whether no other A id is linked with this B id more often."""
 
@@ -202,18 +259,12 @@ def counted(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"{schema}, n_best long, count_sum long")
 
 
-def group_text(groups: Column) -> Column:
-    """``a1,a2|b1;a3|b2,b3``."""
-    side = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    return F.array_join(F.transform(groups, lambda g: F.concat(side(g["a"]), F.lit("|"), side(g["b"]))), ";")
-
-
 def report(docs: DataFrame, models: Models) -> DataFrame:
     """Per document ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256``."""
     spark = docs.sparkSession
     path = scratch_path(spark, "aligned")
-    digest = F.when(F.size("groups") > 0, F.sha2(group_text(F.col("groups")).cast("binary"), 256)).otherwise("")
-    n_groups, n_links = (F.size(c).cast("long").alias(n) for c, n in (("groups", "n_groups"), ("link_a", "n_links")))
-    align(docs, models).select("row", "doc_id", "n_a", "n_b", n_groups, n_links, digest.alias("groups_sha256"), "link_a", "link_b").write.parquet(path)
+    digest = F.when(F.col("groups") != "", F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    n_links = F.size("link_a").cast("long").alias("n_links")
+    align(docs, models).select("row", "doc_id", "n_a", "n_b", "n_groups", n_links, digest.alias("groups_sha256"), "link_a", "link_b").write.parquet(path)
     rows = spark.read.parquet(path)
     return counted(rows, pair_counts(rows)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -77,7 +78,7 @@ def test_matches_brute_force(spark, both, monkeypatch):
     assert got(df) == want
     monkeypatch.setattr(alignment, "MAX_PAIRS", 0)
     assert got(df) == want
-    monkeypatch.setattr(alignment, "SLICE_TOKENS", 1)
+    monkeypatch.setattr(alignment, "SLICE_BYTES", 1)
     assert got(df) == want
 
 
@@ -105,10 +106,30 @@ def test_text_without_white_space(spark):
     assert row[3] >= 1 and row[1] > 10_000
 
 
+def test_ranks_give_the_ids_of_the_merge_list(spark, both):
+    """Any mixture of plain characters, and of others, is encoded as by the merge list."""
+    a, b = both
+    encoders = alignment.read_models(spark).encoders()
+    assert encoders.ranked
+    rnd = random.Random(5)
+    plain = [chr(c) for c in (9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x250))]
+    spaces = " \n\t\r'"
+    texts = []
+    for n in range(3000):
+        pool = plain if n % 3 else ["a", "b", "s", "t", "'", "'ll", "1", ".", "\u2581", "\u4e00", "\xa0", "\x1c", "\x85"]
+        text = "".join(rnd.choice(spaces) if rnd.random() < 0.3 else rnd.choice(pool) for _ in range(rnd.randint(1, 40)))
+        texts.append(text)
+    for text, got in zip(texts, encoders.encode(texts), strict=True):
+        left, right = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
+        held = b"".join(encoders.b_bytes[i] for i in right) == (" " + text).encode()
+        assert got == ((left, right) if held else ([], [])), repr(text)
+
+
 def test_groups_are_the_ids(spark, both):
     a, b = both
     models = alignment.read_models(spark)
-    row = alignment.align(spark.createDataFrame([(1, "Tokenizers disagree, sometimes.")], "doc_id long, text string"), models).first()
+    df = alignment.align(spark.createDataFrame([(1, "Tokenizers disagree, sometimes.")], "doc_id long, text string"), models)
+    row = df.withColumn("groups", alignment.parsed(df.groups)).first()
     assert [i for g in row["groups"] for i in g["a"]] == a.encode(" Tokenizers disagree, sometimes.").ids
     assert [i for g in row["groups"] for i in g["b"]] == b.encode("Tokenizers disagree, sometimes.")
     assert row["link_a"] == [g["a"][-1] for g in row["groups"]] and row["link_b"] == [g["b"][-1] for g in row["groups"]]
@@ -117,7 +138,7 @@ def test_groups_are_the_ids(spark, both):
 def test_tokens_without_bytes():
     """Tokens of no bytes end with the token before them, and each of them is linked."""
     a, a_ends, b, b_ends = np.array([1, 2, 3]), np.array([2, 2, 5]), np.array([7, 8, 9]), np.array([2, 5, 5])
-    a_cut, b_cut = (np.array(c) for c in alignment.cuts(a_ends.tolist(), b_ends.tolist()))
+    a_cut, b_cut = alignment.cuts(a_ends.tolist(), b_ends.tolist())
     assert (a_cut.tolist(), b_cut.tolist()) == ([2, 3], [1, 3])
     left, right = alignment.linked(a, a_ends, a_cut, b, b_ends, b_cut)
     assert list(zip(left.tolist(), right.tolist(), strict=True)) == [(1, 7), (2, 7), (3, 8), (3, 9)]
