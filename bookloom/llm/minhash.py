@@ -7,6 +7,9 @@ in a leaf with the survival probability of a branching process of mean 1.25 * a,
 signatures agree. The trees share the signature, so a pair's misses are not independent: the number of trees is the smallest whose
 miss rate, averaged over the binomial agreement, is at most MISSED at the threshold (18 trees at depth four, 23 at five).
 
+First only leaf numbers and row numbers travel, packed by bucket: most leaves are reached by one document, and are dropped there.
+Rows that meet within a task are settled in it, so a crowded leaf sends one row per task. Sketches then join what is left.
+
 All pairs of a leaf are compared: in one task up to a fixed number of rows, in blocks dealt to many tasks above it. Comparisons
 use byte sketches of the signature with a margin (a pair at 0.8 fails it once in a million times) and the bound that set sizes
 put on similarity. A leaf passes on the pairs it finds while they are few. Where they are many, the leaf holds a family of alike
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bookloom.llm.arrays import batch_of, carried, groups
 from bookloom.llm.components import components
@@ -35,9 +38,11 @@ from bookloom.llm.joins import sized, without
 from bookloom.llm.words import mixed, prefix_hash, range_hash, slices
 from bookloom.session import cut, scratch_path
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 POSITIONS = 64
 MISSED = 1 / 30_000  # share of pairs just at the threshold that no tree may bring together
 SMALL = 32  # rows of a leaf that are compared together with other leaves
+BUCKETS_PER_PARTITION = 4
 LEAF_ROWS = 2048  # rows of a leaf that one task holds; larger leaves are dealt into blocks
 CHUNK = 256  # rows that are compared with a whole block at once
 LEAF = 8  # rows of unrelated documents that a leaf should hold
@@ -66,11 +71,12 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarra
         yield s.first, s.rows, row[new], h[new]
 
 
-SIGNED = "doc_id long, n int, c1 long, c2 long, signature binary"
+SIGNED = "row long, doc_id long, n int, c1 long, c2 long, signature binary"
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n, c1, c2, signature``: set size, set identity, and minwise tokens (the latter once per batch and set)."""
+    """``row, doc_id, n, c1, c2, signature``: row number, set size, set identity, and minwise tokens (the latter once per batch and
+    set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,10 +99,14 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
             lead[order] = doc[order] == doc[order][start][group] if len(doc) else True
             lead &= n > 0
             raw = pa.array([t.tobytes() if keep else None for t, keep in zip(tokens, lead, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), raw], names=["doc_id", "n", "c1", "c2", "signature"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), raw],
+                names=["row", "doc_id", "n", "c1", "c2", "signature"],
+            )
             pa.default_memory_pool().release_unused()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull()).mapInArrow(run, SIGNED)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.filter(F.col("doc_id").isNotNull()).mapInArrow(run, SIGNED)
 
 
 def reached(tokens: np.ndarray, depth: int, trees: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,24 +142,97 @@ def trees_for(percent: int, depth: int) -> int:
     return trees
 
 
-def leaves(heads: DataFrame, depth: int, trees: int, keys_only: bool = False) -> DataFrame:
-    """``key, doc, n, sketch``: every leaf each document reaches; or their keys only."""
+PACKED = "bucket int, keys binary, low long, rows binary, settled boolean"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def packed(leaf: np.ndarray, row: np.ndarray, bucket: np.ndarray, settled: bool) -> Iterator[pa.RecordBatch]:
+    """One record per bucket: leaf numbers, and row numbers as distances from the lowest. Settled rows need no bucket of their leaf."""
+    if not len(leaf):
+        return
+    order = np.lexsort((row, bucket))
+    leaf, row, bucket = leaf[order], row[order], bucket[order]
+    start, _ = groups(bucket)
+    out = []
+    for a, b in zip(start, np.append(start[1:], len(bucket)), strict=True):
+        low = row[a]
+        far = row[b - 1] - low
+        keys = leaf[a:b] if settled else leaf[a:b].astype(np.uint32)  # the bucket names the rest
+        out.append((bucket[a], keys.tobytes(), low, (row[a:b] - low).astype(np.uint32 if far < 1 << 32 else np.uint64).tobytes(), settled))
+    types = (pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.bool_())
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["bucket", "keys", "low", "rows", "settled"])
+
+
+def unpacked(record: dict) -> dict[str, np.ndarray]:
+    keys = np.frombuffer(record["keys"], np.int64 if record["settled"] else np.uint32).astype(np.int64)
+    rows = np.frombuffer(record["rows"], np.uint32 if len(record["rows"]) == 4 * len(keys) else np.uint64).astype(np.int64)
+    return {"key": keys if record["settled"] else keys + (record["bucket"] << 32), "row": rows + record["low"]}
+
+
+def crossed(heads: DataFrame, depth: int, trees: int) -> DataFrame:
+    """``key, row``: the leaves that more than one row reaches, and these rows.
+
+    Rows of a batch that meet in a leaf are known there; all but one take a way of their own, spread by row, and the one stands
+    for them in the bucket of the leaf. So a bucket holds a leaf at most once per batch.
+    """
+    buckets = BUCKETS_PER_PARTITION * int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+            for part in (batch.slice(i, 5000) for i in range(0, batch.num_rows, 5000)):
                 tokens = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(-1, POSITIONS)
                 who, key = reached(tokens, depth, trees)
-                if keys_only:
-                    yield batch_of({"key": key.view(np.int64)})
+                bucket = (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+                leaf = (bucket << 32) + (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                row = part.column("row").to_numpy(zero_copy_only=False)[who]
+                order = np.lexsort((row, leaf))
+                leaf, row, bucket = leaf[order], row[order], bucket[order]
+                new = np.ones(len(leaf), bool)
+                new[1:] = (leaf[1:] != leaf[:-1]) | (row[1:] != row[:-1])
+                leaf, row, bucket = leaf[new], row[new], bucket[new]
+                start, group = groups(leaf)
+                head = np.zeros(len(leaf), bool)
+                head[start] = True
+                yield from packed(leaf[head], row[head], bucket[head], False)
+                several = (np.bincount(group)[group] > 1) if len(leaf) else head
+                yield from packed(leaf[several], row[several], (mixed(row[several].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), True)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+
+        def several():
+            if held:
+                key, row = (np.concatenate([h[c] for h in held]) for c in ("key", "row"))
+                order = np.argsort(key, kind="stable")
+                start, group = groups(key[order])
+                met = order[np.bincount(group)[group] > 1]
+                yield batch_of({"key": key[met], "row": row[met]})
+                held.clear()
+
+        for batch in batches:
+            for record in batch.to_pylist():
+                if record["settled"]:
+                    yield batch_of(unpacked(record))
                     continue
-                sketch = np.ascontiguousarray(tokens.astype(np.uint8))
-                doc, n = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n"))
-                rows = sketch[who]
-                flat = pa.Array.from_buffers(pa.binary(POSITIONS), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc[who]), pa.array(n[who]), flat], names=["key", "doc", "n", "sketch"])
+                if record["bucket"] != at:
+                    yield from several()
+                    at = record["bucket"]
+                held.append(unpacked(record))
+        yield from several()
+
+    dealt = heads.select("row", "signature").mapInArrow(reach, PACKED).repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(meet, "key long, row long")
+
+
+def sketched(heads: DataFrame) -> DataFrame:
+    """``row, doc, n, sketch``: one byte of each minwise token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketch = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).astype(np.uint8)
+            flat = pa.Array.from_buffers(pa.binary(POSITIONS), batch.num_rows, [None, pa.py_buffer(sketch)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("n"), flat], names=["row", "doc", "n", "sketch"])
 
-    return heads.select("doc_id", "n", "signature").mapInArrow(run, "key long" if keys_only else "key long, doc long, n int, sketch binary")
+    return heads.select("row", "doc_id", "n", "signature").mapInArrow(run, "row long, doc long, n int, sketch binary")
 
 
 def tied(n: int, a: np.ndarray, b: np.ndarray, name: np.ndarray) -> np.ndarray:
@@ -237,10 +320,10 @@ def alike(one: np.ndarray, n1: np.ndarray, two: np.ndarray, n2: np.ndarray, perc
     return (equal >= ALIKE) & (100 * low >= percent * high)
 
 
-def candidates(found: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
-    """``family, a, b`` (a < b): near pairs of leaves, and ties between the members of a family.
+def candidates(found: DataFrame, percent: int) -> DataFrame:
+    """``family, a, b`` (a < b): near pairs of leaves, and ties between the members of a family, from ``key, doc, n, sketch``.
 
-    ``keys`` holds the leaf of each row of ``found``. Leaves of more than LEAF_ROWS rows are dealt into blocks.
+    Leaves of more than LEAF_ROWS rows are dealt into blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +340,7 @@ def candidates(found: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
                 pairs = pairs[pairs[:, 1] < pairs[:, 2]]
                 yield batch_of({"family": pairs[:, 0].astype(np.int32), "a": pairs[:, 1], "b": pairs[:, 2]})
 
-    hot = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > LEAF_ROWS))
+    hot = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > LEAF_ROWS))
     crowded = not hot.isEmpty()
     few = found.join(sized(hot.select("key")), "key", "left_anti") if crowded else found
     pairs = few.repartition("key").sortWithinPartitions("key").mapInArrow(run, "family int, a long, b long")
@@ -359,8 +442,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     return left.join(held.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
-def within_families(docs: DataFrame, ties: DataFrame, links: DataFrame, k: int, percent: int) -> DataFrame:
-    """``a, b``: ties that join the components of ``links`` wherever two documents of one family are similar.
+def within_families(docs: DataFrame, ties: DataFrame, parts: DataFrame, k: int, percent: int) -> DataFrame:
+    """``a, b``: ties that join the components ``parts (id, component)`` wherever two documents of one family are similar.
 
     Both sides are dealt into blocks of bounded rows and items; a group is a block of documents outside the family's largest
     component against a block of the whole family.
@@ -389,7 +472,7 @@ def within_families(docs: DataFrame, ties: DataFrame, links: DataFrame, k: int,
                 yield batch_of({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     of = components(ties).select(F.col("id").alias("doc"), F.col("component").alias("family"))
-    parts = components(links).select(F.col("id").alias("doc"), "component")
+    parts = parts.select(F.col("id").alias("doc"), "component")
     rows = cut(of.join(parts, "doc", "left").withColumn("component", F.coalesce("component", "doc")))
     sizes = rows.groupBy("family", "component").count()
     main = sizes.groupBy("family").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
@@ -439,24 +522,40 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     path = scratch_path(spark, "signatures")
     signed(docs, k).write.parquet(path)
     rows = spark.read.schema(SIGNED).parquet(path)
-    first = rows.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("head"))
-    heads = rows.filter("signature is not null").join(first, ["n", "c1", "c2"]).filter("doc_id = head").select("doc_id", "n", "signature")
-    count = first.count()
+    # sets of one document are their own head: only the others take part in the joins by set
+    copied = cut(
+        rows.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("head"), F.min_by("row", F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("rows"))
+        .filter("rows > 1")
+    )
+    sets = ["n", "c1", "c2"]
+    many = sized(copied.select(*sets, "head", "first"))
+    others = rows.filter("signature is not null").select("row", *sets).join(many, sets).filter("row <> first").select("row")
+    heads = rows.filter("signature is not null").select("row", "doc_id", "n", "signature").join(sized(cut(others)), "row", "left_anti")
+    count = rows.filter("n > 0").count() - (copied.agg(F.sum(F.col("rows") - 1)).first()[0] or 0)
     depth = max(2, math.ceil(math.log(max(count, 2) / LEAF) / -math.log(UNRELATED)))
-    trees = trees_for(percent, depth)
-    met = cut(candidates(leaves(heads, depth, trees), leaves(heads, depth, trees, keys_only=True), percent))
-    links = cut(confirmed(docs, met.select("a", "b").distinct(), k, percent))
+    leaves = scratch_path(spark, "leaves")
+    crossed(heads, depth, trees_for(percent, depth)).join(sketched(heads), "row").select("key", "doc", "n", "sketch").write.parquet(leaves)
+    met = cut(candidates(spark.read.schema("key long, doc long, n int, sketch binary").parquet(leaves), percent))
+    parts = components(confirmed(docs, met.select("a", "b").distinct(), k, percent))
     ties = met.filter("family = 1").select("a", "b")
     if not ties.isEmpty():
-        links = links.unionByName(cut(within_families(docs, ties, links, k, percent)))
-    found = components(links).select(F.col("id").alias("head"), F.col("component").alias("component_id"))
-    named = rows.select("doc_id", "n", "c1", "c2").join(first, ["n", "c1", "c2"]).join(found, "head", "left")
+        more = within_families(docs, ties, parts, k, percent)
+        parts = components(more.unionByName(parts.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    found = parts.select(F.col("id").alias("head"), F.col("component").alias("component_id"))
+    named = rows.select("doc_id", *sets).join(many, sets, "left").withColumn("head", F.coalesce("head", "doc_id")).join(found, "head", "left")
     reached = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "head"))
     out = named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), reached.alias("component_id"))
-    unknown = docs.filter(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    unknown = docs.filter(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), set_size(F.col("text"), k).alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(unknown).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def set_size(text: Column, k: int) -> Column:
+    """Number of distinct shingles, as a column expression."""
+    words = F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    shingles = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))
+    return F.when(F.size(words) >= k, F.size(F.array_distinct(shingles))).otherwise((F.size(words) > 0).cast("int")).cast("long")
+
+
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group: the one of the smallest ``doc_id``; rows without ``doc_id`` stay."""
     return without(docs, cut(near_duplicates(docs, k, percent).filter("not kept").select("doc_id").distinct()))

@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from bookloom.llm import minhash
 from bookloom.llm.components import components
@@ -26,7 +27,7 @@ def brute(rows, k):
             if a is not None and b is not None and x and y and 100 * len(x & y) >= 80 * len(x | y):
                 p, q = find(a), find(b)
                 least[max(p, q)] = min(p, q)
-    return sorted(((d, len(x) if d is not None else 0, find(d) if d is not None else None, d is None or find(d) == d) for d, x in sets), key=str)
+    return sorted(((d, len(x), find(d) if d is not None else None, d is None or find(d) == d) for d, x in sets), key=str)
 
 
 def got(docs, k):
@@ -61,7 +62,7 @@ def test_family_blocks(spark, monkeypatch):
     rows = [(d, " ".join(base[: 60 - d % 9] + [f"u{d % 13}{j}" for j in range(d % 9)])) for d in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     ties = spark.createDataFrame([(0, d) for d in range(1, 60)], "a long, b long")
-    none = ties.limit(0)
+    none = ties.limit(0).select(F.col("a").alias("id"), F.col("b").alias("component"))
     links = minhash.within_families(docs, ties, none, 2, 80)
     label = {r["id"]: r["component"] for r in components(links).collect()}
     assert [(d, label.get(d, d)) for d in range(60)] == [(r[0], r[2]) for r in sorted(brute(rows, 2))]
