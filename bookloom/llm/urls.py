@@ -140,7 +140,7 @@ def segmented(names: DataFrame, words: DataFrame, total: int) -> DataFrame:
 
     at = names.filter(F.length("name") <= MAX_NAME).select("name", F.explode(F.sequence(F.lit(0), F.length("name") - 1)).alias("at"))
     parts = at.select("name", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.length("name") - F.col("at")))).alias("size"))
-    spans = parts.withColumn("word", F.expr("substring(name, at + 1, size)")).join(sized(words), "word").groupBy("name").agg(
+    spans = parts.withColumn("word", F.expr("substring(name, at + 1, size)")).join(words, "word").groupBy("name").agg(
         F.collect_list(F.struct("at", "size", "n")).alias("spans"),
     )
     none = F.array().cast(spans.schema["spans"].dataType)
