@@ -10,11 +10,14 @@ score, so they leave the search in order; the same search one step up combines w
 Characters without a piece of their own are one edge each, scored below every piece, and encoded as their UTF-8 bytes.
 
 Defined results: a null or empty text has no ids and one segmentation of score 0; among equal totals a longer last piece goes
-first; null ``doc_id``, repeated rows, very long texts, empty tables and further columns do not matter.
+first, then the segmentation that shares most of its end with the one before it; null ``doc_id``, repeated rows, empty tables and
+further columns do not matter. A very long text is handled whole, and so is a very long run without white space: the search keeps
+``n`` open paths as chains of back pointers, so memory grows with the length and not with its square.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,8 +34,11 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64 << 20
 UNKNOWN_PENALTY = 10.0
 SLICE_BYTES = 512 << 10
+KEPT_BYTES = 64  # longest word whose segmentations are kept
 NEVER = -np.inf
 
+Option = tuple[float, tuple[int, ...]]  # score and ids of a segmentation
+
 
 class _Table:
     """Hash to row number in vectors: a few levels of direct-mapped slots, each taking what collided before."""
@@ -98,41 +104,69 @@ class Lattice:
         held = set(b"".join(plain))
         self.alone = np.zeros(256, bool)  # control characters that no piece holds cut the lattice as well
         self.alone[[b for b in range(0x20) if b not in held]] = True
-        self.nbest = lru_cache(20_000)(self._nbest)
+        self._kept = lru_cache(20_000)(self._nbest)
 
-    def _nbest(self, word: bytes, n: int) -> tuple[tuple[float, int], ...]:
-        """(score, number of ids) of the ``n`` best segmentations of one word, best first: A-star from the end."""
-        ends = [[] for _ in range(len(word) + 1)]
-        for i in range(len(word)):
-            if word[i] & 0xC0 == 0x80:
-                continue
-            size = 1 if word[i] < 0x80 else 2 if word[i] < 0xE0 else 3 if word[i] < 0xF0 else 4
-            for j in range(i + 1, min(len(word), i + self.longest) + 1):
-                found = self.plain.get(word[i:j])
-                if found:
-                    ends[j].append((i, found[0], 1))
-            if word[i : i + size] not in self.plain:
-                ends[min(len(word), i + size)].append((i, self.lowest, size))
+    def nbest(self, word: bytes, n: int) -> tuple[Option, ...]:
+        """The ``n`` best segmentations of one word, best first; those of short words are kept for the next time."""
+        return self._kept(word, n) if len(word) <= KEPT_BYTES else self._nbest(word, n)
+
+    def _nbest(self, word: bytes, n: int) -> tuple[Option, ...]:
+        """A-star from the end with the forward scores as heuristic.
+
+        The heuristic is exact, so each open path stands for a whole segmentation of just its priority, and no more than the ``n``
+        best need to stay open. A path is a chain of back pointers. Among equal totals the path opened last goes on, by its longest
+        piece.
+        """
         best = [0.0] + [NEVER] * len(word)
-        for j in range(1, len(word) + 1):
-            best[j] = max((best[i] + s for i, s, _ in ends[j]), default=NEVER)
-        out, heap = [], [(-best[-1], (), len(word), 0.0, 0)]
-        while heap and len(out) < n:
-            _, path, at, done, size = heapq.heappop(heap)
+        for i in range(len(word)):
+            if best[i] > NEVER:
+                for j, score, _ in self._edges(word, i):
+                    best[j] = max(best[j], best[i] + score)
+        lead = [i for i in range(len(word)) if word[i] & 0xC0 != 0x80]
+        before = dict(zip([*lead[1:], len(word)], lead, strict=True))  # start of the character that ends here
+        out, count = [], 0
+        live = [(-best[-1], 0, len(word), 0.0, None)]
+        while live and len(out) < n:
+            _, _, at, done, path = live.pop(0)
             if at == 0:
-                out.append((done, size))
+                ids = []
+                while path is not None:
+                    ids.extend(path[0])
+                    path = path[1]
+                out.append((done, tuple(ids)))
                 continue
-            for i, s, k in ends[at]:
-                heapq.heappush(heap, (-(best[i] + s + done), (*path, i - at), i, s + done, size + k))
+            char = before[at]
+            for i in range(at - 1, max(-1, at - self.longest - 1), -1):
+                found = self.plain.get(word[i:at])
+                if best[i] == NEVER or (found is None and i != char):
+                    continue
+                score, ids = (found[0], (found[1],)) if found else (self.lowest, tuple(int(self.byte_id[b]) for b in word[i:at]))
+                count += 1
+                live.append((-round(best[i] + score + done, 6), -count, i, score + done, (ids, path)))
+            live.sort(key=lambda x: x[:2])
+            del live[n - len(out) :]
         return tuple(out)
 
-    def combined(self, options: list[tuple[tuple[float, int], ...]], n: int) -> list[tuple[float, int]]:
-        """Losses and additional ids of the ``n`` best combinations, one option of each word; the first is (0, 0)."""
+    def _edges(self, word: bytes, i: int) -> Iterator[tuple[int, float, int]]:
+        """(end, score, number of ids) of the pieces that begin at a character's first byte, and of the character if it is none."""
+        if word[i] & 0xC0 == 0x80:
+            return
+        size = 1 if word[i] < 0x80 else 2 if word[i] < 0xE0 else 3 if word[i] < 0xF0 else 4
+        size = min(size, len(word) - i)
+        for j in range(i + 1, min(len(word), i + self.longest) + 1):
+            found = self.plain.get(word[i:j])
+            if found:
+                yield j, found[0], 1
+        if word[i : i + size] not in self.plain:
+            yield i + size, self.lowest, size
+
+    def combined(self, options: list[tuple[Option, ...]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """Losses and choices of the ``n`` best combinations, one option of each word; the first takes every word's first."""
         first = (0,) * len(options)
         heap, seen, out = [(0.0, first)], {first}, []
         while heap and len(out) < n:
             loss, choice = heapq.heappop(heap)
-            out.append((loss, sum(o[c][1] - o[0][1] for o, c in zip(options, choice, strict=True))))
+            out.append((loss, choice))
             for q, o in enumerate(options):
                 nxt = (*choice[:q], choice[q] + 1, *choice[q + 1 :])
                 if choice[q] + 1 < len(o) and nxt not in seen:
@@ -225,7 +259,7 @@ class Lattice:
         return score, loss, ids, upto[np.searchsorted(edge, off)]
 
     def encode(self, texts: pa.Array, n: int = 1):
-        """Of each text: ids (a list array), score, and (score, number of ids) of its ``n`` best segmentations."""
+        """Of each text: ids (a list array), score, and (score, ids) of its ``n`` best segmentations."""
         texts = texts.cast(pa.large_string()).fill_null("")
         lengths = np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1])
         raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
@@ -261,16 +295,30 @@ class Lattice:
         id_off = np.concatenate([[0], ids_upto])
         totals = np.diff(np.concatenate([[0.0], score_upto]))
         best = []
+        of_word = np.concatenate([[0], np.cumsum(count)])
         for i, (a, b) in enumerate(zip(np.concatenate([[0], words_upto[:-1]]), words_upto, strict=True)):
-            found = [(float(totals[i]), int(id_off[i + 1] - id_off[i]))]
+            found = [(float(totals[i]), out[id_off[i] : id_off[i + 1]])]
             if n > 1 and b > a:
                 losses = loss[of[a:b]]
                 near = np.argpartition(losses, n - 2)[: n - 1] if len(losses) >= n else np.arange(len(losses))
-                options = [self.nbest(data[start[a + w] : end[a + w]].tobytes(), n) for w in near if np.isfinite(losses[w])]
-                found = [(found[0][0] - lost, found[0][1] + more) for lost, more in self.combined(options, n)]
+                near = [a + w for w in np.sort(near) if np.isfinite(losses[w])]
+                options = [self._from(tuple(out[of_word[w] : of_word[w + 1]].tolist()), self.nbest(data[start[w] : end[w]].tobytes(), n)) for w in near]
+                for lost, choice in self.combined(options, n)[1:]:
+                    parts, at = [], of_word[a]
+                    for w, option, c in zip(near, options, choice, strict=True):
+                        if c:
+                            parts += [out[at : of_word[w]], np.array(option[c][1], np.int32)]
+                            at = of_word[w + 1]
+                    found.append((found[0][0] - lost, np.concatenate([*parts, out[at : of_word[b]]])))
             best.append(found)
         return pa.ListArray.from_arrays(pa.array(id_off, pa.int32()), pa.array(out, pa.int32())), totals, best
 
+    @staticmethod
+    def _from(first: tuple[int, ...], options: tuple[Option, ...]) -> tuple[Option, ...]:
+        """``options`` with the segmentation that the text has got in front; it may tie with others."""
+        others = [o for o in options if o[1] != first]
+        return ((options[0][0], first), *others[: len(options) - 1])
+
     def decode(self, ids: pa.Array) -> list[str]:
         """The texts of lists of ids; bytes are joined before they are read as UTF-8."""
         lengths = pa.compute.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False)
@@ -317,12 +365,18 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         i = j
 
 
-ENCODED = "doc_id long, n_pieces long, score double, ids array<int>, nbest array<struct<score:double,n_pieces:int>>, round_trip boolean"
-NBEST = pa.list_(pa.struct([("score", pa.float64()), ("n_pieces", pa.int32())]))
+ENCODED = "doc_id long, n_pieces long, score double, ids array<int>, nbest array<struct<score:double,n_pieces:int,ids_sha256:string>>, round_trip boolean"
+NBEST = pa.list_(pa.struct([("score", pa.float64()), ("n_pieces", pa.int32()), ("ids_sha256", pa.string())]))
+
+
+def ids_digest(ids: np.ndarray) -> str:
+    """SHA-256 of ids as little-endian 32-bit integers."""
+    return hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
 
 
 def encode_documents(docs: DataFrame, model: PieceModel, n: int = 3) -> DataFrame:
-    """Per document: the ids of the best segmentation, the scores and sizes of the ``n`` best, and whether decoding gives the text back."""
+    """Per document: the ids of the best segmentation, the scores, sizes and digests of the ``n`` best (see ``segmentations`` for
+    their ids), and whether decoding gives the text back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = model.lattice()
@@ -331,7 +385,7 @@ def encode_documents(docs: DataFrame, model: PieceModel, n: int = 3) -> DataFram
                 ids, scores, best = lattice.encode(part.column("text"), n)
                 texts = part.column("text").fill_null("").to_pylist()
                 same = [a == b for a, b in zip(lattice.decode(ids), texts, strict=True)]
-                listed = [[{"score": s, "n_pieces": k} for s, k in one] for one in best]
+                listed = [[{"score": s, "n_pieces": len(k), "ids_sha256": ids_digest(k)} for s, k in one] for one in best]
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), ids.value_lengths().cast(pa.int64()), pa.array(scores, pa.float64()), ids,
                     pa.array(listed, NBEST), pa.array(same, pa.bool_()),
@@ -341,6 +395,25 @@ def encode_documents(docs: DataFrame, model: PieceModel, n: int = 3) -> DataFram
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)
 
 
+def segmentations(docs: DataFrame, model: PieceModel, n: int = 3) -> DataFrame:
+    """One row per document and segmentation: ``doc_id, rank, score, ids``, for the ``n`` best; ``decode_documents`` reads them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = model.lattice()
+        for batch in batches:
+            for part in _parts(batch):
+                for doc, best in zip(part.column("doc_id"), lattice.encode(part.column("text"), n)[2], strict=True):
+                    flat = pa.array(np.concatenate([k for _, k in best]), pa.int32())
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(k) for _, k in best]]), pa.int32()), flat)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([doc.as_py()] * len(best), pa.int64()), pa.array(range(1, len(best) + 1), pa.int32()), pa.array([x for x, _ in best], pa.float64()), lists],
+                        names=["doc_id", "rank", "score", "ids"],
+                    )
+            pa.default_memory_pool().release_unused()
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, rank int, score double, ids array<int>")
+
+
 def decode_documents(encoded: DataFrame, model: PieceModel) -> DataFrame:
     """``doc_id, text`` of encoded documents; a null list of ids gives the empty text."""
 

@@ -1,3 +1,6 @@
+import tracemalloc
+
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -40,7 +43,11 @@ def test_nbest_matches_every_segmentation(lattice):
     for text, one, total, found in zip(TEXTS, ids.to_pylist(), totals, best):
         every = all_segmentations(lattice, text or "")
         assert [s for s, _ in found] == [s for s, _ in every[:6]]
-        assert total == every[0][0] and (total, one) in every and found[0][1] == len(one)
+        assert total == every[0][0] and (total, one) in every and found[0][1].tolist() == one
+        ranked = [(s, ids.tolist()) for s, ids in found]
+        assert all(r in every for r in ranked) and len({tuple(k) for _, k in ranked}) == len(ranked)
+        offered = pa.array([k for _, k in ranked], pa.list_(pa.int32()))
+        assert lattice.decode(offered) == [text or ""] * len(ranked)
 
 
 def test_round_trip_and_rows(spark, lattice):
@@ -55,8 +62,30 @@ def test_round_trip_and_rows(spark, lattice):
 
 
 def test_scores_do_not_depend_on_neighbours(lattice):
-    alone = [lattice.encode(pa.array([t]), 3)[2][0] for t in TEXTS]
-    assert lattice.encode(pa.array(TEXTS), 3)[2] == alone
+    plain = lambda best: [(s, ids.tolist()) for s, ids in best]
+    alone = [plain(lattice.encode(pa.array([t]), 3)[2][0]) for t in TEXTS]
+    assert [plain(b) for b in lattice.encode(pa.array(TEXTS), 3)[2]] == alone
+
+
+@pytest.mark.parametrize("text", ["ab" * 4_000, "日本語の文" * 1_000, "a" * 5_000])
+def test_very_long_runs_without_white_space(lattice, text):
+    tracemalloc.start()
+    ids, _, (best,) = lattice.encode(pa.array([text]), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20 and len(best) == (1 if text[0] == "日" else 3) and lattice.decode(pa.array([k for _, k in best])) == [text] * len(best)
+    assert best[0][1].tolist() == ids.to_pylist()[0] and [x for x, _ in best] == sorted((x for x, _ in best), reverse=True)
+
+
+def test_segmentations_of_documents(spark, lattice):
+    docs = odd_documents(spark).filter("doc_id <> 5 or doc_id is null")
+    model = pieces.read_model(spark)
+    rows = pieces.segmentations(docs, model, 4)
+    assert rows.filter("rank = 1").count() == docs.count() and rows.filter("rank = 4").count() > 0
+    texts = {r["text"] or "" for r in docs.collect()}
+    assert {r["text"] for r in pieces.decode_documents(rows, model).collect()} == texts
+    digests = {(r["doc_id"], n + 1, b["ids_sha256"]) for r in pieces.encode_documents(docs, model, 4).collect() for n, b in enumerate(r["nbest"])}
+    assert digests == {(r["doc_id"], r["rank"], pieces.ids_digest(np.array(r["ids"]))) for r in rows.collect()}
 
 
 def test_size_of_the_model_is_checked(spark, monkeypatch):
