@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bookloom import settings as S
@@ -9,8 +11,27 @@ from bookloom.functions.entities import canonical, display, phrases
 from bookloom.functions.text import let, strip
 
 
-def local_extracts(parents: DataFrame, per_parent: int = S.PHRASES_PER_PARENT) -> DataFrame:
-    """Most frequent capitalised phrases of each parent: ``(doc_id, extract_no, pos, name, type)``.
+@dataclass(frozen=True)
+class Limits:
+    """What a graph build may leave out; nothing by default. ``STANDARD`` keeps a graph small enough to browse."""
+
+    phrases_per_parent: int | None = None
+    entities_per_document: int | None = None
+    relations_per_document: int | None = None
+    typed_relations_kept: int | None = None
+    pairs_per_chunk: int | None = None
+    reply_items: int | None = None
+
+
+STANDARD = Limits(S.PHRASES_PER_PARENT, S.ENTITIES_PER_DOC, S.RELATIONS_PER_DOC, S.TYPED_RELATIONS_KEPT, S.PAIRS_PER_CHUNK, S.REPLY_ITEMS)
+
+
+def _at_most(df: DataFrame, limit: int | None, name: str = "pos") -> DataFrame:
+    return df if limit is None else df.filter(F.col(name) <= limit)
+
+
+def local_extracts(parents: DataFrame, per_parent: int | None = None) -> DataFrame:
+    """Capitalised phrases of each parent, most frequent first: ``(doc_id, extract_no, pos, name, type)``.
 
     The one shuffle is on ``doc_id``; every later grouping by document reuses that placement.
     """
@@ -21,22 +42,21 @@ def local_extracts(parents: DataFrame, per_parent: int = S.PHRASES_PER_PARENT) -
         .agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"))
     )
     order = Window.partitionBy("doc_id", "parent_pos").orderBy(F.desc("n"), "first_at")
-    return (
-        found.withColumn("pos", F.row_number().over(order))
-        .filter(F.col("pos") <= per_parent)
-        .select("doc_id", F.col("parent_pos").alias("extract_no"), "pos", "name", F.lit("Concept").alias("type"))
+    return _at_most(found.withColumn("pos", F.row_number().over(order)), per_parent).select(
+        "doc_id", F.col("parent_pos").alias("extract_no"), "pos", "name", F.lit("Concept").alias("type")
     )
 
 
-def model_extracts(replies: DataFrame, first_no: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def model_extracts(replies: DataFrame, first_no: int = 1_000_000, items: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Entity and relation rows from model replies.
 
     ``replies``: ``doc_id, window_no, entities array<struct<name,type>>, relations
-    array<struct<source,target,type>>``. At most 50 of each per reply; blank names dropped.
+    array<struct<source,target,type>>``. ``items`` limits each list of a reply; blank names dropped.
     ``first_no`` orders model extracts after the local ones.
     """
+    listed = lambda c: F.col(c) if items is None else F.slice(c, 1, items)
     entities = (
-        replies.select("doc_id", "window_no", F.posexplode(F.slice("entities", 1, 50)).alias("pos", "e"))
+        replies.select("doc_id", "window_no", F.posexplode(listed("entities")).alias("pos", "e"))
         .select(
             "doc_id", (F.col("window_no") + first_no).alias("extract_no"), "pos",
             F.substring(strip(F.col("e.name")), 1, 120).alias("name"),
@@ -45,7 +65,7 @@ def model_extracts(replies: DataFrame, first_no: int = 1_000_000) -> tuple[DataF
         .filter(F.coalesce("name", F.lit("")) != "")
     )
     relations = (
-        replies.select("doc_id", "window_no", F.posexplode(F.slice("relations", 1, 50)).alias("pos", "r"))
+        replies.select("doc_id", "window_no", F.posexplode(listed("relations")).alias("pos", "r"))
         .select(
             "doc_id", (F.col("window_no") + first_no).alias("extract_no"), "pos",
             strip(F.col("r.source")).alias("source"), strip(F.col("r.target")).alias("target"),
@@ -56,8 +76,8 @@ def model_extracts(replies: DataFrame, first_no: int = 1_000_000) -> tuple[DataF
     return entities, relations
 
 
-def merge_extracts(extracts: DataFrame, cap: int = S.ENTITIES_PER_DOC) -> DataFrame:
-    """One row per document and canonical name, most extracts first, at most ``cap`` per document."""
+def merge_extracts(extracts: DataFrame, cap: int | None = None) -> DataFrame:
+    """One row per document and canonical name, most extracts first; ``cap`` limits them per document."""
     named = extracts.select("*", canonical(F.col("name")).alias("canonical")).filter("canonical <> ''")
     at = F.struct("extract_no", "pos")
     merged = named.groupBy("doc_id", "canonical").agg(
@@ -66,14 +86,12 @@ def merge_extracts(extracts: DataFrame, cap: int = S.ENTITIES_PER_DOC) -> DataFr
         F.min_by(F.struct(F.substring(strip(F.col("name")), 1, 120).alias("name"), "type"), at).alias("shown"),
     )
     order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first_at")
-    return (
-        merged.withColumn("pos", F.row_number().over(order))
-        .filter(F.col("pos") <= cap)
-        .select("doc_id", "pos", "canonical", F.col("shown.name").alias("name"), F.col("shown.type").alias("type"))
+    return _at_most(merged.withColumn("pos", F.row_number().over(order)), cap).select(
+        "doc_id", "pos", "canonical", F.col("shown.name").alias("name"), F.col("shown.type").alias("type")
     )
 
 
-def merge_typed_relations(relations: DataFrame, doc_entities: DataFrame, cap: int = S.RELATIONS_PER_DOC) -> DataFrame:
+def merge_typed_relations(relations: DataFrame, doc_entities: DataFrame, cap: int | None = None) -> DataFrame:
     """Typed relations between kept entities of a document, no self-pairs, one per (src, dst, type)."""
     keyed = relations.select(
         "*", canonical(F.col("source")).alias("src"), canonical(F.col("target")).alias("dst")
@@ -87,21 +105,17 @@ def merge_typed_relations(relations: DataFrame, doc_entities: DataFrame, cap: in
         F.min_by(F.struct("source", "target"), at).alias("shown"), F.min(at).alias("first_at")
     )
     order = Window.partitionBy("doc_id").orderBy("src", "dst", "first_at")
-    return (
-        one.withColumn("pos", F.row_number().over(order))
-        .filter(F.col("pos") <= cap)
-        .select(
-            "doc_id", "pos", "src", "dst", "type",
-            F.substring("shown.source", 1, 120).alias("source"), F.substring("shown.target", 1, 120).alias("target"),
-        )
+    return _at_most(one.withColumn("pos", F.row_number().over(order)), cap).select(
+        "doc_id", "pos", "src", "dst", "type",
+        F.substring("shown.source", 1, 120).alias("source"), F.substring("shown.target", 1, 120).alias("target"),
     )
 
 
 def chunk_entities(chunks: DataFrame, doc_entities: DataFrame, whole_words: bool = False) -> DataFrame:
     """Entities of the document found in each chunk, as one ordered array per chunk.
 
-    A document has a bounded entity list, so it travels as one array and the containment test runs
-    inside the chunk row: no (entity, chunk) pair is ever a row unless it matches. Containment is by
+    The entities of a document, no more than its phrases, travel as one array and the containment test
+    runs inside the chunk row: no (entity, chunk) pair is ever a row unless it matches. Containment is by
     substring; ``whole_words`` asks for word boundaries instead.
     """
     listed = doc_entities.groupBy("doc_id").agg(
@@ -141,37 +155,31 @@ def document_mentions(doc_entities: DataFrame, mentions: DataFrame) -> DataFrame
     )
 
 
-def cooccurrences(in_chunks: DataFrame, per_chunk: int = S.PAIRS_PER_CHUNK) -> DataFrame:
-    """The first ``per_chunk`` ordered entity pairs of each chunk.
+def cooccurrences(in_chunks: DataFrame, per_chunk: int | None = None) -> DataFrame:
+    """All ordered entity pairs of each chunk, or its first ``per_chunk``.
 
-    The first p pairs in (i, j) order only involve the first p + 1 entities, so the array is cut
-    before pairs are formed and stays of constant size.
+    Pairs become rows one after the other, an entity of the chunk with those behind it, and combine in the
+    task that forms them when they are counted. The first p pairs in (i, j) order only involve the first
+    p + 1 entities, so with a limit the array is cut before pairs are formed.
     """
-    few = F.slice("mentioned", 1, per_chunk + 1)
-    pairs = F.flatten(
-        F.transform(
-            few,
-            lambda a, i: F.transform(
-                F.slice(few, i + 2, F.lit(per_chunk + 1)),
-                lambda b: F.struct(a["canonical"].alias("src"), b["canonical"].alias("dst")),
-            ),
-        )
-    )
-    return (
-        in_chunks.filter(F.size("mentioned") > 1)
-        .select("chunk_id", "seq", "chunk_index", F.posexplode(F.slice(pairs, 1, per_chunk)).alias("pair_no", "p"))
-        .select(
-            F.col("p.src").alias("src"), F.col("p.dst").alias("dst"), F.lit("RELATED_TO").alias("type"),
-            F.struct("seq", "chunk_index", "pair_no").alias("at"), F.col("chunk_id").alias("evidence"),
-        )
-    )
-
-
-def typed_observations(typed: DataFrame, documents: DataFrame, kept: int = S.TYPED_RELATIONS_KEPT) -> DataFrame:
-    """Typed relations as observations, the first ``kept`` of each document, the document as evidence."""
-    return typed.filter(F.col("pos") <= kept).join(documents.select("doc_id", "seq"), "doc_id").select(
+    listed = F.col("mentioned") if per_chunk is None else F.slice("mentioned", 1, per_chunk + 1)
+    rows = in_chunks.filter(F.size("mentioned") > 1).select("chunk_id", "seq", "chunk_index", listed.alias("e"))
+    firsts = rows.select("*", F.posexplode("e").alias("i", "a"))
+    behind = F.slice("e", F.col("i") + 2, F.size("e"))
+    pairs = firsts.select("chunk_id", "seq", "chunk_index", "i", F.size("e").alias("n"), F.col("a.canonical").alias("src"), F.posexplode(behind).alias("j", "b"))
+    before = F.col("i").cast("long") * (2 * F.col("n") - F.col("i") - 1) / 2  # pairs of the entities in front
+    numbered = pairs.withColumn("pair_no", (before + F.col("j")).cast("long"))
+    return (numbered if per_chunk is None else numbered.filter(F.col("pair_no") < per_chunk)).select(
+        "src", F.col("b.canonical").alias("dst"), F.lit("RELATED_TO").alias("type"),
+        F.struct("seq", "chunk_index", "pair_no").alias("at"), F.col("chunk_id").alias("evidence"),
+    )
+
+
+def typed_observations(typed: DataFrame, documents: DataFrame, kept: int | None = None) -> DataFrame:
+    """Typed relations as observations, all or the first ``kept`` of each document, the document as evidence."""
+    return _at_most(typed, kept).join(documents.select("doc_id", "seq"), "doc_id").select(
         "src", "dst", "type",
-        F.struct(F.col("seq"), F.lit(2**31 - 1).alias("chunk_index"), F.col("pos").alias("pair_no")).alias("at"),
+        F.struct(F.col("seq"), F.lit(2**31 - 1).alias("chunk_index"), F.col("pos").cast("long").alias("pair_no")).alias("at"),
         F.col("doc_id").alias("evidence"),
     )
 

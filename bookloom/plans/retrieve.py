@@ -84,7 +84,7 @@ def retrieve_context(
         asked = drop_unknown_tags(normalised(metadata(asked)), lib.document_meta)
     else:
         asked = normalised(asked)
-    asked = cut(with_vectors(asked))
+    asked = cut(with_vectors(asked, lib.dim, lib.embed))
     near, words = two_arms(lib, asked, config.candidates)
     hits = ranking.fuse(near, words, config.fused)
     if config.graph_boost:
@@ -100,7 +100,7 @@ def retrieve_context(
 
 def hybrid_search(lib: Library, queries: DataFrame, top: int = 5) -> DataFrame:
     """Plain hybrid search: 12 hits per arm, 10 fused, reranked to ``top`` (1..6), no filters or graph."""
-    asked = cut(with_vectors(normalised(queries.select("qid", "question", "corpus"))))
+    asked = cut(with_vectors(normalised(queries.select("qid", "question", "corpus")), lib.dim, lib.embed))
     near, words = two_arms(lib, asked, 12)
     hits = hit_details(lib, ranking.fuse(near, words, 10), asked)
     return ranking.rerank(hits, max(1, min(int(top), 6)))

@@ -27,12 +27,13 @@ CACHE_QUESTION_CHARS = 2000
 BAND_LOW, BAND_HIGH = 0.70, 0.95
 BAND_PAIRS = 4
 
-# graph
+# graph: optional limits, see operators.graph_build.Limits; without them nothing is cut
 PHRASES_PER_PARENT = 15
 ENTITIES_PER_DOC = 200
 RELATIONS_PER_DOC = 200
 TYPED_RELATIONS_KEPT = 50
 PAIRS_PER_CHUNK = 8
+REPLY_ITEMS = 50
 WINDOW_CHARS = 8000
 MODEL_PARENTS = 60
 
@@ -46,6 +47,8 @@ GLOBAL_BUDGET = 8
 CAPTION_CHARS = 500
 IMAGE_TAGS, TAG_CHARS = 10, 64
 IMAGE_NAME_CHARS = 60
+IMAGE_HITS = 3
+CITED_SUMMARY_CHARS = 160
 
 # ingest
 MAX_FILE_BYTES = 50 * 1024 * 1024

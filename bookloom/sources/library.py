@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from copy import copy
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,6 +15,8 @@ from bookloom.operators import graph_build as gb
 from bookloom.operators import images as im
 from bookloom.operators import keyword as kw
 from bookloom.operators.graph_query import Graph
+from bookloom.operators.vector_index import VectorIndex
+from bookloom.session import scratch_path
 from bookloom.sources import sample
 from bookloom.sources.tables import TableStore
 
@@ -33,12 +36,26 @@ class Library:
     def __init__(
         self, spark: SparkSession, uploaded: DataFrame, images: Callable[[], DataFrame] | None = None,
         embed=hash_embedding, embed_image=hash_embedding, describe: Callable[[DataFrame], DataFrame] = im.not_described, dim: int = S.EMBED_DIM,
+        limits: gb.Limits = gb.Limits(),
     ):
         self.spark = spark
         self.uploaded = uploaded
         self._image_files = images
-        self._embed, self._embed_image, self._describe, self._dim = embed, embed_image, describe, dim
+        self.embed, self.embed_image, self.describe, self.dim = embed, embed_image, describe, dim
+        self.limits = limits
         self._store = TableStore(spark)
+        self._names: dict[str, str] = {}
+
+    def limited(self, limits: gb.Limits) -> Library:
+        """The same library with other limits on its graph; documents, passages, images and the search index are shared."""
+        other = copy(self)
+        other.limits = limits
+        graph = ("doc_entities", "chunk_entities", "doc_mentions", "entities", "aliases", "relations")
+        other._names = {n: f"{n}-{abs(hash(limits)):x}" for n in graph}
+        return other
+
+    def _table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return self._store.get(self._names.get(name, name), build)
 
     @property
     def documents(self) -> DataFrame:
@@ -53,7 +70,7 @@ class Library:
 
     @property
     def passages(self) -> DataFrame:
-        return self._store.get("passages", lambda: docs.passage_table(self.documents, dim=self._dim, embed=self._embed))
+        return self._store.get("passages", lambda: docs.passage_table(self.documents, dim=self.dim, embed=self.embed))
 
     @property
     def chunks(self) -> DataFrame:
@@ -65,11 +82,12 @@ class Library:
 
     @property
     def doc_entities(self) -> DataFrame:
-        return self._store.get("doc_entities", lambda: gb.merge_extracts(gb.local_extracts(self.parents)))
+        return self._table("doc_entities", lambda: gb.merge_extracts(
+            gb.local_extracts(self.parents, self.limits.phrases_per_parent), self.limits.entities_per_document))
 
     @property
     def chunk_entities(self) -> DataFrame:
-        return self._store.get("chunk_entities", lambda: gb.chunk_entities(self.chunks, self.doc_entities))
+        return self._table("chunk_entities", lambda: gb.chunk_entities(self.chunks, self.doc_entities))
 
     @property
     def mentions(self) -> DataFrame:
@@ -77,24 +95,24 @@ class Library:
 
     @property
     def doc_mentions(self) -> DataFrame:
-        return self._store.get("doc_mentions", lambda: gb.document_mentions(self.doc_entities, self.mentions))
+        return self._table("doc_mentions", lambda: gb.document_mentions(self.doc_entities, self.mentions))
 
     @property
     def entities(self) -> DataFrame:
-        return self._store.get("entities", lambda: im.with_depicted(gb.merge_entities(self.doc_entities, self.documents), self.depicts))
+        return self._table("entities", lambda: im.with_depicted(gb.merge_entities(self.doc_entities, self.documents), self.depicts))
 
     @property
     def aliases(self) -> DataFrame:
-        return self._store.get("aliases", lambda: gb.alias_names(self.doc_entities, self.entities))
+        return self._table("aliases", lambda: gb.alias_names(self.doc_entities, self.entities))
 
     @property
     def relations(self) -> DataFrame:
-        return self._store.get("relations", lambda: gb.merge_relations(gb.cooccurrences(self.chunk_entities)))
+        return self._table("relations", lambda: gb.merge_relations(gb.cooccurrences(self.chunk_entities, self.limits.pairs_per_chunk)))
 
     @property
     def images(self) -> DataFrame:
         """Images of all uploads; files without bytes are in ``image_errors``."""
-        return self._store.get("images", lambda: im.image_table(self.image_files, self._describe, self._embed_image, self._dim))
+        return self._store.get("images", lambda: im.image_table(self.image_files, self.describe, self.embed_image, self.dim))
 
     @property
     def image_files(self) -> DataFrame:
@@ -157,12 +175,18 @@ class Library:
         return self._store.get("items", lambda: rows.join(meta, "doc_id"))
 
 
+    @cached_property
+    def vector_index(self) -> VectorIndex:
+        """The items in stored cells for approximate search, built once."""
+        return VectorIndex.build(self.items, scratch_path(self.spark, "vector-index"))
+
+
 _OPEN: dict[tuple[str, str], Library] = {}
 
 
 def open_sample(spark: SparkSession, folder: str) -> Library:
-    """The library over the given tables, shared by all queries of one session."""
+    """The library over the given tables, shared by all queries of one session; its graph is built to the standard limits."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _OPEN:
-        _OPEN[key] = Library(spark, sample.documents(spark, folder), lambda: sample.image_files(spark, folder), describe=im.reply_in_file)
+        _OPEN[key] = Library(spark, sample.documents(spark, folder), lambda: sample.image_files(spark, folder), describe=im.reply_in_file, limits=gb.STANDARD)
     return _OPEN[key]

@@ -226,7 +226,7 @@ def global_answers(spark, folder):
     return overview.global_answers(sample.questions(spark, folder).select("qid", "question"), communities)
 
 
-@query(s.with_(s.ENTITIES) + """
+@query(s.with_(s.WHOLE) + """
 SELECT 'documents' AS part, count(*) AS n, count(DISTINCT content_hash) AS n_distinct FROM docs
 UNION ALL SELECT 'passages', count(*), count(DISTINCT text) FROM chunks UNION ALL SELECT 'mentions', count(*), count(DISTINCT canonical) FROM mentions""")
 def stream_ingest_counts(spark, folder):

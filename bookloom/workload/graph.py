@@ -17,13 +17,18 @@ def _graph(spark, folder) -> gq.Graph:
     return open_sample(spark, folder).graph
 
 
+def _whole(spark, folder):
+    """The library with a graph without limits."""
+    return open_sample(spark, folder).limited(gb.Limits())
+
+
 def _long(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
 
-@query(s.with_(s.ENTITIES) + "SELECT doc_id, pos, canonical, name FROM doc_entities")
+@query(s.with_(s.WHOLE) + "SELECT doc_id, pos, canonical, name FROM doc_entities")
 def document_entities(spark, folder):
-    return _long(open_sample(spark, folder).doc_entities, "pos").select("doc_id", "pos", "canonical", "name")
+    return _long(_whole(spark, folder).doc_entities, "pos").select("doc_id", "pos", "canonical", "name")
 
 
 @query(s.with_(s.ENTITIES) + """
@@ -34,21 +39,28 @@ def entity_canonical(spark, folder):
     return lib.entities.join(spelled, "canonical", "left").select("canonical", "name", "type", "aliases")
 
 
-@query(s.with_(s.ENTITIES) + "SELECT chunk_id, canonical FROM mentions UNION ALL SELECT doc_id, canonical FROM doc_mentions")
+@query(s.with_(s.WHOLE) + "SELECT chunk_id, canonical FROM mentions UNION ALL SELECT doc_id, canonical FROM doc_mentions")
 def mentions(spark, folder):
-    g = _graph(spark, folder)
+    g = _whole(spark, folder)
     return g.mentions.select("chunk_id", "canonical").unionByName(g.doc_mentions.select(F.col("doc_id").alias("chunk_id"), "canonical"))
 
 
-@query(s.with_(s.ENTITIES) + "SELECT src, dst, weight, evidence FROM relations")
+@query(s.with_(s.WHOLE) + "SELECT src, dst, weight, evidence FROM relations")
 def cooccurrence(spark, folder):
+    """Every pair of entities of a chunk."""
+    return _whole(spark, folder).relations.select("src", "dst", "weight", "evidence")
+
+
+@query(s.with_(s.ENTITIES) + "SELECT src, dst, weight, evidence FROM relations")
+def cooccurrence_limited(spark, folder):
+    """The relations of the graph built to the standard limits, on which the other graph queries work."""
     return _graph(spark, folder).relations.select("src", "dst", "weight", "evidence")
 
 
-@query(s.with_(s.ENTITIES) + """
+@query(s.with_(s.WHOLE) + """
 SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(weight) AS total, max(weight) AS heaviest FROM relations WHERE src <> dst GROUP BY ALL""")
 def edge_weights(spark, folder):
-    r = _graph(spark, folder).relations
+    r = _whole(spark, folder).relations
     return cm.edge_weights(r).withColumnRenamed("weight", "total").join(cm.edge_weights(r, "max").withColumnRenamed("weight", "heaviest"), ["a", "b"])
 
 

@@ -9,7 +9,9 @@ from bookloom.operators import graph_query as gq
 from bookloom.operators import keyword as kw
 from bookloom.operators import knn, ranking
 from bookloom.operators.scope import drop_unknown_tags, normalised
+from bookloom.operators.vector_index import VectorIndex
 from bookloom.plans import retrieve as plan
+from bookloom.session import scratch_path
 from bookloom.sources import sample
 from bookloom.sources.library import open_sample
 from bookloom.workload import query
@@ -224,8 +226,40 @@ def vector_topk_scoped(spark, folder):
 
 @query()
 def ann_topk(spark, folder):
-    """Approximate neighbours: 16 cells, 4 probed."""
-    lib = open_sample(spark, folder)
-    celled, centers = knn.build_cells(lib.items.select("item_id", "vector", "corpus"), 16)
-    hits = knn.nearest_in_cells(_asked(spark, folder).select("qid", "vector", "corpus"), celled, centers, 10, 4)
+    """Approximate neighbours of every question, in its corpus, from the stored index with its measured number of cells."""
+    hits = open_sample(spark, folder).vector_index.search(_asked(spark, folder).select("qid", "vector", "corpus"), 10)
     return _long(hits, "rnk").select("qid", "rnk", F.col("item_id").alias("chunk_id"), F.round("sim", 6).alias("sim"))
+
+
+def _indexed(spark, folder):
+    """A stored index over the given vectors, and every fiftieth of them as a question."""
+    e = sample.table(spark, folder, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    index = VectorIndex.build(e, scratch_path(spark, "embeddings-index"))
+    return index, e, e.filter("item_id % 50 = 0").withColumnRenamed("item_id", "qid")
+
+
+_NEAR = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT a.vec_id AS qid, b.vec_id AS item_id, round(list_cosine_similarity(a.v, b.v), 6) AS sim,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.vec_id) AS rnk
+FROM v a JOIN v b ON a.vec_id % 50 = 0 QUALIFY rnk <= 10"""
+
+
+@query(_NEAR)
+def index_all_cells(spark, folder):
+    """With every cell probed the index gives the exact neighbours."""
+    index, _, asked = _indexed(spark, folder)
+    hits = index.search(asked, 10, probes=len(index.centres))
+    return _long(hits, "rnk").select("qid", "item_id", F.round("sim", 6).alias("sim"), "rnk")
+
+
+@query("SELECT count(*) AS questions, true AS recalled, true AS below_all FROM embeddings WHERE vec_id % 50 = 0")
+def index_recall(spark, folder):
+    """The measured number of cells finds nine tenths of the exact neighbours or more."""
+    index, e, asked = _indexed(spark, folder)
+    exact = knn.nearest(asked, e, 10).select("qid", "item_id")
+    found = index.search(asked, 10).select("qid", "item_id", F.lit(1).alias("found"))
+    met = exact.join(found, ["qid", "item_id"], "left").agg(
+        F.count_distinct("qid").alias("questions"), (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("recalled"),
+    )
+    return met.withColumn("below_all", F.lit(index.probes <= len(index.centres)))

@@ -166,31 +166,38 @@ def display(x: str) -> str:
     return f"substr(regexp_replace({trim(x)}, '{WS}+', ' ', 'g'), 1, 120)"
 
 
-ENTITIES = PASSAGES + "," + IMAGES + f""",
+def entities(phrases: int | None, per_document: int | None, pairs: int | None) -> str:
+    """Entities, mentions and relations, with or without limits."""
+    keep = lambda name, limit: f"QUALIFY {name} <= {limit}" if limit else ""
+    return PASSAGES + "," + IMAGES + f""",
 ph_l AS (SELECT doc_id, seq, pp, {phrase_list('ptext')} AS l FROM par),
 ph AS (SELECT doc_id, seq, pp, unnest(l) AS name, generate_subscripts(l, 1) AS p_at FROM ph_l),
 ph_n AS (SELECT doc_id, seq, pp, name, count(*) AS n, min(p_at) AS p_at FROM ph GROUP BY ALL),
 ext AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pp ORDER BY n DESC, p_at) AS pos FROM ph_n
-  QUALIFY pos <= {S.PHRASES_PER_PARENT}),
-de_n AS (SELECT doc_id, seq, {canonical('name')} AS canonical, count(*) AS n, min(pp * 1000 + pos) AS first_at,
-  arg_min(name, pp * 1000 + pos) AS name FROM ext GROUP BY ALL),
+  {keep('pos', phrases)}),
+de_n AS (SELECT doc_id, seq, {canonical('name')} AS canonical, count(*) AS n, min(pp * 1000000 + pos) AS first_at,
+  arg_min(name, pp * 1000000 + pos) AS name FROM ext GROUP BY ALL),
 doc_entities AS MATERIALIZED (SELECT doc_id, seq, canonical, substr(name, 1, 120) AS name,
   row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_at) AS pos FROM de_n WHERE canonical <> ''
-  QUALIFY pos <= {S.ENTITIES_PER_DOC}),
+  {keep('pos', per_document)}),
 mentions AS MATERIALIZED (SELECT c.chunk_id, c.doc_id, c.corpus, c.seq, c.chunk_index, e.canonical, e.pos
   FROM chunks c JOIN doc_entities e ON e.doc_id = c.doc_id AND contains(lower(c.text), lower(e.name))),
 doc_mentions AS MATERIALIZED (SELECT e.doc_id, e.canonical FROM doc_entities e
   WHERE NOT EXISTS (SELECT 1 FROM mentions m WHERE m.doc_id = e.doc_id AND m.canonical = e.canonical)),
-told AS MATERIALIZED (SELECT canonical, arg_min({display('name')}, seq * 1000 + pos) AS name, 'Concept' AS type FROM doc_entities GROUP BY canonical),
+told AS MATERIALIZED (SELECT canonical, arg_min({display('name')}, seq * 1000000 + pos) AS name, 'Concept' AS type FROM doc_entities GROUP BY canonical),
 entities AS MATERIALIZED (SELECT * FROM told UNION ALL SELECT canonical, min(name), 'Concept' FROM depicts
   WHERE canonical NOT IN (SELECT canonical FROM told) GROUP BY canonical),
 aliases AS MATERIALIZED (SELECT DISTINCT {display('d.name')} AS name, d.canonical FROM doc_entities d
   JOIN entities e ON e.canonical = d.canonical WHERE {display('d.name')} <> e.name),
 obs AS (SELECT a.chunk_id, a.seq, a.chunk_index, a.canonical AS src, b.canonical AS dst,
   row_number() OVER (PARTITION BY a.chunk_id ORDER BY a.pos, b.pos) AS pair_no
-  FROM mentions a JOIN mentions b ON a.chunk_id = b.chunk_id AND a.pos < b.pos QUALIFY pair_no <= {S.PAIRS_PER_CHUNK}),
+  FROM mentions a JOIN mentions b ON a.chunk_id = b.chunk_id AND a.pos < b.pos {keep('pair_no', pairs)}),
 relations AS MATERIALIZED (SELECT src, dst, 'RELATED_TO' AS type, CAST(count(*) AS DOUBLE) AS weight,
-  arg_min(chunk_id, (seq * 1000000 + chunk_index) * 10 + pair_no) AS evidence FROM obs GROUP BY src, dst)"""
+  arg_min(chunk_id, (seq * 1000000 + chunk_index) * 1000000 + pair_no) AS evidence FROM obs GROUP BY src, dst)"""
+
+
+ENTITIES = entities(15, 200, 8)
+WHOLE = entities(None, None, None)
 
 GRAPH = ENTITIES + """,
 ends AS (SELECT canonical FROM mentions UNION ALL SELECT canonical FROM doc_mentions UNION ALL SELECT src FROM relations

@@ -173,6 +173,7 @@ def test_ask(spark, tiny):
     assert by["1"].cached and by["1"].answer == "stored" and by["3"].lane == "fast" and by["4"].lane == "deep"
     assert by["2"].grounded and by["2"].answer.endswith("[1]") and by["2"].cost_usd > 0
     assert {r.entry_id for r in out.cache_entries.collect()} == {"2", "4"}
+    assert {r["mode"] for r in by.values()} == {"cache", "chat", "retrieval"} and out.alerts.count() == 0
     assert by["3"].answer and by["1"].sources == '[{"n":1}]' and by["1"].citations == "[1]"
     said = out.messages.collect()
     assert len(said) == 8 and {r.conversation_id for r in said} == {"c1", "conv-4"}
