@@ -11,27 +11,30 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is not determined go."""
+    """Documents whose language is not determined go: null, empty and letterless texts, and all if no document has a language to
+    learn from. Rows are judged one by one, so repeated rows and null ids are no special case; very long texts are read whole."""
     return language.identified(docs.select(*COLUMNS), language.fit(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (five-word shingles, similarity 0.8)."""
+    """One document of each group of near duplicates stays (five-word shingles, similarity 0.8): the one of the smallest ``doc_id``,
+    with all rows of that id. Rows without ``doc_id`` and texts without words stay; very long texts are compared whole."""
     return minhash.one_of_each(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null and empty texts hold none, null and empty items are held by none; without
+    items every document stays."""
     return contamination.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets give way to a mask; every document stays."""
+    """Secrets give way to a mask; every row stays, repeated ones too, and null and empty texts as they are."""
     return secrets.redact(docs.select(*COLUMNS), secrets.fit(secrets.samples_from(docs)))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each kept text."""
+    """Ids of each kept text; a null or empty text has none. Every row gets its row, in an empty table there is none."""
     return pieces.encode_documents(docs, pieces.read_model(spark))
 
 
