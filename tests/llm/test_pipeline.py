@@ -1,6 +1,6 @@
 import corpus_pipeline
 from bookloom.llm import contamination, minhash
-from tests.llm.helpers import SMALL, lowered, words
+from tests.llm.helpers import SMALL, empty, lowered, odd_documents, words
 
 
 def test_stages_on_the_small_table(spark):
@@ -44,3 +44,21 @@ def test_one_document_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(80))
     docs = spark.createDataFrame([(3, text), (2, text), (9, text + " end"), (5, "other words here now then"), (None, text)], "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in minhash.one_of_each(docs).collect()) == ["2", "5", "None"]
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark):
+    """Nulls, blank and very long texts, repeated rows and further columns: every stage keeps what its docstring says."""
+    docs = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        rows = docs.collect()
+        out = stage(spark, docs, SMALL).collect()
+        texts = sorted(str(r["text"]) for r in rows)
+        if name == "language_id":
+            assert sorted(str(r["doc_id"]) for r in out) == sorted(str(r["doc_id"]) for r in rows if any(c.isalpha() for c in r["text"] or ""))
+        elif name == "sentencepiece":
+            assert len(out) == len(rows) and all(r["round_trip"] for r in out)
+        else:
+            assert sorted(str(r["text"]) for r in out) == texts
+        if name != "sentencepiece":
+            docs = spark.createDataFrame(out, "doc_id long, text string, lang string, source string, n_chars long")
+        assert stage(spark, empty(docs), SMALL).count() == 0
