@@ -100,6 +100,17 @@ def test_shortest_paths_match_breadth_first_search(spark):
         assert have == want, qid
 
 
+def test_path_search_leaves_the_rest_of_the_graph_alone(spark):
+    """From the end with few edges the way is short; neither the hub's neighbours nor what lies behind them is walked through."""
+    far = [("hub", f"a{i:03d}", 1) for i in range(60)] + [(f"a{i:03d}", f"b{i:03d}{j}", 1) for i in range(60) for j in range(3)]
+    g = graph(spark, [("t", "m", 1), ("m", "hub", 1), *far])
+    ends = spark.createDataFrame([("q", "hub", "t"), ("none", "hub", "gone")], "qid string, source string, target string")
+    assert [(r.qid, r.nodes, r.kinds) for r in gq.shortest_paths(g, ends, 6, 3).collect()] == [("q", ["E:hub", "E:m", "E:t"], ["RELATED_TO"] * 2)]
+    sides = spark.createDataFrame([("q", "s", "E:hub"), ("q", "t", "E:t")], "qid string, side string, node string")
+    reached, met = gq._meet(sides, gq.all_edges(g), 6)
+    assert reached.count() == 4 and [r.hops for r in met.collect()] == [2]
+
+
 def random_graph(spark, seed, n=40, m=70):
     rng = random.Random(seed)
     nodes = [f"n{i:02d}" for i in range(n)]
