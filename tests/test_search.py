@@ -72,6 +72,17 @@ def test_keyword_search(spark, tiny):
     assert {(r.qid, r.chunk_id) for r in hits} == {("1", "d1#000000"), ("6", "d2#000000"), ("6", "d3#000000")}
 
 
+def test_keyword_search_without_a_stored_index(spark, tiny, monkeypatch):
+    """Many questions give what few give, and the index is not written or shuffled beside the chunks' terms."""
+    q = ask(spark, ("1", "Patel", None), ("2", "nehru", "tech"), ("3", "patel nehru", None), ("4", "patel patel delhi", "past"))
+    find = lambda: kw.keyword_search(q, tiny.document_meta, tiny.term_rows, tiny.postings, tiny.term_frequencies, tiny.term_stats)
+    few = find()
+    assert "postings" not in tiny._store._paths
+    monkeypatch.setattr(kw, "SCAN_TERMS", 0)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, find().collect()))
+    assert {(r.qid, r.chunk_id) for r in few.collect()} == {("1", "d2#000000"), ("1", "d3#000000"), ("2", "d2#000000"), ("3", "d2#000000"), ("4", "d3#000000")}
+
+
 def hits(spark, *rows):
     return spark.createDataFrame(list(rows), "qid string, chunk_id string, score double, rnk int")
 
