@@ -111,6 +111,22 @@ def test_path_search_leaves_the_rest_of_the_graph_alone(spark):
     assert reached.count() == 4 and [r.hops for r in met.collect()] == [2]
 
 
+def test_chunk_relations_combine_in_hash_aggregates(spark, capsys):
+    """Pairs are combined without sorting them, to the rows of the general merge; a later document never gives the evidence."""
+    rng = random.Random(11)
+    names = [f"e{i}" for i in range(7)]
+    rows = [(f"d{s}#{c:06d}", f"d{s}", s, "x", c, [(p, n) for p, n in enumerate(sorted(rng.sample(names, 4), key=lambda n: rng.random()))])
+            for s in (2**62, 3, 17) for c in range(4)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id string, seq long, corpus string, chunk_index int, mentioned array<struct<pos:int,canonical:string>>")
+    for limit in (None, 3):
+        got = gb.chunk_relations(chunks, limit)
+        want = gb.merge_relations(gb.cooccurrences(chunks, limit))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    capsys.readouterr()
+    got.explain()
+    assert "SortAggregate" not in capsys.readouterr().out
+
+
 def random_graph(spark, seed, n=40, m=70):
     rng = random.Random(seed)
     nodes = [f"n{i:02d}" for i in range(n)]
