@@ -62,6 +62,24 @@ def test_tag_filter_falls_when_no_document_has_it(spark):
     assert {r.qid: r.tags for r in drop_unknown_tags(q, docs).collect()} == {"1": ["p", "z"], "2": None, "3": None}
 
 
+def test_scores_of_a_block_are_held_in_parts(monkeypatch):
+    """A block of questions against a full block of items keeps some megabytes of similarities, not all of them."""
+    import tracemalloc
+
+    import pandas as pd
+
+    r = np.random.default_rng(5)
+    frame = lambda name, n: pd.DataFrame({name: np.arange(n), "vector": list(r.normal(size=(n, 4)).astype(np.float32))})
+    q, i = frame("qid", 300), frame("item_id", 40_000)
+    tracemalloc.start()
+    found = knn._best(q, i, 3, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80_000_000  # 256 questions at a time took twice 82 MB for their scores alone
+    monkeypatch.setattr(knn, "BLOCK_SCORES", 10**9)
+    assert found.equals(knn._best(q, i, 3, None))
+
+
 def ask(spark, *rows):
     return normalised(spark.createDataFrame(list(rows), "qid string, question string, corpus string"))
 
