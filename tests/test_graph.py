@@ -159,6 +159,18 @@ def test_label_propagation_ends_where_no_node_wants_to_move(spark, seed):
     assert again == label
 
 
+def test_rounds_are_stored_as_columns(spark, monkeypatch):
+    """Label propagation and ranks write no checkpoint: rows go to compressed files."""
+    def refused(*args, **kwargs):
+        raise AssertionError("checkpoint")
+
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", refused)
+    n = spark.createDataFrame([(f"x{i}",) for i in range(4)], "node string")
+    e = spark.createDataFrame([("x0", "x1", 1.0), ("x2", "x3", 1.0)], "a string, b string, weight double")
+    got = {r.node: r.cid for r in cm.compact_ids(cm.label_propagation(n, e)).collect()}
+    assert got == {"x0": "c0", "x1": "c0", "x2": "c1", "x3": "c1"}
+
+
 def test_chains_stay_together(spark):
     n = spark.createDataFrame([(f"x{i}",) for i in range(6)], "node string")
     e = spark.createDataFrame([("x0", "x1", 1.0), ("x1", "x2", 1.0), ("x3", "x4", 1.0)], "a string, b string, weight double")
