@@ -119,7 +119,7 @@ def answer(
     ).withColumn("error", F.lit(None).cast("string"))
     grounded = cut(ranking.ground(replied.select("qid", "answer", "error", "citations", "user_text")))
 
-    vectors = lib.chunks.select("chunk_id", F.col("embedding").alias("vector"))
+    vectors = lib.items.select(F.col("item_id").alias("chunk_id"), "vector")
     pairs = contradictions.candidate_pairs(hits.select("qid", "rnk", "chunk_id").join(vectors, "chunk_id"))
     known = known if known is not None else spark.createDataFrame([], "a string, b string")
     alerts, fresh_edges = contradictions.scan(pairs, known, lib.chunks, judge)

@@ -44,6 +44,25 @@ def test_library_graph(spark, tiny):
     assert {r.label for r in nodes.collect()} == {"Entity", "Document"} and {r.kind for r in edges.collect()} == {"RELATED", "MENTIONS"}
 
 
+def test_direct_chunks_build_no_other_table(spark, tiny):
+    from bookloom.sources.library import Library
+
+    lib = Library(spark, tiny.uploaded)
+    asked = spark.createDataFrame([("1", "Patel")], "qid string, name string")
+    found = gq.neighbor_chunks(lib.graph, asked, hops=1)
+    assert {r.chunk_id for r in found.collect()} == {"d2#000000", "d3#000000"}
+    assert set(lib._store._paths) == {"documents", "passages", "doc_entities", "chunk_entities", "doc_mentions"}
+    assert "embedding" not in lib.passages.columns
+    same = {r.item_id: r.vector for r in lib.items.collect()}
+    assert {r.chunk_id: r.embedding for r in lib.chunks.collect()} == same and len(same[next(iter(same))]) == 64
+
+
+def test_repeated_mentions_share_a_place(spark):
+    g = graph(spark, [], [(f"d1#{i:02d}", "x") for i in range(12) for _ in range(5)])
+    asked = spark.createDataFrame([("1", "X")], "qid string, name string")
+    assert sorted(r.chunk_id for r in gq.neighbor_chunks(g, asked, hops=1).collect()) == [f"d1#{i:02d}" for i in range(10)]
+
+
 def test_model_extracts(spark):
     reply = spark.createDataFrame(
         [("d", 0, [("Neo4j", "Tech"), ("neo4j.", "Other"), (" ", "X"), ("Bolt", None)], [("Neo4j", "Bolt", "USES"), ("Neo4j", "neo4j", "SELF"), ("Neo4j", "Lost", "X")])],
