@@ -32,6 +32,7 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64 << 20
 MAX_PAIRS = 4_000_000  # 17 bytes each
 SLICE_BYTES = 256 << 10  # of text encoded at once; a longer text is a slice of its own
+SLICE_LINKS = 500_000  # links held as numbers at once; a document with more is a slice of its own
 MARK = "▁"
 PLAIN = re.compile("[\\t\\n\\r -~\u00a1-\u024f]*")  # letters, digits and marks that no version of Unicode has changed
 WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed value
@@ -195,8 +196,16 @@ def align(docs: DataFrame, models: Models) -> DataFrame:
 
 def runs_of(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
     """Runs of rows with at most ``size`` bytes of text, or one row."""
-    lengths = pa.compute.binary_length(batch.column("text").cast(pa.large_string()).fill_null("")).to_numpy(zero_copy_only=False)
-    upto, i = np.concatenate([[0], np.cumsum(lengths)]), 0
+    return cut_up(batch, pa.compute.binary_length(batch.column("text").cast(pa.large_string()).fill_null("")), size)
+
+
+def links_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most ``SLICE_LINKS`` links, or one row."""
+    return cut_up(batch, batch.column("link_a").value_lengths(), SLICE_LINKS)
+
+
+def cut_up(batch: pa.RecordBatch, lengths: pa.Array, size: int) -> Iterator[pa.RecordBatch]:
+    upto, i = np.concatenate([[0], np.cumsum(lengths.to_numpy(zero_copy_only=False), dtype=np.int64)]), 0
     while i < batch.num_rows:
         j = max(i + 1, int(np.searchsorted(upto, upto[i] + size, "right")) - 1)
         yield batch.slice(i, j - i)
@@ -213,19 +222,28 @@ def parsed(groups: Column) -> Column:
 def pair_counts(rows: DataFrame) -> DataFrame:
     """``a, b, n, best``: how often the corpus links two ids, and whether no other A id is linked with this B id more often."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = ({"pair": pairs_of(batch)} for batch in batches)
-        for chunk in collected(chunks):
-            pair, n = np.unique(chunk["pair"], return_counts=True)
-            yield batch_of({"pair": pair, "n": n})
-
-    part = rows.select("link_a", "link_b").mapInArrow(run, "pair long, n long")
+    part = rows.select("link_a", "link_b").mapInArrow(part_counts, "pair long, n long")
     counts = part.groupBy("pair").agg(F.sum("n").alias("n")).select(F.expr("int(pair >> 32)").alias("a"), F.expr("int(pair & 4294967295)").alias("b"), "n")
     counts = cut(counts)
     most = counts.groupBy("b").agg(F.max("n").alias("most"))
     return counts.join(most, "b").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
+def part_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``pair, n`` of a task, counted slice by slice; the counts of several slices combine before they leave the task."""
+
+    def counts() -> Iterator[dict[str, np.ndarray]]:
+        for batch in batches:
+            for part in links_of(batch):
+                yield dict(zip(("pair", "n"), np.unique(pairs_of(part), return_counts=True), strict=True))
+
+    for chunk in collected(counts()):
+        pair, at = np.unique(chunk["pair"], return_inverse=True)
+        n = np.zeros(len(pair), np.int64)
+        np.add.at(n, at, chunk["n"])
+        yield batch_of({"pair": pair, "n": n})
+
+
 def pairs_of(batch: pa.RecordBatch) -> np.ndarray:
     """The links of a batch as one number each, document after document."""
     a, b = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("link_a", "link_b"))
@@ -248,12 +266,13 @@ def counted(rows: DataFrame, counts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, n, best = known.value
         for batch in batches:
-            at = np.searchsorted(pair, pairs_of(batch))
-            size = batch.column("link_a").value_lengths().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(size)
-            sums = [np.concatenate([[0], np.cumsum(x[at], dtype=np.int64)]) for x in (best, n)]
-            arrays = [batch.column(f.name) for f in others] + [pa.array(x[ends] - x[ends - size]) for x in sums]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*[f.name for f in others], "n_best", "count_sum"])
+            for part in links_of(batch):
+                at = np.searchsorted(pair, pairs_of(part))
+                size = part.column("link_a").value_lengths().to_numpy(zero_copy_only=False)
+                ends = np.cumsum(size)
+                sums = [np.concatenate([[0], np.cumsum(x[at], dtype=np.int64)]) for x in (best, n)]
+                arrays = [part.column(f.name) for f in others] + [pa.array(x[ends] - x[ends - size]) for x in sums]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*[f.name for f in others], "n_best", "count_sum"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others)
     return rows.mapInArrow(run, f"{schema}, n_best long, count_sum long")

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -142,3 +143,15 @@ def test_tokens_without_bytes():
     assert (a_cut.tolist(), b_cut.tolist()) == ([2, 3], [1, 3])
     left, right = alignment.linked(a, a_ends, a_cut, b, b_ends, b_cut)
     assert list(zip(left.tolist(), right.tolist(), strict=True)) == [(1, 7), (2, 7), (3, 8), (3, 9)]
+
+
+def test_links_are_counted_in_slices(monkeypatch):
+    rng, n, k = np.random.default_rng(1), 1000, 1000
+    flat = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k), pa.int32()), pa.array(rng.integers(0, m, n * k, dtype=np.int32)))
+    batch = pa.RecordBatch.from_arrays([flat(40), flat(30)], names=["link_a", "link_b"])
+    held, pairs_of = [], alignment.pairs_of
+    monkeypatch.setattr(alignment, "pairs_of", lambda b: held.append(pairs_of(b)) or held[-1])
+    parts = [p.to_pydict() for p in alignment.part_counts(iter([batch, batch]))]
+    pair, count = np.unique(pairs_of(batch), return_counts=True)
+    assert parts == [{"pair": pair.tolist(), "n": (2 * count).tolist()}]
+    assert sum(map(len, held)) == 2 * n * k and max(map(len, held)) <= alignment.SLICE_LINKS < n * k
