@@ -57,6 +57,14 @@ def test_direct_chunks_build_no_other_table(spark, tiny):
     assert {r.chunk_id: r.embedding for r in lib.chunks.collect()} == same and len(same[next(iter(same))]) == 64
 
 
+def test_lists_are_laid_out_as_far_as_they_can_count(spark):
+    edges = spark.createDataFrame([("m", f"w{i:02d}") for i in range(30)] + [("few", "w29")], "m string, w string")
+    lists = spark.createDataFrame([(f"w{i:02d}", [f"{i // 2:02d}", f"{i // 2:02d}x", f"{i + 20}"]) for i in range(30)], "w string, ids array<string>")
+    got = {(r.m, r.w): r.ids for r in gq.within_reach(edges, lists, 2).collect()}
+    assert got == {("few", "w29"): ["14", "14x", "49"]} | {
+        ("m", f"w{i:02d}"): [x for x in (f"{i // 2:02d}", f"{i // 2:02d}x") if x <= "02"] for i in range(6)}
+
+
 def test_repeated_mentions_share_a_place(spark):
     g = graph(spark, [], [(f"d1#{i:02d}", "x") for i in range(12) for _ in range(5)])
     asked = spark.createDataFrame([("1", "X")], "qid string, name string")
