@@ -65,6 +65,14 @@ def test_lists_are_laid_out_as_far_as_they_can_count(spark):
         ("m", f"w{i:02d}"): [x for x in (f"{i // 2:02d}", f"{i // 2:02d}x") if x <= "02"] for i in range(6)}
 
 
+def test_legacy_relations_join_names_only(spark):
+    from bookloom.workload.graph import legacy_relations
+
+    df = legacy_relations(spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().analyzed().toString().count("Join Inner") == 2  # either end with its name; steps need no join
+    assert df.count() == df.select("src", "dst").distinct().count() > 0
+
+
 def test_repeated_mentions_share_a_place(spark):
     g = graph(spark, [], [(f"d1#{i:02d}", "x") for i in range(12) for _ in range(5)])
     asked = spark.createDataFrame([("1", "X")], "qid string, name string")
