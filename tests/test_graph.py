@@ -246,3 +246,38 @@ def test_contradiction_edges_are_undirected(spark):
     assert {(r.a, r.b): r.known for r in gb.known_contradiction(pairs, known).collect()} == {("b", "a"): True, ("a", "c"): False}
 
 
+
+
+def _joined(plan):
+    """Column names of all joins of a plan."""
+    below = [n for i in range(plan.children().size()) for n in _joined(plan.children().apply(i))]
+    own = [{plan.output().apply(i).name() for i in range(plan.output().size())}] if plan.nodeName() == "Join" else []
+    return own + below
+
+
+def test_image_files_meet_first_lines_only(spark, tmp_path):
+    from bookloom.sources import sample
+
+    texts = [(17, "void", "src1", "en"), (18, "Old Bridge\nbody", "src1", "en"), (19, "\nbody", "src2", None), (20, None, "src2", "de"), (21, 'One "line"', "src1", "fr")]
+    spark.createDataFrame(texts, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(n,) for n in (17, 18, 19, 20, 21, 99)], "vec_id long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    files = sample.image_files(spark, str(tmp_path))
+    assert {r.doc_id: r.content.decode() for r in files.collect()} == {
+        "17": "", "18": "Old Bridge", "19": '{"caption": "", "tags": ["", "t4"]}', "20": '{"caption": "", "tags": ["de", "t0"]}', "21": 'One "line"',
+    }
+    joins = _joined(files._jdf.queryExecution().optimizedPlan())
+    assert joins and all("text" not in names for names in joins)
+
+
+def test_vault_edges_group_members_only(spark):
+    """Relations of entities that are not shown do not reach the grouping."""
+    shown = [("a", "b", 3), ("b", "a", 5), ("a", "c", 1)]
+    tail = [("c", f"t{i}", 1) for i in range(40)]
+    g = graph(spark, shown + tail, [("d1#0", n) for n in "aabbc"] + [("d1#0", f"t{i}") for i in range(40)])
+    members = spark.createDataFrame([("x", n, n.upper()) for n in "abc"], "corpus string, canonical string, name string")
+    related = gq._related_among(g, members, ["corpus"])
+    assert {(r.source, r.target, r.weight) for r in related.collect()} == {("A", "B", 5.0), ("A", "C", 1.0)}
+    links = {r.canonical: r.weight for r in gq._document_links(g, members).collect()}
+    assert links == {"a": 2.0, "b": 2.0, "c": 1.0}
+    _, edges = gq.vault_graph(g, node_limit=3)
+    assert {(r.source, r.target, r.weight) for r in edges.filter("kind = 'RELATED'").collect()} == {("A", "B", 5.0), ("A", "C", 1.0)}
