@@ -154,3 +154,54 @@ def test_reorg_state_names_no_run_when_no_document_is_newer(spark, tmp_path):
             "*", F.lit("x").alias("text"), F.lit("en").alias("lang")).write.parquet(f"{folder}/documents.parquet")
         spark.range(n).select(F.col("id").alias("item_id"), F.lit("x").alias("text")).write.parquet(f"{folder}/benchmark.parquet")
         assert [tuple(r) for r in queries()["reorg_state"](spark, folder).collect()] == [want]
+
+
+def test_keyword_join_copies_matching_rows_only(spark, tiny):
+    """Few questions: terms, join and its conditions run in one generated stage, and documents are not joined."""
+    q = ask(spark, ("1", "patel delhi", "past"), ("2", "patel", None))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = kw.keyword_search(q, tiny.document_meta, tiny.term_rows, tiny.postings, tiny.term_frequencies, tiny.term_stats)
+        lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    stage = lambda name: [x.split(name)[0].strip(" :+-") for x in lines if name in x]
+    assert stage("BroadcastHashJoin") == stage("Generate explode") and stage("BroadcastHashJoin")[0].startswith("*(")
+    bare = tiny.term_rows.drop("corpus", "tags", "doc_date", "author")
+    joined = kw.keyword_search(q, tiny.document_meta, bare, tiny.postings, tiny.term_frequencies, tiny.term_stats)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, joined.collect())) and joined.count() == 3
+
+
+def test_scan_passes_on_what_can_still_be_best(spark):
+    import pandas as pd
+
+    r = np.random.default_rng(3)
+    frame = lambda name, v: pd.DataFrame({name: np.arange(len(v)), "vector": list(v)})
+    q = frame("qid", r.normal(size=(6, 4)))
+    v = np.repeat(r.normal(size=(300, 4)), 4, axis=0)  # four copies each, so the last place is tied
+    i = frame("item_id", v[r.permutation(len(v))])
+    best = knn._best(q, i, 6, None)
+    floor = best.groupby("qid")["sim"].min().to_numpy()
+    again = knn._trim(knn._best(q, i, 6, None, floor), 6)
+    assert knn._trim(best, 6).reset_index(drop=True).equals(again.reset_index(drop=True))
+    assert not len(knn._best(q, i, 6, None, floor + 1.0))
+    items = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in i.itertuples(index=False)], "item_id long, vector array<double>")
+    asked = spark.createDataFrame([(int(a), [float(x) for x in b], None) for a, b in q.itertuples(index=False)], "qid long, vector array<double>, author string")
+    items = items.withColumn("author", F.lit("x"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        near = {m: sorted(map(tuple, knn.nearest(asked, items, 6, layout=m).collect())) for m in ("scan", "grid")}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert near["scan"] == near["grid"] and len(near["scan"]) == 36
+
+
+def test_hits_meet_their_own_texts(spark, tiny):
+    """Vectors are made of hits only, and only parents of hits are moved."""
+    found = plan.hit_details(tiny, hits(spark, ("1", "d3#000000", 0.5, 1)), spark.createDataFrame([("1", "Bose?")], "qid string, question string"))
+    optimized = found._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.index("sha2(") < optimized.index("parquet")
+    row = ranking.expand_to_parents(found, tiny.parents)
+    assert "LeftSemi" in row._jdf.queryExecution().optimizedPlan().toString()
+    got = row.collect()[0]
+    assert got.text.startswith("Patel and Delhi") and list(got.embedding) == list(tiny.items.filter("item_id = 'd3#000000'").first().vector)
